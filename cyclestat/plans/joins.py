@@ -1,0 +1,27 @@
+"""Join helpers.
+
+``bounded_broadcast`` is for sides that are *base* dimension tables (cheap to
+count).  Sides that are themselves aggregates of the big table get no hint:
+their size is only known after their shuffle stage, and adaptive execution
+(``spark.sql.adaptive.enabled``) turns the sort-merge join into a broadcast
+join at run time when that measured size is below
+``spark.sql.adaptive.autoBroadcastJoinThreshold``.  Either way the broadcast
+rests on a measured size, and a sort-merge join is the way beyond it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check reads at most ``max_rows + 1`` rows (a limited count), so it is
+    cheap for a base table and never scans an unbounded input to completion.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
