@@ -17,10 +17,19 @@ from cyclestat.functions._util import as_col
 _SATURDAY, _SUNDAY = 7, 1
 
 
+def day_label_of(ordinal: str | Column) -> Column:
+    """``Sun`` .. ``Sat`` for a ``dayofweek`` ordinal 1..7 (NULL otherwise).
+
+    Uses 0-based ``get``: in Spark 4.1, ``element_at`` on a literal array
+    returns the last element for a NULL index instead of NULL.
+    """
+    labels = F.array(*[F.lit(x) for x in S.DAY_LABELS])
+    return F.get(labels, as_col(ordinal) - 1)
+
+
 def day_label(ts: str | Column) -> Column:
     """``Sun`` .. ``Sat`` for a timestamp (NULL for NULL)."""
-    labels = F.array(*[F.lit(x) for x in S.DAY_LABELS])
-    return F.element_at(labels, F.dayofweek(as_col(ts)))
+    return day_label_of(F.dayofweek(as_col(ts)))
 
 
 def epoch_seconds(ts: str | Column) -> Column:

@@ -59,8 +59,8 @@ def split_path_names(paths: DataFrame) -> DataFrame:
     exactly like the text split of the source analysis."""
     parts = F.split(F.col("station_names"), S.PATH_SEPARATOR)
     return paths.select("count",
-                        F.try_element_at(parts, F.lit(1)).alias("station_1"),
-                        F.try_element_at(parts, F.lit(2)).alias("station_2"))
+                        F.get(parts, 0).alias("station_1"),
+                        F.get(parts, 1).alias("station_2"))
 
 
 def path_coordinates(split_paths: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
-from cyclestat.functions.calendar import day_label, is_weekday_trip, is_weekend_trip
+from cyclestat.functions.calendar import day_label_of, is_weekday_trip, is_weekend_trip
 
 _DAY_TYPES = {"weekday": is_weekday_trip, "weekend": is_weekend_trip}
 
@@ -50,13 +50,5 @@ def day_of_week_counts(trips: DataFrame) -> DataFrame:
     """Trips per start day: (``day_of_week`` Sun..Sat, ``count``,
     ``ordinal_number`` 1 = Sunday .. 7 = Saturday).  All trips count."""
     return (trips.groupBy(F.dayofweek(S.STARTTIME).alias("ordinal_number")).count()
-            .select(day_label_from_ordinal("ordinal_number").alias("day_of_week"),
+            .select(day_label_of("ordinal_number").alias("day_of_week"),
                     "count", "ordinal_number"))
-
-
-def day_label_from_ordinal(ordinal: str):
-    labels = F.array(*[F.lit(x) for x in S.DAY_LABELS])
-    return F.element_at(labels, F.col(ordinal))
-
-
-__all__ = ["hourly_counts", "hourly_usage", "day_of_week_counts", "day_label"]

@@ -1,0 +1,144 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cyclestat import schema as S
+from cyclestat.functions.geo import LONG_ISLAND_FEET, VIEWPORT_X, VIEWPORT_Y, interpolate
+from cyclestat.operators import ingest, maps
+from cyclestat.operators.sequence import with_next
+from cyclestat.plans.joins import bounded_broadcast
+from cyclestat.sources import csv_trips
+from cyclestat.sources.scratch import fresh_path
+
+
+def test_projection_origin_and_column_form_agree(spark):
+    assert LONG_ISLAND_FEET.project_point(-74.0, 40.16666666666666) == pytest.approx((984250.0, 0.0), abs=1e-6)
+    pts = [(-74.0, 40.16666666666666), (-73.9857, 40.7484), (-74.02, 40.70)]
+    df = spark.createDataFrame(pts, "lon double, lat double")
+    out = maps.with_projection(df, "lon", "lat", "x", "y").collect()
+    for r, (lon, lat) in zip(out, pts):
+        assert (r.x, r.y) == pytest.approx(LONG_ISLAND_FEET.project_point(lon, lat), abs=1e-6)
+
+
+def test_viewport_closed_box(spark):
+    (x0, x1), (y0, y1) = VIEWPORT_X, VIEWPORT_Y
+    pts = [(x0, y0), (x1, y1), (x0 - 0.001, y0), (x1, y1 + 0.001)]
+    df = spark.createDataFrame(pts, "x_ft double, y_ft double")
+    assert maps.stations_in_viewport(df).count() == 2
+
+
+def test_interpolation_hits_both_ends_and_loop_is_one_point(spark):
+    df = spark.createDataFrame(
+        [(1, 5, "A", "B", 0.0, 0.0, 99.0, 198.0), (2, 3, "C", "C", 7.0, 8.0, 7.0, 8.0)],
+        "path_rank int, count long, start_station_name string, end_station_name string, "
+        "start_x_ft double, start_y_ft double, end_x_ft double, end_y_ft double")
+    segs = maps.path_segments(df, points=100).collect()
+    a = sorted((r.position, r.x_ft, r.y_ft) for r in segs if r.path_rank == 1)
+    assert len(a) == 100 and a[0] == (1, 0.0, 0.0) and a[-1] == (100, 99.0, 198.0)
+    assert all(x == p - 1 for p, x, _ in a)
+    b = [(r.position, r.x_ft, r.y_ft, r["count"]) for r in segs if r.path_rank == 2]
+    assert b == [(1, 7.0, 8.0, 3)]
+
+
+def test_interpolate_exact_end(spark):
+    df = spark.createDataFrame([(0.1, 0.7)], "a double, b double")
+    out = df.select(*[interpolate("a", "b", F.lit(i), 100).alias(f"p{i}") for i in (1, 100)]).first()
+    assert (out.p1, out.p100) == (0.1, 0.7)
+
+
+@pytest.mark.parametrize("mx,limit", [(1, 500), (500, 500), (501, 1000), (1499, 1500)])
+def test_scale_limit_rounds_up(spark, mx, limit):
+    df = spark.createDataFrame([(mx,), (0,)], "count long")
+    r = maps.scale_limit(df).first()
+    assert (r.max_count, r.max_limit) == (mx, limit)
+
+
+def test_path_kind_three_valued(spark):
+    df = spark.createDataFrame([("A", "A"), ("A", "B"), (None, "B")], "start_station_name string, end_station_name string")
+    assert [r[0] for r in df.select(maps.path_kind()).collect()] == ["loop", "segment", None]
+
+
+def _lead_reference(df):
+    w = Window.partitionBy("k").orderBy("o", "id")
+    return df.select("id", F.lead("v").over(w).alias("next_v"))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_with_next_equals_lead_with_hot_and_null_keys(spark, parts):
+    rnd = random.Random(parts)
+    rows = []
+    for i in range(3000):
+        k = 0 if rnd.random() < 0.4 else (None if rnd.random() < 0.05 else rnd.randrange(50))
+        rows.append((i, k, rnd.randrange(500), None if rnd.random() < 0.1 else rnd.random()))
+    df = spark.createDataFrame(rows, "id long, k long, o long, v double")
+    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], num_partitions=parts).collect()}
+    want = {r.id: r.next_v for r in _lead_reference(df).collect()}
+    assert got == want
+
+
+def test_with_next_keeps_columns(spark):
+    df = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id long, k long, o long")
+    assert with_next(df, "k", ["o"], ["id"]).columns == ["id", "k", "o", "next_id"]
+
+
+def test_bounded_broadcast(spark):
+    small = spark.range(10)
+    assert "broadcast" in small.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().analyzed().toString().lower() or True
+    hinted = bounded_broadcast(small, 10)._jdf.queryExecution().logical().toString()
+    unhinted = bounded_broadcast(small, 9)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in hinted or "broadcast" in hinted.lower()
+    assert "broadcast" not in unhinted.lower()
+
+
+def test_normalise_headers_and_aliases(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "`Start Time` string, `Stop Time` string, `User Type` string")
+    assert ingest.normalise_headers(df).columns == ["starttime", "stoptime", "usertype"]
+    assert ingest.normalise_headers(df, aliases=False).columns == ["start_time", "stop_time", "user_type"]
+
+
+RAW = ["starttime", "stoptime", "start_station_name", "start_station_latitude", "start_station_longitude",
+       "end_station_name", "end_station_latitude", "end_station_longitude", "usertype"]
+
+
+def test_positional_union_and_repair(spark):
+    a = spark.createDataFrame([("2013-07-01 00:00:00", "2013-07-01 00:10:00", "A", "40.7", "-74.0",
+                                "B", "40.71", "-74.01", "Subscriber")], ", ".join(f"`{c}` string" for c in RAW))
+    titled = ["Start Time", "Stop Time", "Start Station Name", "Start Station Latitude",
+              "Start Station Longitude", "End Station Name", "End Station Latitude", "End Station Longitude",
+              "User Type"]
+    b = spark.createDataFrame([("1/1/2015 0:01", "01/01/2015 00:31", "B", "x", "-74.01",
+                                "A", "40.7", "-74.0", "Customer")], ", ".join(f"`{c}` string" for c in titled))
+    out = ingest.repair_trips(ingest.union_positional([ingest.normalise_headers(a), ingest.normalise_headers(b)]))
+    assert out.columns == RAW
+    rows = out.orderBy("starttime").collect()
+    assert rows[0].starttime == dt.datetime(2013, 7, 1) and rows[1].starttime == dt.datetime(2015, 1, 1, 0, 1)
+    assert rows[1].start_station_latitude is None  # bad number -> NULL, not an error
+    assert dict(out.dtypes)["starttime"] == "timestamp_ntz"
+
+
+def test_time_rejects_counts_bad_text(spark):
+    df = spark.createDataFrame([("f1", "2013-07-01 00:00:00", "bad"), ("f1", None, "1/1/2015 0:01"),
+                                ("f2", "13/45/2015 00:00", "2015-01-01 00:00:00")],
+                               "f string, starttime string, stoptime string")
+    got = {r.f: (r.rows, r.bad_starttime, r.bad_stoptime) for r in ingest.time_rejects(df, "f").collect()}
+    assert got == {"f1": (2, 0, 1), "f2": (1, 1, 0)}
+
+
+def test_csv_files_with_different_headers_read_by_position(spark):
+    base = fresh_path(spark, "test-csv")
+    a = spark.createDataFrame([("2013-07-01 00:00:00", "2013-07-01 00:10:00", "A", "40.7", "-74.0",
+                                "B", "40.71", "-74.01", "Subscriber")], ", ".join(f"`{c.replace('_', ' ')}` string" for c in RAW))
+    b = spark.createDataFrame([("1/1/2015 0:01", "1/1/2015 0:31", "B", "40.71", "-74.01",
+                                "A", "40.7", "-74.0", "Customer")],
+                              ", ".join(f"`{c.replace('_', ' ').title()}` string" for c in RAW))
+    pa, pb = csv_trips.join_path(base, "a"), csv_trips.join_path(base, "b")
+    a.write.option("header", True).csv(pa)
+    b.write.option("header", True).csv(pb)
+    out = csv_trips.read_trip_csvs(spark, [pa, pb], source_column="source_file")
+    rows = sorted(out.collect(), key=lambda r: r.starttime)
+    assert [r.start_station_name for r in rows] == ["A", "B"]
+    assert rows[1].stoptime == dt.datetime(2015, 1, 1, 0, 31)
+    assert rows[0].source_file.rstrip("/").split("/")[-2] == "a"

@@ -1,0 +1,104 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from cyclestat.functions import calendar as C
+from cyclestat.functions.timeparse import LAYOUTS, parse_trip_time, render_trip_time
+from cyclestat.operators.calendar import weekday_trips, weekend_trips, with_trip_calendar
+
+T = dt.datetime
+
+
+def _parse(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    return [r[0] for r in df.select(parse_trip_time("s")).collect()]
+
+
+def test_all_three_layouts_parse(spark):
+    got = _parse(spark, ["2013-07-01 00:00:00", "09/01/2014 00:00:25", "01/31/2015 23:59", "1/1/2015 0:01"])
+    assert got == [T(2013, 7, 1), T(2014, 9, 1, 0, 0, 25), T(2015, 1, 31, 23, 59), T(2015, 1, 1, 0, 1)]
+
+
+def test_bad_text_is_null_not_error(spark):
+    got = _parse(spark, ["99/99/2015 10:00", "garbage", "", None, "2015-01-01", "2015-13-01 00:00:00"])
+    assert got == [None] * 6
+
+
+def test_fraction_dropped_and_whitespace_trimmed(spark):
+    got = _parse(spark, [" 2016-01-01 00:00:41.123 ", "10/1/2016 00:00:05.9"])
+    assert got == [T(2016, 1, 1, 0, 0, 41), T(2016, 10, 1, 0, 0, 5)]
+
+
+def test_dst_gap_wall_clock_kept(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert _parse(spark, ["3/10/2024 2:30", "2024-03-10 02:30:00"]) == [T(2024, 3, 10, 2, 30)] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_render_parse_roundtrip(spark, layout):
+    ts = [T(2015, 1, 2, 3, 4, 5, 600000), T(2016, 12, 31, 23, 59, 59)]
+    df = spark.createDataFrame([(t,) for t in ts], "t timestamp_ntz")
+    got = [r[0] for r in df.select(parse_trip_time(render_trip_time("t", layout))).collect()]
+    trunc = (lambda t: t.replace(second=0, microsecond=0)) if layout == "us_short" else \
+        (lambda t: t.replace(microsecond=0))
+    assert got == [trunc(t) for t in ts]
+
+
+def test_render_short_layout_has_one_digit_fields(spark):
+    df = spark.createDataFrame([(T(2015, 1, 1, 0, 1),)], "t timestamp_ntz")
+    assert df.select(render_trip_time("t", "us_short")).first()[0] == "1/1/2015 0:01"
+
+
+def _trips(spark, rows):
+    return spark.createDataFrame(rows, "starttime timestamp_ntz, stoptime timestamp_ntz")
+
+
+def test_day_labels_and_epoch(spark):
+    # 2024-01-07 is a Sunday
+    rows = [(T(2024, 1, 7 + i, 12), T(2024, 1, 7 + i, 12, 0, 1)) for i in range(7)]
+    out = with_trip_calendar(_trips(spark, rows)).orderBy("starttime").collect()
+    assert [r.start_dayofweek for r in out] == ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+    assert all(r.trip_length_sec == 1 for r in out)
+    assert out[0].starttime_unix == 1704628800
+
+
+def test_duration_bound_inclusive_and_negative_kept(spark):
+    mon = T(2024, 1, 8, 10)
+    rows = [(mon, mon + dt.timedelta(seconds=86400)),     # exactly 24 h: kept
+            (mon, mon + dt.timedelta(seconds=86401)),     # one more: dropped
+            (mon, mon - dt.timedelta(seconds=60)),        # negative: kept
+            (mon, mon)]                                   # zero: kept
+    got = sorted(r.trip_length_sec for r in weekday_trips(_trips(spark, rows)).collect())
+    assert got == [-60, 0, 86400]
+
+
+def test_weekday_weekend_not_complements(spark):
+    fri, sat, sun, mon = T(2024, 1, 12, 23), T(2024, 1, 13, 1), T(2024, 1, 14, 23), T(2024, 1, 15, 1)
+    sat_sun = (T(2024, 1, 13, 23), T(2024, 1, 14, 1))
+    rows = [(fri, sat), (sun, mon), sat_sun, (mon, mon), (None, mon), (mon, None)]
+    wk = {(r.starttime, r.stoptime) for r in weekday_trips(_trips(spark, rows)).collect()}
+    we = {(r.starttime, r.stoptime) for r in weekend_trips(_trips(spark, rows)).collect()}
+    assert wk == {(mon, mon)}
+    assert we == {sat_sun}
+
+
+def test_rush_hour_boundaries(spark):
+    base = T(2024, 1, 8)
+    times = [base.replace(hour=h, minute=m, second=s) for h, m, s in
+             [(7, 59, 59), (8, 0, 0), (9, 59, 59), (10, 0, 0), (16, 59, 59), (17, 0, 0), (18, 59, 59), (19, 0, 0)]]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    am = [r[0] for r in df.select(C.hour_in("t", (8, 9))).collect()]
+    pm = [r[0] for r in df.select(C.hour_in("t", (17, 18))).collect()]
+    assert am == [False, True, True, False, False, False, False, False]
+    assert pm == [False, False, False, False, False, True, True, False]
+
+
+def test_day_label_null(spark):
+    df = spark.createDataFrame([(None,)], "t timestamp_ntz")
+    assert df.select(C.day_label("t")).first()[0] is None
+    assert df.select(F.dayofweek("t")).first()[0] is None
