@@ -33,6 +33,12 @@ def project_stations(stations: DataFrame, name_prefix: str = "station",
                            "x_ft", "y_ft", decimals=decimals)
 
 
+def project_path_coordinates(coords: DataFrame, decimals: int | None = None) -> DataFrame:
+    """``x_1_ft, y_1_ft, x_2_ft, y_2_ft`` for an undirected path-coordinate table."""
+    out = with_projection(coords, "lon_1", "lat_1", "x_1_ft", "y_1_ft", decimals=decimals)
+    return with_projection(out, "lon_2", "lat_2", "x_2_ft", "y_2_ft", decimals=decimals)
+
+
 def project_paths(paths: DataFrame, decimals: int | None = None) -> DataFrame:
     """``start_x_ft, start_y_ft, end_x_ft, end_y_ft`` for a directed path table."""
     out = with_projection(paths, S.START_LON, S.START_LAT, "start_x_ft", "start_y_ft", decimals=decimals)
@@ -58,16 +64,17 @@ def rank_paths(paths: DataFrame, k: int, keys, rank_col: str = "path_rank") -> D
 def path_segments(ranked: DataFrame, points: int = S.POINTS_PER_PATH,
                   start_name: str = S.START_NAME, end_name: str = S.END_NAME,
                   coords=("start_x_ft", "start_y_ft", "end_x_ft", "end_y_ft"),
-                  rank_col: str = "path_rank") -> DataFrame:
-    """Line geometry of ranked paths: (``rank``, ``position``, ``x_ft``,
-    ``y_ft``, ``count``).  A segment gets ``points`` evenly spaced points from
-    start (position 1) to end (position ``points``); a loop gets one point."""
+                  rank_col: str = "path_rank", carry=()) -> DataFrame:
+    """Line geometry of ranked paths: (``carry...``, ``rank``, ``position``,
+    ``x_ft``, ``y_ft``, ``count``).  A segment gets ``points`` evenly spaced
+    points from start (position 1) to end (position ``points``); a loop gets
+    one point."""
     sx, sy, ex, ey = coords
     n = F.when(path_kind(start_name, end_name) == "loop", F.lit(1)).otherwise(F.lit(points))
-    exploded = ranked.select(rank_col, "count", sx, sy, ex, ey,
+    exploded = ranked.select(*carry, rank_col, "count", sx, sy, ex, ey,
                              F.explode(F.sequence(F.lit(1), n)).alias("position"))
     return exploded.select(
-        rank_col, "position",
+        *carry, rank_col, "position",
         interpolate(sx, ex, "position", points).alias("x_ft"),
         interpolate(sy, ey, "position", points).alias("y_ft"),
         "count",

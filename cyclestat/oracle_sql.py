@@ -133,6 +133,8 @@ _SX, _SY = project_sql("start_station_longitude", "start_station_latitude")
 _EX, _EY = project_sql("end_station_longitude", "end_station_latitude")
 _UX, _UY = project_sql("station_longitude", "station_latitude")
 _LX, _LY = project_sql("start_station_longitude", "start_station_latitude")
+_P1X, _P1Y = project_sql("lon_1", "lat_1")
+_P2X, _P2Y = project_sql("lon_2", "lat_2")
 
 SQL: dict[str, str] = {
     "trips": _with() + "SELECT * FROM trips",
@@ -223,6 +225,33 @@ SQL: dict[str, str] = {
       FROM proj, LATERAL (SELECT generate_series AS position
                           FROM generate_series(1, CASE WHEN is_loop THEN 1 ELSE 100 END))
       ORDER BY path_rank, position""",
+    "project_path_coords": _with(UNDIRECTED, LOOKUP, """top AS (
+      SELECT p.station_1, p.station_2, p.count,
+             a.start_station_latitude AS lat_1, a.start_station_longitude AS lon_1,
+             b.start_station_longitude AS lon_2, b.start_station_latitude AS lat_2
+      FROM (SELECT count, split_part(station_names, ' - ', 1) AS station_1,
+                   split_part(station_names, ' - ', 2) AS station_2 FROM undirected) p
+      JOIN lut a ON p.station_1 = a.start_station_name
+      JOIN lut b ON p.station_2 = b.start_station_name
+      ORDER BY count DESC, station_1 NULLS FIRST, station_2 NULLS FIRST, lat_1 NULLS FIRST,
+               lon_1 NULLS FIRST, lon_2 NULLS FIRST, lat_2 NULLS FIRST
+      LIMIT 100)""") + f"""
+      SELECT *, round({_P1X}, 3) AS x_1_ft, round({_P1Y}, 3) AS y_1_ft,
+             round({_P2X}, 3) AS x_2_ft, round({_P2Y}, 3) AS y_2_ft,
+             CASE WHEN station_1 = station_2 THEN 'loop' WHEN station_1 <> station_2 THEN 'segment' END
+               AS path_kind
+      FROM top""",
+    "period_path_segments": _with(PERIOD_COUNTS, f"""ranked AS (
+        SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY period ORDER BY {DORDER}) AS INTEGER) AS rank
+        FROM period_counts QUALIFY rank <= 150)""", f"""proj AS (
+        SELECT period, rank, count, start_station_name = end_station_name AS is_loop,
+               {_SX} AS sx, {_SY} AS sy, {_EX} AS ex, {_EY} AS ey FROM ranked)""") + """
+      SELECT period, rank, CAST(position AS INTEGER) AS position,
+             round(CASE WHEN position = 100 THEN ex ELSE sx + (position - 1) * ((ex - sx) / 99) END, 3) AS x_ft,
+             round(CASE WHEN position = 100 THEN ey ELSE sy + (position - 1) * ((ey - sy) / 99) END, 3) AS y_ft,
+             count
+      FROM proj, LATERAL (SELECT generate_series AS position
+                          FROM generate_series(1, CASE WHEN is_loop THEN 1 ELSE 100 END))""",
     "period_scale_limit": _with(PERIOD_COUNTS) + """
       SELECT MAX(count) AS max_count, CAST(CEIL(MAX(count) / 500) * 500 AS BIGINT) AS max_limit
       FROM period_counts""",

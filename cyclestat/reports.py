@@ -167,6 +167,24 @@ def path_segments(spark, d):
         .orderBy("path_rank", "position")
 
 
+def project_path_coords(spark, d):
+    """The undirected path map: first 100 rows of the coordinate table (after
+    fan-out, as drawn), both ends projected, loop or segment."""
+    t = _trips(spark, d)
+    split = paths.split_path_names(paths.undirected_path_counts(t))
+    top = paths.path_coordinates_top(split, stations.station_lookup(t), S.TOP_UNDIRECTED)
+    return maps.project_path_coordinates(top, decimals=FEET_DECIMALS) \
+        .withColumn("path_kind", maps.path_kind("station_1", "station_2"))
+
+
+def period_path_segments(spark, d):
+    """Line geometry of the three period maps (top 150 paths each)."""
+    ranked = paths.directed_paths_by_period(_trips(spark, d), S.MAP_PATHS)
+    segs = maps.path_segments(maps.project_paths(ranked), S.POINTS_PER_PATH, rank_col="rank",
+                              carry=("period",))
+    return segs.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
+
+
 def period_scale_limit(spark, d):
     return maps.scale_limit(paths.directed_path_counts_by_period(_trips(spark, d)))
 
@@ -255,6 +273,8 @@ REPORTS: dict[str, Report] = {
     "stations_in_viewport": stations_in_viewport,
     "path_kind": path_kind,
     "path_segments": path_segments,
+    "project_path_coords": project_path_coords,
+    "period_path_segments": period_path_segments,
     "period_scale_limit": period_scale_limit,
     "ingest_mixed_timestamps": ingest_mixed_timestamps,
     "ingest_header_normalise": ingest_header_normalise,

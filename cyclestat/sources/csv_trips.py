@@ -25,6 +25,32 @@ def join_path(base: str, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
+# --- fixed values (the feed's object naming) -----------------------------------
+# Months up to and including this one are named "YYYY-MM - Citi Bike trip data.csv";
+# later months "YYYYMM-citibike-tripdata.csv".
+LAST_SPACED_NAME_MONTH = "2014-08"
+SPACED_NAME = "{y:04d}-{m:02d} - Citi Bike trip data.csv"
+COMPACT_NAME = "{y:04d}{m:02d}-citibike-tripdata.csv"
+# -----------------------------------------------------------------------------
+
+
+def feed_file_names(first_month: str = "2013-07", last_month: str = "2017-07") -> list[str]:
+    """Monthly object names of the trip feed, first to last month inclusive."""
+    y, m = map(int, first_month.split("-"))
+    ly, lm = map(int, last_month.split("-"))
+    sy, sm = map(int, LAST_SPACED_NAME_MONTH.split("-"))
+    names = []
+    while (y, m) <= (ly, lm):
+        names.append((SPACED_NAME if (y, m) <= (sy, sm) else COMPACT_NAME).format(y=y, m=m))
+        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
+    return names
+
+
+def feed_paths(base: str, first_month: str = "2013-07", last_month: str = "2017-07") -> list[str]:
+    """Full paths of the monthly files under ``base`` (any Hadoop FS URI)."""
+    return [join_path(base, n) for n in feed_file_names(first_month, last_month)]
+
+
 def master_schema(spark: SparkSession, first_path: str) -> T.StructType:
     """All-string schema named after the canonical form of one file's header."""
     header = spark.read.option("header", True).csv(first_path).columns

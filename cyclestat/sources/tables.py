@@ -23,5 +23,14 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     writer.saveAsTable(name)
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """``DROP TABLE IF EXISTS`` through the SQL entry point."""
+    spark.sql(f"DROP TABLE IF EXISTS {quote_identifier(name)}")
+
+
+def quote_identifier(name: str) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
