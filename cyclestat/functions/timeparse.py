@@ -21,20 +21,26 @@ from pyspark.sql import functions as F
 
 from cyclestat.functions._util import as_col
 
-# month/day/year hour:minute[:second][.fraction]
-_US = r"^(\d{1,2})/(\d{1,2})/(\d{4}) +(\d{1,2}):(\d{1,2})(:\d{1,2})?(\.\d*)?$"
-# year-month-day hour:minute[:second][.fraction]
-_ISO = r"^(\d{4}-\d{1,2}-\d{1,2} +\d{1,2}:\d{1,2}(:\d{1,2})?)(\.\d*)?$"
-_ISO_CLEAN = r"^\d{4}-\d{1,2}-\d{1,2} +\d{1,2}:\d{1,2}(:\d{1,2})?$"
+# Accepted text after rewriting: year-month-day hour:minute[:second], 1-2 digit fields.
+_ISO_CLEAN = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"
 
 LAYOUTS = ("iso", "us", "us_short")
 
 
+def _us_to_iso(s: Column) -> Column:
+    """``M/d/yyyy H:mm[:ss]`` -> ``yyyy-M-d H:mm[:ss]`` with plain string splits
+    (no regular expression: this runs once per time value of the feed)."""
+    date, time = F.substring_index(s, " ", 1), F.substring_index(s, " ", -1)
+    month = F.substring_index(date, "/", 1)
+    day = F.substring_index(F.substring_index(date, "/", 2), "/", -1)
+    year = F.substring_index(date, "/", -1)
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), time)
+
+
 def parse_trip_time(text: str | Column) -> Column:
     """Parse trip time text in any of the feed's layouts to ``TIMESTAMP_NTZ``."""
-    s = F.trim(as_col(text))
-    iso = F.regexp_replace(s, _US, "$3-$1-$2 $4:$5$6")
-    iso = F.regexp_replace(iso, _ISO, "$1")
+    s = F.substring_index(F.trim(as_col(text)), ".", 1)  # drop sub-second digits
+    iso = F.when(s.contains("/"), _us_to_iso(s)).otherwise(s)
     return F.when(iso.rlike(_ISO_CLEAN), iso.try_cast("timestamp_ntz"))
 
 
