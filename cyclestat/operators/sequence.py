@@ -2,84 +2,93 @@
 
 ``lead(c) OVER (PARTITION BY key ORDER BY o)`` sends every row of a key to
 one task; a key holding a third of all rows would then be processed by a
-single core.  ``with_next`` gives the same answer in two levels:
-
-1. range-partition on ``(key, order...)``: the sampled bounds split a hot
-   key over as many partitions as its size needs, each a contiguous run of
-   the global order;
-2. ``lead`` inside each (partition, key) chunk -- groups are at most one
-   range partition large;
-3. the last row of a chunk takes the first row of the key's next non-empty
-   chunk.  The chunk heads are one row per (partition, key), so a key has
-   at most ``num_partitions`` of them, and their own ``lead`` is small.
-
-Partition ids must be the same wherever the chunk table is read: Spark seeds
-the range sampler with the RDD id, so two branches that each ran their own
-range exchange could disagree on the bounds.  The result of step 2 is
-therefore pinned once with a reliable ``checkpoint()`` (written to the
-shared ``spark.checkpoint.dir``; it also survives executor loss).  The
-checkpoint keeps its hash partitioning on (partition, key), so the join of
-step 3 moves only the small chunk table.  NULL keys form one key, as in SQL
-window partitions.
+single core.  ``with_next`` gives the same answer and picks its plan from
+the data:
+
+* ``window``: the plain ``lead`` (one shuffle), used when no key holds more
+  than twice a partition's fair share of rows.  Deciding costs one narrow
+  aggregate over the key column (partial aggregation, one row to the driver).
+* ``range``: for skewed keys, in three steps
+
+  1. range-partition on ``(key, order...)``: the sampled bounds split a hot
+     key over as many partitions as its size needs, each a contiguous run
+     of the global order; the partition index is kept as a column;
+  2. ``repartitionById`` on that index (a pass-through shuffle: partition
+     ``p`` keeps exactly range ``p``, so no two large runs can collide in a
+     hash bucket) and ``lead`` inside each (partition, key) chunk;
+  3. the last row of each chunk takes the first row of the key's next
+     non-empty chunk.  Only chunk edges (first and last rows, at most two
+     per chunk, so at most ``2 * num_partitions`` for any key) take part:
+     ``lead`` over the edges of a key ordered by (partition, row number)
+     lands exactly on the next chunk's first row.  No join is needed.
+
+  Partition ids must be the same wherever the chunked rows are read: Spark
+  seeds the range sampler with the RDD id, so two plan branches that each
+  ran their own range exchange could disagree.  Step 2's result is therefore
+  pinned once with a reliable ``checkpoint()`` in the shared
+  ``spark.checkpoint.dir``, which also survives executor loss.
+
+NULL keys form one key, as in SQL window partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cyclestat.sources.scratch import checkpoint_root
 
-_PID, _KNULL, _KVAL, _RN, _HAS = "_seq_pid", "_seq_knull", "_seq_kval", "_seq_rn", "_seq_has_next"
+_PID, _RN, _HAS = "_seq_pid", "_seq_rn", "_seq_has_next"
+STRATEGIES = ("auto", "window", "range")
 
 
-def _null_safe_key(df: DataFrame, key: str) -> Column:
-    dtype = df.schema[key].dataType
-    if isinstance(dtype, T.StringType):
-        zero = F.lit("")
-    elif isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType,
-                            T.TimestampType, T.TimestampNTZType)):
-        zero = F.lit(0).cast(dtype)
-    else:
-        raise TypeError(f"with_next: unsupported key type {dtype.simpleString()}")
-    return F.coalesce(F.col(key), zero)
+def largest_group_is_heavy(df: DataFrame, key: str, num_partitions: int) -> bool:
+    """True when one ``key`` holds more than twice a partition's fair share."""
+    stats = df.groupBy(key).count().agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first()
+    if stats is None or stats["n"] is None:
+        return False
+    return stats["mx"] > 2 * stats["n"] / num_partitions
 
 
 def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str],
-              prefix: str = "next_", num_partitions: int | None = None) -> DataFrame:
+              prefix: str = "next_", num_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``carry``: the value of ``c`` on the
     next row of the same ``key`` in ``order`` (NULL on a key's last row).
 
     ``order`` must be a total order within a key (add a unique column last),
-    as with a deterministic ``lead``.  Output keeps all input columns.
+    as with a deterministic ``lead``.  Output keeps all input columns; row
+    order and partitioning of the output are unspecified.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
     if num_partitions is None:
         num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordering = [F.col(o).asc_nulls_first() for o in order]
+    if strategy == "auto":
+        strategy = "range" if largest_group_is_heavy(df, key, num_partitions) else "window"
+    if strategy == "window":
+        w = Window.partitionBy(key).orderBy(*ordering)
+        return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in carry])
+
     cols = df.columns
-    ranged = (df.repartitionByRange(num_partitions, F.col(key).asc_nulls_first(),
-                                    *[F.col(o).asc_nulls_first() for o in order])
-              .withColumns({_PID: F.spark_partition_id(),
-                            _KNULL: F.col(key).isNull(),
-                            _KVAL: _null_safe_key(df, key)}))
-    chunk = [_PID, _KVAL, _KNULL]
-    w = Window.partitionBy(*chunk).orderBy(*[F.col(o).asc_nulls_first() for o in order])
-    local = ranged.select(
-        *cols, *chunk,
+    ranged = (df.repartitionByRange(num_partitions, F.col(key).asc_nulls_first(), *ordering)
+              .withColumn(_PID, F.spark_partition_id()))
+    w = Window.partitionBy(_PID, key).orderBy(*ordering)
+    local = ranged.repartitionById(num_partitions, _PID).select(
+        *cols, _PID,
         F.row_number().over(w).alias(_RN),
         F.lead(F.lit(True), 1, False).over(w).alias(_HAS),
         *[F.lead(c).over(w).alias(prefix + c) for c in carry],
     )
-    checkpoint_root(df.sparkSession)  # ensure a checkpoint folder is named
+    checkpoint_root(df.sparkSession)  # make sure a checkpoint folder is named
     local = local.checkpoint(eager=True)
-    heads = local.where(F.col(_RN) == 1).select(*chunk, *carry)
-    wk = Window.partitionBy(_KVAL, _KNULL).orderBy(_PID)
-    head_next = heads.select(*chunk, *[F.lead(c).over(wk).alias("_seq_h_" + c) for c in carry])
-    joined = local.join(head_next, on=chunk, how="left")
-    return joined.select(
-        *cols,
-        *[F.when(F.col(_HAS), F.col(prefix + c)).otherwise(F.col("_seq_h_" + c)).alias(prefix + c)
-          for c in carry],
-    )
+
+    nexts = [prefix + c for c in carry]
+    interior = local.where(F.col(_HAS)).select(*cols, *nexts)
+    edges = local.where((F.col(_RN) == 1) | ~F.col(_HAS))
+    we = Window.partitionBy(key).orderBy(_PID, _RN)
+    boundary = (edges.select(*cols, _HAS, *[F.lead(c).over(we).alias(prefix + c) for c in carry])
+                .where(~F.col(_HAS)).select(*cols, *nexts))
+    return interior.unionByName(boundary)

@@ -66,22 +66,42 @@ def _lead_reference(df):
     return df.select("id", F.lead("v").over(w).alias("next_v"))
 
 
+@pytest.mark.parametrize("strategy", ["range", "window", "auto"])
 @pytest.mark.parametrize("parts", [1, 3, 16])
-def test_with_next_equals_lead_with_hot_and_null_keys(spark, parts):
+def test_with_next_equals_lead_with_hot_and_null_keys(spark, parts, strategy):
     rnd = random.Random(parts)
     rows = []
     for i in range(3000):
         k = 0 if rnd.random() < 0.4 else (None if rnd.random() < 0.05 else rnd.randrange(50))
         rows.append((i, k, rnd.randrange(500), None if rnd.random() < 0.1 else rnd.random()))
     df = spark.createDataFrame(rows, "id long, k long, o long, v double")
-    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], num_partitions=parts).collect()}
+    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], num_partitions=parts,
+                                                strategy=strategy).collect()}
     want = {r.id: r.next_v for r in _lead_reference(df).collect()}
     assert got == want
 
 
-def test_with_next_keeps_columns(spark):
+@pytest.mark.parametrize("strategy", ["range", "window"])
+def test_with_next_keeps_columns(spark, strategy):
     df = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id long, k long, o long")
-    assert with_next(df, "k", ["o"], ["id"]).columns == ["id", "k", "o", "next_id"]
+    assert with_next(df, "k", ["o"], ["id"], strategy=strategy).columns == ["id", "k", "o", "next_id"]
+
+
+def test_with_next_auto_detects_hot_key(spark):
+    from cyclestat.operators.sequence import largest_group_is_heavy
+    hot = spark.range(1000).select((F.when(F.col("id") < 400, 0).otherwise(F.col("id"))).alias("k"))
+    flat = spark.range(1000).select((F.col("id") % 100).alias("k"))
+    assert largest_group_is_heavy(hot, "k", 8)
+    assert not largest_group_is_heavy(flat, "k", 8)
+
+
+def test_with_next_range_path_balances_hot_key(spark):
+    # one key holds 60% of rows; the range path's chunks stay near n / parts
+    df = spark.range(20000).select("id", F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id")).alias("k"))
+    out = with_next(df, "k", ["id"], ["id"], num_partitions=8, strategy="range")
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 20000 / 8
+    assert out.where("next_id IS NULL").count() == df.select("k").distinct().count()
 
 
 def test_bounded_broadcast(spark):
