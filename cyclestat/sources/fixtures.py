@@ -114,7 +114,12 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
             path = scratch_path(spark, "trips", tag)
-            derive_trips(spark, sf_dir).write.mode("overwrite").parquet(path)
+            # At least one file per core, so small tables still scan in
+            # parallel; at scale each task writes far fewer rows than this cap.
+            rows = read_table(spark, sf_dir, "events").count()  # Parquet footers only
+            per_file = max(1, -(-rows // spark.sparkContext.defaultParallelism))
+            (derive_trips(spark, sf_dir).write.mode("overwrite")
+             .option("maxRecordsPerFile", per_file).parquet(path))
             _MATERIALISED[key] = path
     return spark.read.parquet(path)
 
