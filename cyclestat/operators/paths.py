@@ -22,30 +22,39 @@ PERIODS = ("wkdy_am", "wkdy_pm", "wknd")
 def ordered_pair():
     """(first, second) station name of a trip in binary string order.
 
-    ``when(start < end, ..).otherwise(..)``: a NULL name makes the test
-    NULL, so the ``otherwise`` branch is taken, as in the source analysis.
+    ``when(start < end, ..).otherwise(..)`` as in the source analysis; when
+    either name is NULL both are NULL, so all trips with a NULL name form one
+    group (the source's joined text is NULL for all of them).
     """
     s, e = F.col(S.START_NAME), F.col(S.END_NAME)
-    first = F.when(s < e, s).otherwise(e)
-    second = F.when(s < e, e).otherwise(s)
+    known = s.isNotNull() & e.isNotNull()
+    first = F.when(known, F.when(s < e, s).otherwise(e))
+    second = F.when(known, F.when(s < e, e).otherwise(s))
     return first, second
 
 
-def undirected_path_counts(trips: DataFrame) -> DataFrame:
-    """Trips per unordered station pair: (``station_names`` "a - b", ``count``
-    int, ``pct_subscriber`` double 0..1).
+def undirected_pair_counts(trips: DataFrame) -> DataFrame:
+    """Trips per unordered station pair: (``station_1``, ``station_2``,
+    ``station_names`` "a - b", ``count`` int, ``pct_subscriber`` double 0..1).
 
-    The pair key is the joined text (NULL if either name is NULL, so all
-    trips with a NULL name form one NULL group).  ``usertype`` NULL counts as
-    not a subscriber and stays in the denominator.
+    Grouped on the two name columns; the text is built after aggregation,
+    for display.  This equals grouping on the text (the source analysis)
+    except when a name itself contains the separator, where the text would
+    merge different pairs.  ``usertype`` NULL counts as not a subscriber and
+    stays in the denominator.
     """
     first, second = ordered_pair()
     is_sub = F.when(F.col(S.USERTYPE) == S.SUBSCRIBER, 1).otherwise(0)
-    return (trips.select(F.concat(first, F.lit(S.PATH_SEPARATOR), second).alias("station_names"),
-                         is_sub.alias("is_subscriber"))
-            .groupBy("station_names")
+    return (trips.select(first.alias("station_1"), second.alias("station_2"), is_sub.alias("is_subscriber"))
+            .groupBy("station_1", "station_2")
             .agg(F.count(F.lit(1)).cast("int").alias("count"),
-                 F.avg("is_subscriber").alias("pct_subscriber")))
+                 F.avg("is_subscriber").alias("pct_subscriber"))
+            .withColumn("station_names", F.concat("station_1", F.lit(S.PATH_SEPARATOR), "station_2")))
+
+
+def undirected_path_counts(trips: DataFrame) -> DataFrame:
+    """(``station_names``, ``count``, ``pct_subscriber``) per unordered pair."""
+    return undirected_pair_counts(trips).select("station_names", "count", "pct_subscriber")
 
 
 def undirected_paths_top(trips: DataFrame, k: int = S.TOP_UNDIRECTED) -> DataFrame:
@@ -55,16 +64,18 @@ def undirected_paths_top(trips: DataFrame, k: int = S.TOP_UNDIRECTED) -> DataFra
 
 def split_path_names(paths: DataFrame) -> DataFrame:
     """(``count``, ``station_1``, ``station_2``) by splitting ``station_names``
-    on the separator.  A name that itself contains the separator is cut at it,
-    exactly like the text split of the source analysis."""
+    on the separator -- the source analysis' way back from text to names.  A
+    name that itself contains the separator is cut at it, exactly as there;
+    :func:`undirected_pair_counts` already carries both names uncut."""
     parts = F.split(F.col("station_names"), S.PATH_SEPARATOR)
     return paths.select("count",
                         F.get(parts, 0).alias("station_1"),
                         F.get(parts, 1).alias("station_2"))
 
 
-def path_coordinates(split_paths: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Attach both ends' coordinates from a station lookup (inner joins).
+def path_coordinates(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Attach both ends' coordinates from a station lookup (inner joins) to a
+    table with ``station_1``, ``station_2`` and ``count``.
 
     Output columns ``station_1, station_2, count, lat_1, lon_1, lon_2, lat_2``.
     With the faithful lookup a name with several coordinates multiplies rows
@@ -74,7 +85,7 @@ def path_coordinates(split_paths: DataFrame, lookup: DataFrame) -> DataFrame:
     broadcasts it once its measured size is known to be small.
     """
     lut = lookup.select(S.START_NAME, S.START_LON, S.START_LAT)
-    first = (split_paths.join(lut, F.col("station_1") == F.col(S.START_NAME))
+    first = (pairs.join(lut, F.col("station_1") == F.col(S.START_NAME))
              .select("station_1", "station_2", "count",
                      F.col(S.START_LON).alias("lon_1"), F.col(S.START_LAT).alias("lat_1")))
     return (first.join(lut, F.col("station_2") == F.col(S.START_NAME))
@@ -82,8 +93,8 @@ def path_coordinates(split_paths: DataFrame, lookup: DataFrame) -> DataFrame:
                     F.col(S.START_LON).alias("lon_2"), F.col(S.START_LAT).alias("lat_2")))
 
 
-def path_coordinates_top(split_paths: DataFrame, lookup: DataFrame, k: int = S.TOP_PATHS) -> DataFrame:
-    coords = path_coordinates(split_paths, lookup)
+def path_coordinates_top(pairs: DataFrame, lookup: DataFrame, k: int = S.TOP_PATHS) -> DataFrame:
+    coords = path_coordinates(pairs, lookup)
     return top_k(coords, k, "count", [c for c in COORD_COLUMNS if c != "count"])
 
 

@@ -45,6 +45,19 @@ def station_lookup(trips: DataFrame, ordered: bool = False) -> DataFrame:
     return out.orderBy(*[F.col(c).asc_nulls_first() for c in START_KEYS]) if ordered else out
 
 
+def with_coordinate_variants(lookup: DataFrame, name: str = S.START_NAME) -> DataFrame:
+    """Add ``coordinate_variants``: how many coordinates the station name has
+    in the lookup (more than 1 means joins on that name fan out).
+
+    Being a window over the name, it also keeps later filters on derived
+    coordinates (e.g. a projected viewport) on the small lookup: Catalyst
+    pushes a predicate below a window only when it reads partition columns
+    alone, so the projection is not moved below the distinct aggregate onto
+    every trip end.
+    """
+    return lookup.withColumn("coordinate_variants", F.count(F.lit(1)).over(Window.partitionBy(name)))
+
+
 def start_station_counts(trips: DataFrame) -> DataFrame:
     """Trips per start (name, longitude, latitude): ``count`` bigint."""
     return trips.groupBy(*START_KEYS).count()

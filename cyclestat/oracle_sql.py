@@ -63,6 +63,12 @@ DORDER = ("count DESC, start_station_name NULLS FIRST, start_station_latitude NU
 PAIR = ("CASE WHEN start_station_name < end_station_name THEN start_station_name ELSE end_station_name END"
         " || ' - ' || "
         "CASE WHEN start_station_name < end_station_name THEN end_station_name ELSE start_station_name END")
+S1 = ("CASE WHEN start_station_name < end_station_name THEN start_station_name ELSE end_station_name END")
+S2 = ("CASE WHEN start_station_name < end_station_name THEN end_station_name ELSE start_station_name END")
+PAIRS = f"""pairs AS (
+  SELECT {S1} AS station_1, {S2} AS station_2, CAST(COUNT(*) AS INTEGER) AS count
+  FROM trips WHERE start_station_name IS NOT NULL AND end_station_name IS NOT NULL
+  GROUP BY 1, 2)"""
 UNDIRECTED = f"""undirected AS (
   SELECT station_names, CAST(COUNT(*) AS INTEGER) AS count, AVG(is_subscriber) AS pct_subscriber
   FROM (SELECT {PAIR} AS station_names,
@@ -177,12 +183,11 @@ SQL: dict[str, str] = {
     "undirected_path_split": _with(UNDIRECTED) + """
       SELECT count, split_part(station_names, ' - ', 1) AS station_1,
              split_part(station_names, ' - ', 2) AS station_2 FROM undirected""",
-    "path_coords_top1000": _with(UNDIRECTED, LOOKUP) + """
+    "path_coords_top1000": _with(PAIRS, LOOKUP) + """
       SELECT p.station_1, p.station_2, p.count,
              a.start_station_latitude AS lat_1, a.start_station_longitude AS lon_1,
              b.start_station_longitude AS lon_2, b.start_station_latitude AS lat_2
-      FROM (SELECT count, split_part(station_names, ' - ', 1) AS station_1,
-                   split_part(station_names, ' - ', 2) AS station_2 FROM undirected) p
+      FROM pairs p
       JOIN lut a ON p.station_1 = a.start_station_name
       JOIN lut b ON p.station_2 = b.start_station_name
       ORDER BY count DESC, station_1 NULLS FIRST, station_2 NULLS FIRST, lat_1 NULLS FIRST,
@@ -203,8 +208,9 @@ SQL: dict[str, str] = {
       SELECT *, round({_SX}, 3) AS start_x_ft, round({_SY}, 3) AS start_y_ft,
              round({_EX}, 3) AS end_x_ft, round({_EY}, 3) AS end_y_ft FROM top""",
     "stations_in_viewport": _with(LOOKUP, f"""proj AS (
-        SELECT *, {_LX} AS x_ft, {_LY} AS y_ft FROM lut)""") + f"""
-      SELECT start_station_name, start_station_longitude, start_station_latitude,
+        SELECT *, {_LX} AS x_ft, {_LY} AS y_ft,
+               COUNT(*) OVER (PARTITION BY start_station_name) AS coordinate_variants FROM lut)""") + f"""
+      SELECT start_station_name, start_station_longitude, start_station_latitude, coordinate_variants,
              round(x_ft, 3) AS x_ft, round(y_ft, 3) AS y_ft FROM proj
       WHERE x_ft BETWEEN {_lit(VIEWPORT_X[0])} AND {_lit(VIEWPORT_X[1])}
         AND y_ft BETWEEN {_lit(VIEWPORT_Y[0])} AND {_lit(VIEWPORT_Y[1])}""",
@@ -225,12 +231,11 @@ SQL: dict[str, str] = {
       FROM proj, LATERAL (SELECT generate_series AS position
                           FROM generate_series(1, CASE WHEN is_loop THEN 1 ELSE 100 END))
       ORDER BY path_rank, position""",
-    "project_path_coords": _with(UNDIRECTED, LOOKUP, """top AS (
+    "project_path_coords": _with(PAIRS, LOOKUP, """top AS (
       SELECT p.station_1, p.station_2, p.count,
              a.start_station_latitude AS lat_1, a.start_station_longitude AS lon_1,
              b.start_station_longitude AS lon_2, b.start_station_latitude AS lat_2
-      FROM (SELECT count, split_part(station_names, ' - ', 1) AS station_1,
-                   split_part(station_names, ' - ', 2) AS station_2 FROM undirected) p
+      FROM pairs p
       JOIN lut a ON p.station_1 = a.start_station_name
       JOIN lut b ON p.station_2 = b.start_station_name
       ORDER BY count DESC, station_1 NULLS FIRST, station_2 NULLS FIRST, lat_1 NULLS FIRST,

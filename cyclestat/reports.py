@@ -110,8 +110,7 @@ def undirected_path_split(spark, d):
 
 def path_coords_top1000(spark, d):
     t = _trips(spark, d)
-    split = paths.split_path_names(paths.undirected_path_counts(t))
-    return paths.path_coordinates_top(split, stations.station_lookup(t), S.TOP_PATHS)
+    return paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t), S.TOP_PATHS)
 
 
 def directed_paths_top1000(spark, d):
@@ -147,7 +146,7 @@ def project_paths(spark, d):
 
 
 def stations_in_viewport(spark, d):
-    lut = stations.station_lookup(_trips(spark, d))
+    lut = stations.with_coordinate_variants(stations.station_lookup(_trips(spark, d)))
     projected = maps.with_projection(lut, S.START_LON, S.START_LAT, "x_ft", "y_ft")
     inside = maps.stations_in_viewport(projected)
     return inside.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")}) \
@@ -171,8 +170,8 @@ def project_path_coords(spark, d):
     """The undirected path map: first 100 rows of the coordinate table (after
     fan-out, as drawn), both ends projected, loop or segment."""
     t = _trips(spark, d)
-    split = paths.split_path_names(paths.undirected_path_counts(t))
-    top = paths.path_coordinates_top(split, stations.station_lookup(t), S.TOP_UNDIRECTED)
+    top = paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t),
+                                     S.TOP_UNDIRECTED)
     return maps.project_path_coordinates(top, decimals=FEET_DECIMALS) \
         .withColumn("path_kind", maps.path_kind("station_1", "station_2"))
 

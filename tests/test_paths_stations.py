@@ -122,3 +122,20 @@ def test_sum_of_counts_is_row_count(spark):
     for agg in (paths.directed_path_counts(df), stations.start_station_counts(df)):
         assert agg.agg(F.sum("count")).first()[0] == len(rows)
     assert paths.undirected_path_counts(df).agg(F.sum("count")).first()[0] == len(rows)
+
+
+def test_pair_grouping_keeps_names_with_separator_apart(spark):
+    df = trips(spark, [trip("A - B", "C"), trip("A", "B - C"), trip("C", "A - B")])
+    got = sorted((r.station_1, r.station_2, r["count"], r.station_names)
+                 for r in paths.undirected_pair_counts(df).collect())
+    assert got == [("A", "B - C", 1, "A - B - C"), ("A - B", "C", 2, "A - B - C")]
+    # the text-based route of the source analysis merges and cuts them
+    split = paths.split_path_names(paths.undirected_path_counts(df)).collect()
+    assert sorted((r.station_1, r.station_2) for r in split) == [("A", "B"), ("A", "B")]
+
+
+def test_coordinate_variants_and_viewport_stay_on_lookup(spark):
+    df = trips(spark, [trip("A", "B", a_xy=(40.7, -74.0)), trip("A", "B", a_xy=(40.7001, -74.0))])
+    got = {(r.start_station_name, r.start_station_latitude): r.coordinate_variants
+           for r in stations.with_coordinate_variants(stations.station_lookup(df)).collect()}
+    assert got == {("A", 40.7): 2, ("A", 40.7001): 2, ("B", 40.71): 1}
