@@ -6,6 +6,7 @@ nothing leaves the JVM, so whole-stage codegen stays unbroken.
 
 from cyclestat.functions.calendar import (
     day_label,
+    day_label_of,
     epoch_seconds,
     hour_in,
     is_weekday_trip,
@@ -24,6 +25,7 @@ from cyclestat.functions.timeparse import parse_trip_time, render_trip_time
 
 __all__ = [
     "day_label",
+    "day_label_of",
     "epoch_seconds",
     "hour_in",
     "is_weekday_trip",

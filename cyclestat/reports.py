@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from cyclestat import schema as S
 from cyclestat.functions.timeparse import LAYOUTS, parse_trip_time, render_trip_time
 from cyclestat.operators import calendar, ingest, maps, paths, stations, usage
-from cyclestat.plans.topk import top_k
 from cyclestat.sources import csv_trips, fixtures, tables
 from cyclestat.sources.scratch import fresh_path
 

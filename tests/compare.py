@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import os
+
 import duckdb
 import pandas as pd
 
@@ -21,7 +23,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-import os  # noqa: E402
+
+EXACT = os.environ.get("CYCLESTAT_EXACT_FLOATS") == "1"
 
 
 def _norm(v):
@@ -30,7 +33,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
     if hasattr(v, "item"):
