@@ -26,6 +26,13 @@ def with_trip_calendar(trips: DataFrame) -> DataFrame:
     }).withColumn("trip_length_sec", F.col("stoptime_unix") - F.col("starttime_unix"))
 
 
+def with_start_month(trips: DataFrame, name: str = "start_month") -> DataFrame:
+    """Add the start month as ``yyyy-MM`` text (a partition column for the
+    trips table); built from calendar fields, so zone-free."""
+    month = F.format_string("%04d-%02d", F.year(S.STARTTIME), F.month(S.STARTTIME))
+    return trips.withColumn(name, month)
+
+
 def weekday_trips(trips: DataFrame, max_seconds: int = S.MAX_TRIP_SECONDS) -> DataFrame:
     """Trips of at most ``max_seconds`` (inclusive) starting and ending Mon-Fri,
     with the calendar columns."""

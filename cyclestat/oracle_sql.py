@@ -286,4 +286,5 @@ SQL: dict[str, str] = {
       GROUP BY 1 ORDER BY 1""",
     "ingest_csv": _with() + INGEST_ALL,
     "trips_table_roundtrip": _with() + "SELECT * FROM trips",
+    "trips_table_by_month": _with() + "SELECT *, strftime(starttime, '%Y-%m') AS start_month FROM trips",
 }

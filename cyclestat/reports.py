@@ -241,6 +241,14 @@ def trips_table_roundtrip(spark, d):
     return tables.read_table(spark, name)
 
 
+def trips_table_by_month(spark, d):
+    """The trips saved as a table partitioned by start month, read back whole."""
+    name = f"cyclestat_trips_month_{uuid.uuid4().hex[:12]}"
+    tables.save_table(calendar.with_start_month(_trips(spark, d)), name,
+                      path=fresh_path(spark, name), partition_by=["start_month"])
+    return tables.read_table(spark, name)
+
+
 REPORTS: dict[str, Report] = {
     "trips": trips,
     "trip_calendar": trip_calendar,
@@ -281,6 +289,7 @@ REPORTS: dict[str, Report] = {
     "ingest_time_rejects": ingest_time_rejects,
     "ingest_csv": ingest_csv,
     "trips_table_roundtrip": trips_table_roundtrip,
+    "trips_table_by_month": trips_table_by_month,
 }
 
 FLAGSHIP = "path_coords_top1000"

@@ -13,8 +13,14 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     one statement, no interval in which the table is missing).
 
     ``path`` makes it an external table at that location (shared storage);
-    ``partition_by`` e.g. a month column lets time-bounded queries prune files.
+    ``partition_by`` e.g. a month column lets time-bounded queries prune
+    directories.  Rows are first rebalanced on the partition columns: each
+    writer task then holds few partition values (few files), and adaptive
+    execution splits a value that is too large (a month holding a third of
+    the data) over several tasks instead of one.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
