@@ -280,9 +280,11 @@ SQL: dict[str, str] = {
     + _ingest_select(SEC, "2016-10"),
     "ingest_trips": _with() + INGEST_ALL,
     "ingest_time_rejects": _with() + """
-      SELECT m.source_month, COUNT(*) AS rows, CAST(0 AS BIGINT) AS bad_starttime,
-             CAST(0 AS BIGINT) AS bad_stoptime
-      FROM trips, (VALUES ('2013-07'), ('2015-01'), ('2016-10')) m(source_month)
+      SELECT m.source_month, COUNT(*) AS rows,
+             CAST(SUM(CASE WHEN m.day_first AND day(starttime) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS bad_starttime,
+             CAST(SUM(CASE WHEN m.day_first AND day(stoptime) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS bad_stoptime
+      FROM trips, (VALUES ('2013-07', false), ('2015-01', false), ('2016-10', false), ('2015-06', true))
+                  m(source_month, day_first)
       GROUP BY 1 ORDER BY 1""",
     "ingest_csv": _with() + INGEST_ALL,
     "trips_table_roundtrip": _with() + "SELECT * FROM trips",

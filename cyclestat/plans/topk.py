@@ -3,7 +3,7 @@
 ``orderBy(...).limit(k)`` plans as ``TakeOrderedAndProject``: every task keeps
 its own best ``k`` rows and only those reach the final merge, so no global
 sort and no unbounded data on one task.  Every ordering ends with the key
-columns, so ties come out in one fixed order (the reference leaves tie order
+columns, so ties come out in one fixed order (the source analysis leaves tie order
 unspecified; a fixed one is needed for any comparison).
 
 ``top_k_per_group`` filters ``row_number() <= k``; Spark plans this as a

@@ -221,7 +221,10 @@ def ingest_trips(spark, d):
 
 
 def ingest_time_rejects(spark, d):
+    """Unparsable time text per feed month: the three valid generations plus
+    one month written day-first by mistake."""
     raws = [ingest.normalise_headers(r) for _, r in _raw_feeds(spark, d)]
+    raws.append(ingest.normalise_headers(fixtures.render_day_first_feed(_trips(spark, d), "2015-06")))
     return ingest.time_rejects(ingest.union_positional(raws), group_by="source_month").orderBy("source_month")
 
 
