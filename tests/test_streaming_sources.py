@@ -1,7 +1,8 @@
 from cyclestat.sources import csv_trips, fixtures
 from cyclestat.sources.scratch import fresh_path
 from cyclestat.sources.tables import drop_table, read_table, save_table
-from cyclestat.streaming import stream_trip_csvs, write_trips_stream
+from cyclestat.operators import stations, usage
+from cyclestat.streaming import publish_running, running_report, stream_trip_csvs, write_trips_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,20 @@ def test_table_replace_and_drop(spark):
     assert read_table(spark, name).count() == 5
     drop_table(spark, name)
     assert not spark.catalog.tableExists(name)
+
+
+def test_running_reports_equal_batch(spark):
+    t, base = _land_feed(spark)
+    dirs = [csv_trips.join_path(base, m) for m, _, _ in fixtures.FEED_GENERATIONS]
+    schema = csv_trips.master_schema(spark, dirs[0])
+    batch = csv_trips.read_trip_csvs(spark, dirs)
+    for name, op in (("station_uses", stations.station_uses), ("hourly_usage", usage.hourly_usage)):
+        stream = stream_trip_csvs(spark, csv_trips.join_path(base, "*"), schema, max_files_per_trigger=1,
+                                  source_column=None)
+        out = fresh_path(spark, f"running-{name}")
+        q = publish_running(running_report(stream, name), out, fresh_path(spark, f"running-ckpt-{name}"))
+        q.awaitTermination(180)
+        got = spark.read.parquet(out)
+        want = op(batch)
+        assert got.count() == want.count()
+        assert got.exceptAll(want.select(*got.columns)).count() == 0
