@@ -58,8 +58,10 @@ def undirected_path_counts(trips: DataFrame) -> DataFrame:
 
 
 def undirected_paths_top(trips: DataFrame, k: int = S.TOP_UNDIRECTED) -> DataFrame:
-    """The ``k`` most travelled unordered pairs."""
-    return top_k(undirected_path_counts(trips), k, "count", ["station_names"])
+    """The ``k`` most travelled unordered pairs (ties by text, then names,
+    which also orders two pairs whose joined text is the same)."""
+    top = top_k(undirected_pair_counts(trips), k, "count", ["station_names", "station_1", "station_2"])
+    return top.select("station_names", "count", "pct_subscriber")
 
 
 def split_path_names(paths: DataFrame) -> DataFrame:
