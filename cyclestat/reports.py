@@ -1,5 +1,9 @@
 """The named reports of the trip analysis, each ``(spark, data_dir) -> DataFrame``.
 
+Reports are sorted where the source analysis sorts (counts descending,
+hours, names, days); sets it returns unsorted stay unsorted, which saves a
+sampling job and a global sort each.
+
 Every report reads the trips derived from the data folder's tables (see
 :mod:`cyclestat.sources.fixtures`) and is built only from library operators;
 this module holds no logic of its own beyond wiring and display order.
@@ -57,7 +61,7 @@ def station_lookup(spark, d):
 
 
 def station_lookup_canonical(spark, d):
-    return stations.station_lookup_canonical(_trips(spark, d)).orderBy(S.START_NAME)
+    return stations.station_lookup_canonical(_trips(spark, d))
 
 
 def start_station_counts(spark, d):
@@ -69,7 +73,8 @@ def end_station_counts(spark, d):
 
 
 def station_uses(spark, d):
-    return _by_count(stations.station_uses(_trips(spark, d)), stations.USE_KEYS)
+    # unordered, like the source's station-use table
+    return stations.station_uses(_trips(spark, d))
 
 
 # --- time of use --------------------------------------------------------------
@@ -86,7 +91,7 @@ hourly_stop_weekend = _hourly("stop", "weekend")
 
 
 def hourly_usage(spark, d):
-    return usage.hourly_usage(_trips(spark, d)).orderBy("day_type", "series", "hour")
+    return usage.hourly_usage(_trips(spark, d))
 
 
 def day_of_week_counts(spark, d):
@@ -136,7 +141,7 @@ def directed_paths_by_period(spark, d):
 
 def project_stations(spark, d):
     uses = stations.station_uses(_trips(spark, d))
-    return _by_count(maps.project_stations(uses, decimals=FEET_DECIMALS), stations.USE_KEYS)
+    return maps.project_stations(uses, decimals=FEET_DECIMALS)
 
 
 def project_paths(spark, d):
@@ -148,8 +153,7 @@ def stations_in_viewport(spark, d):
     lut = stations.with_coordinate_variants(stations.station_lookup(_trips(spark, d)))
     projected = maps.with_projection(lut, S.START_LON, S.START_LAT, "x_ft", "y_ft")
     inside = maps.stations_in_viewport(projected)
-    return inside.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")}) \
-        .orderBy(*stations.START_KEYS)
+    return inside.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
 def path_kind(spark, d):
@@ -161,8 +165,7 @@ def path_segments(spark, d):
     counts = paths.directed_path_counts(_trips(spark, d))
     ranked = maps.rank_paths(counts, S.MAP_PATHS, paths.DIRECTED_KEYS)
     segs = maps.path_segments(maps.project_paths(ranked), S.POINTS_PER_PATH)
-    return segs.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")}) \
-        .orderBy("path_rank", "position")
+    return segs.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
 def project_path_coords(spark, d):
@@ -225,7 +228,7 @@ def ingest_time_rejects(spark, d):
     one month written day-first by mistake."""
     raws = [ingest.normalise_headers(r) for _, r in _raw_feeds(spark, d)]
     raws.append(ingest.normalise_headers(fixtures.render_day_first_feed(_trips(spark, d), "2015-06")))
-    return ingest.time_rejects(ingest.union_positional(raws), group_by="source_month").orderBy("source_month")
+    return ingest.time_rejects(ingest.union_positional(raws), group_by="source_month")
 
 
 def ingest_csv(spark, d):
