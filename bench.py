@@ -25,7 +25,7 @@ from cyclestat.plans.config import local_settings  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("cyclestat-bench")
     for k, v in local_settings(cpus).items():
         builder = builder.config(k, v)
