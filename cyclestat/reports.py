@@ -24,6 +24,7 @@ from cyclestat.sources import csv_trips, fixtures, tables
 from cyclestat.sources.scratch import fresh_path
 
 Report = Callable[[SparkSession, str], DataFrame]
+TripReport = Callable[[DataFrame], DataFrame]
 
 FEET_DECIMALS = 3
 
@@ -38,50 +39,50 @@ def _by_count(df: DataFrame, keys) -> DataFrame:
 
 # --- trips and calendar -------------------------------------------------------
 
-def trips(spark, d):
-    return _trips(spark, d)
+def trips(t: DataFrame) -> DataFrame:
+    return t
 
 
-def trip_calendar(spark, d):
-    return calendar.with_trip_calendar(_trips(spark, d))
+def trip_calendar(t: DataFrame) -> DataFrame:
+    return calendar.with_trip_calendar(t)
 
 
-def weekday_trips(spark, d):
-    return calendar.weekday_trips(_trips(spark, d))
+def weekday_trips(t: DataFrame) -> DataFrame:
+    return calendar.weekday_trips(t)
 
 
-def weekend_trips(spark, d):
-    return calendar.weekend_trips(_trips(spark, d))
+def weekend_trips(t: DataFrame) -> DataFrame:
+    return calendar.weekend_trips(t)
 
 
 # --- stations -----------------------------------------------------------------
 
-def station_lookup(spark, d):
-    return stations.station_lookup(_trips(spark, d), ordered=True)
+def station_lookup(t: DataFrame) -> DataFrame:
+    return stations.station_lookup(t, ordered=True)
 
 
-def station_lookup_canonical(spark, d):
-    return stations.station_lookup_canonical(_trips(spark, d))
+def station_lookup_canonical(t: DataFrame) -> DataFrame:
+    return stations.station_lookup_canonical(t)
 
 
-def start_station_counts(spark, d):
-    return _by_count(stations.start_station_counts(_trips(spark, d)), stations.START_KEYS)
+def start_station_counts(t: DataFrame) -> DataFrame:
+    return _by_count(stations.start_station_counts(t), stations.START_KEYS)
 
 
-def end_station_counts(spark, d):
-    return _by_count(stations.end_station_counts(_trips(spark, d)), stations.END_KEYS)
+def end_station_counts(t: DataFrame) -> DataFrame:
+    return _by_count(stations.end_station_counts(t), stations.END_KEYS)
 
 
-def station_uses(spark, d):
+def station_uses(t: DataFrame) -> DataFrame:
     # unordered, like the source's station-use table
-    return stations.station_uses(_trips(spark, d))
+    return stations.station_uses(t)
 
 
 # --- time of use --------------------------------------------------------------
 
-def _hourly(end: str, day_type: str) -> Report:
+def _hourly(end: str, day_type: str) -> TripReport:
     name = f"{end}_hour"
-    return lambda spark, d: usage.hourly_counts(_trips(spark, d), end, day_type).orderBy(name)
+    return lambda t: usage.hourly_counts(t, end, day_type).orderBy(name)
 
 
 hourly_start_weekday = _hourly("start", "weekday")
@@ -90,104 +91,102 @@ hourly_start_weekend = _hourly("start", "weekend")
 hourly_stop_weekend = _hourly("stop", "weekend")
 
 
-def hourly_usage(spark, d):
-    return usage.hourly_usage(_trips(spark, d))
+def hourly_usage(t: DataFrame) -> DataFrame:
+    return usage.hourly_usage(t)
 
 
-def day_of_week_counts(spark, d):
-    return usage.day_of_week_counts(_trips(spark, d)).orderBy("ordinal_number")
+def day_of_week_counts(t: DataFrame) -> DataFrame:
+    return usage.day_of_week_counts(t).orderBy("ordinal_number")
 
 
 # --- paths --------------------------------------------------------------------
 
-def undirected_path_counts(spark, d):
-    return _by_count(paths.undirected_path_counts(_trips(spark, d)), ["station_names"])
+def undirected_path_counts(t: DataFrame) -> DataFrame:
+    return _by_count(paths.undirected_path_counts(t), ["station_names"])
 
 
-def undirected_paths_top100(spark, d):
-    return paths.undirected_paths_top(_trips(spark, d), S.TOP_UNDIRECTED)
+def undirected_paths_top100(t: DataFrame) -> DataFrame:
+    return paths.undirected_paths_top(t, S.TOP_UNDIRECTED)
 
 
-def undirected_path_split(spark, d):
-    return paths.split_path_names(paths.undirected_path_counts(_trips(spark, d)))
+def undirected_path_split(t: DataFrame) -> DataFrame:
+    return paths.split_path_names(paths.undirected_path_counts(t))
 
 
-def path_coords_top1000(spark, d):
-    t = _trips(spark, d)
+def path_coords_top1000(t: DataFrame) -> DataFrame:
     return paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t), S.TOP_PATHS)
 
 
-def directed_paths_top1000(spark, d):
-    return paths.directed_paths_top(_trips(spark, d), S.TOP_PATHS)
+def directed_paths_top1000(t: DataFrame) -> DataFrame:
+    return paths.directed_paths_top(t, S.TOP_PATHS)
 
 
-def directed_paths_wkdy_am(spark, d):
-    return paths.directed_paths_top(paths.weekday_morning(_trips(spark, d)), S.TOP_PATHS)
+def directed_paths_wkdy_am(t: DataFrame) -> DataFrame:
+    return paths.directed_paths_top(paths.weekday_morning(t), S.TOP_PATHS)
 
 
-def directed_paths_wkdy_pm(spark, d):
-    return paths.directed_paths_top(paths.weekday_evening(_trips(spark, d)), S.TOP_PATHS)
+def directed_paths_wkdy_pm(t: DataFrame) -> DataFrame:
+    return paths.directed_paths_top(paths.weekday_evening(t), S.TOP_PATHS)
 
 
-def directed_paths_wknd(spark, d):
-    return paths.directed_paths_top(paths.weekend(_trips(spark, d)), S.TOP_PATHS)
+def directed_paths_wknd(t: DataFrame) -> DataFrame:
+    return paths.directed_paths_top(paths.weekend(t), S.TOP_PATHS)
 
 
-def directed_paths_by_period(spark, d):
-    return paths.directed_paths_by_period(_trips(spark, d), S.MAP_PATHS)
+def directed_paths_by_period(t: DataFrame) -> DataFrame:
+    return paths.directed_paths_by_period(t, S.MAP_PATHS)
 
 
 # --- maps ---------------------------------------------------------------------
 
-def project_stations(spark, d):
-    uses = stations.station_uses(_trips(spark, d))
+def project_stations(t: DataFrame) -> DataFrame:
+    uses = stations.station_uses(t)
     return maps.project_stations(uses, decimals=FEET_DECIMALS)
 
 
-def project_paths(spark, d):
-    top = paths.directed_paths_top(_trips(spark, d), S.TOP_PATHS)
+def project_paths(t: DataFrame) -> DataFrame:
+    top = paths.directed_paths_top(t, S.TOP_PATHS)
     return maps.project_paths(top, decimals=FEET_DECIMALS)
 
 
-def stations_in_viewport(spark, d):
-    lut = stations.with_coordinate_variants(stations.station_lookup(_trips(spark, d)))
+def stations_in_viewport(t: DataFrame) -> DataFrame:
+    lut = stations.with_coordinate_variants(stations.station_lookup(t))
     projected = maps.with_projection(lut, S.START_LON, S.START_LAT, "x_ft", "y_ft")
     inside = maps.stations_in_viewport(projected)
     return inside.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
-def path_kind(spark, d):
-    top = paths.directed_paths_top(_trips(spark, d), S.TOP_PATHS)
+def path_kind(t: DataFrame) -> DataFrame:
+    top = paths.directed_paths_top(t, S.TOP_PATHS)
     return top.withColumn("path_kind", maps.path_kind())
 
 
-def path_segments(spark, d):
-    counts = paths.directed_path_counts(_trips(spark, d))
+def path_segments(t: DataFrame) -> DataFrame:
+    counts = paths.directed_path_counts(t)
     ranked = maps.rank_paths(counts, S.MAP_PATHS, paths.DIRECTED_KEYS)
     segs = maps.path_segments(maps.project_paths(ranked), S.POINTS_PER_PATH)
     return segs.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
-def project_path_coords(spark, d):
+def project_path_coords(t: DataFrame) -> DataFrame:
     """The undirected path map: first 100 rows of the coordinate table (after
     fan-out, as drawn), both ends projected, loop or segment."""
-    t = _trips(spark, d)
     top = paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t),
                                      S.TOP_UNDIRECTED)
     return maps.project_path_coordinates(top, decimals=FEET_DECIMALS) \
         .withColumn("path_kind", maps.path_kind("station_1", "station_2"))
 
 
-def period_path_segments(spark, d):
+def period_path_segments(t: DataFrame) -> DataFrame:
     """Line geometry of the three period maps (top 150 paths each)."""
-    ranked = paths.directed_paths_by_period(_trips(spark, d), S.MAP_PATHS)
+    ranked = paths.directed_paths_by_period(t, S.MAP_PATHS)
     segs = maps.path_segments(maps.project_paths(ranked), S.POINTS_PER_PATH, rank_col="rank",
                               carry=("period",))
     return segs.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
-def period_scale_limit(spark, d):
-    return maps.scale_limit(paths.directed_path_counts_by_period(_trips(spark, d)))
+def period_scale_limit(t: DataFrame) -> DataFrame:
+    return maps.scale_limit(paths.directed_path_counts_by_period(t))
 
 
 # --- ingest -------------------------------------------------------------------
@@ -255,7 +254,8 @@ def trips_table_by_month(spark, d):
     return tables.read_table(spark, name)
 
 
-REPORTS: dict[str, Report] = {
+# Reports over a trips table: the analysis itself, usable on any trips DataFrame.
+ON_TRIPS: dict[str, TripReport] = {
     "trips": trips,
     "trip_calendar": trip_calendar,
     "weekday_trips": weekday_trips,
@@ -288,6 +288,15 @@ REPORTS: dict[str, Report] = {
     "project_path_coords": project_path_coords,
     "period_path_segments": period_path_segments,
     "period_scale_limit": period_scale_limit,
+}
+
+
+def _on_derived_trips(fn: TripReport) -> Report:
+    return lambda spark, d: fn(_trips(spark, d))
+
+
+REPORTS: dict[str, Report] = {
+    **{name: _on_derived_trips(fn) for name, fn in ON_TRIPS.items()},
     "ingest_mixed_timestamps": ingest_mixed_timestamps,
     "ingest_header_normalise": ingest_header_normalise,
     "ingest_header_variants": ingest_header_variants,
