@@ -5,9 +5,11 @@ one task; a key holding a third of all rows would then be processed by a
 single core.  ``with_next`` gives the same answer and picks its plan from
 the data:
 
-* ``window``: the plain ``lead`` (one shuffle), used when no key holds more
-  than twice a partition's fair share of rows.  Deciding costs one narrow
-  aggregate over the key column (partial aggregation, one row to the driver).
+* ``window``: the plain ``lead`` (one shuffle), used unless some key holds
+  more than twice a partition's fair share of rows *and* more than
+  ``heavy_rows`` rows (a smaller group is cheap for one task however the
+  data is split).  Deciding costs one narrow aggregate over the key column
+  (partial aggregation, one row to the driver).
 * ``range``: for skewed keys, in three steps
 
   1. range-partition on ``(key, order...)``: the sampled bounds split a hot
@@ -42,18 +44,21 @@ from cyclestat.sources.scratch import checkpoint_root
 
 _PID, _RN, _HAS = "_seq_pid", "_seq_rn", "_seq_has_next"
 STRATEGIES = ("auto", "window", "range")
+HEAVY_ROWS = 1_000_000
 
 
-def largest_group_is_heavy(df: DataFrame, key: str, num_partitions: int) -> bool:
-    """True when one ``key`` holds more than twice a partition's fair share."""
+def largest_group_is_heavy(df: DataFrame, key: str, num_partitions: int, heavy_rows: int = HEAVY_ROWS) -> bool:
+    """True when one ``key`` holds more than twice a partition's fair share
+    and more than ``heavy_rows`` rows."""
     stats = df.groupBy(key).count().agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first()
     if stats is None or stats["n"] is None:
         return False
-    return stats["mx"] > 2 * stats["n"] / num_partitions
+    return stats["mx"] > max(2 * stats["n"] / num_partitions, heavy_rows)
 
 
 def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str],
-              prefix: str = "next_", num_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
+              prefix: str = "next_", num_partitions: int | None = None, strategy: str = "auto",
+              heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``carry``: the value of ``c`` on the
     next row of the same ``key`` in ``order`` (NULL on a key's last row).
 
@@ -67,7 +72,7 @@ def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str
         num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordering = [F.col(o).asc_nulls_first() for o in order]
     if strategy == "auto":
-        strategy = "range" if largest_group_is_heavy(df, key, num_partitions) else "window"
+        strategy = "range" if largest_group_is_heavy(df, key, num_partitions, heavy_rows) else "window"
     if strategy == "window":
         w = Window.partitionBy(key).orderBy(*ordering)
         return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in carry])

@@ -62,14 +62,16 @@ def _lon(k, d):
     return (F.lit(LON_BASE) + LON_BUCKET * k + LON_DOCK * d).cast("double") / COORD_SCALE
 
 
-def events_to_trips(events: DataFrame, nation: DataFrame) -> DataFrame:
-    """Trips (``trip_id`` + the canonical trip columns) from events and nations."""
+def events_to_trips(events: DataFrame, nation: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Trips (``trip_id`` + the canonical trip columns) from events and nations.
+    ``strategy`` is passed to :func:`with_next` (``auto`` picks by key skew)."""
     e = events.select(
         "event_id", "user_id", "ts", "event_type",
         F.least(F.floor(F.col("value") / BUCKET_WIDTH).cast("int"), F.lit(MAX_BUCKET)).alias("k"),
         (F.col("event_id") % DOCKS).cast("int").alias("d"),
     )
-    p = with_next(e, "user_id", ["ts", "event_id"], ["ts", "k", "d"]).where(F.col("next_ts").isNotNull())
+    p = with_next(e, "user_id", ["ts", "event_id"], ["ts", "k", "d"], strategy=strategy) \
+        .where(F.col("next_ts").isNotNull())
     names = bounded_broadcast(nation.select("n_nationkey", "n_name"), max_rows=100_000)
     s = names.select(F.col("n_nationkey").alias("_sk"), F.col("n_name").alias("_sn"))
     x = names.select(F.col("n_nationkey").alias("_xk"), F.col("n_name").alias("_xn"))

@@ -90,8 +90,9 @@ def test_with_next_auto_detects_hot_key(spark):
     from cyclestat.operators.sequence import largest_group_is_heavy
     hot = spark.range(1000).select((F.when(F.col("id") < 400, 0).otherwise(F.col("id"))).alias("k"))
     flat = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert largest_group_is_heavy(hot, "k", 8)
-    assert not largest_group_is_heavy(flat, "k", 8)
+    assert largest_group_is_heavy(hot, "k", 8, heavy_rows=100)
+    assert not largest_group_is_heavy(hot, "k", 8)  # 400 rows: below the default row floor
+    assert not largest_group_is_heavy(flat, "k", 8, heavy_rows=1)
 
 
 def test_with_next_range_path_balances_hot_key(spark):

@@ -25,6 +25,10 @@ def test_trips_with_a_hot_user_equal_sql_lead(spark):
     hot.write.parquet(join_path(d, "events.parquet"))
     fixtures.read_table(spark, SF, "nation").write.parquet(join_path(d, "nation.parquet"))
     events = fixtures.read_table(spark, d, "events")
-    assert largest_group_is_heavy(events, "user_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ok, msg = compare(fixtures.derive_trips(spark, d), duck(d), SQL["trips"])
-    assert ok, msg
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert largest_group_is_heavy(events, "user_id", parts, heavy_rows=1000)
+    assert not largest_group_is_heavy(events, "user_id", parts)  # 4,000 rows: below the row floor
+    nation = fixtures.read_table(spark, d, "nation")
+    for strategy in ("range", "auto"):
+        ok, msg = compare(fixtures.events_to_trips(events, nation, strategy=strategy), duck(d), SQL["trips"])
+        assert ok, f"{strategy}: {msg}"
