@@ -37,3 +37,14 @@ def test_job_writes_every_report_equal_to_the_library(spark):
         assert got.exceptAll(want.select(*got.columns)).count() == 0, name
     rej = spark.read.parquet(csv_trips.join_path(out, "_ingest_rejects")).collect()
     assert sum(r.rows for r in rej) == 3 * t.count() and all(r.bad_starttime == 0 for r in rej)
+
+
+def test_job_command_line(spark):
+    t = fixtures.trips(spark, SF)
+    d = csv_trips.join_path(fresh_path(spark, "job-cli-feed"), "2013-07")
+    fixtures.render_raw_feed(t, "classic", "iso", "2013-07").write.option("header", True).csv(d)
+    out = fresh_path(spark, "job-cli-out")
+    _job().main(["--paths", d, "--table", "cyclestat_job_cli", "--table-path", fresh_path(spark, "job-cli-table"),
+                 "--out", out, "--reports", "station_uses", "day_of_week_counts"])
+    got = spark.read.parquet(csv_trips.join_path(out, "day_of_week_counts"))
+    assert got.agg({"count": "sum"}).first()[0] == t.count()
