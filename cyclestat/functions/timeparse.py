@@ -53,7 +53,9 @@ def render_trip_time(ts: str | Column, layout: str) -> Column:
 
     Built from calendar fields (zone-free on NTZ) rather than
     ``date_format``, which consults the session zone.  ``us_short`` writes
-    one-digit month, day and hour the way part of the feed did.
+    one-digit month, day and hour the way part of the feed did; ``day_first``
+    (``dd/MM/yyyy HH:mm:ss``) is no feed layout and serves to produce the
+    mistaken text a reject count must catch.
     """
     t = as_col(ts)
     y = F.year(t).cast("string")
@@ -68,4 +70,7 @@ def render_trip_time(ts: str | Column, layout: str) -> Column:
     if layout == "us_short":
         return F.concat(mo.cast("string"), F.lit("/"), d.cast("string"), F.lit("/"), y, F.lit(" "),
                         h.cast("string"), F.lit(":"), mi)
-    raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS}")
+    if layout == "day_first":  # not a feed layout: a month written dd/MM/yyyy by mistake
+        return F.concat(_two(d), F.lit("/"), _two(mo), F.lit("/"), y, F.lit(" "),
+                        _two(h), F.lit(":"), mi, F.lit(":"), s)
+    raise ValueError(f"unknown layout {layout!r}; expected one of {LAYOUTS} or 'day_first'")

@@ -154,14 +154,7 @@ def render_day_first_feed(trips_df: DataFrame, month: str) -> DataFrame:
     """A month of the feed written day-first (``dd/MM/yyyy HH:mm:ss``) by
     mistake: days above 12 make impossible US dates (rejects), the others
     parse to a wrong but valid date, as a US reader would see them."""
-    def day_first(c):
-        t = F.col(c)
-        two = lambda x: F.lpad(x.cast("string"), 2, "0")
-        return F.concat(two(F.dayofmonth(t)), F.lit("/"), two(F.month(t)), F.lit("/"),
-                        F.year(t).cast("string"), F.lit(" "), two(F.hour(t)), F.lit(":"),
-                        two(F.minute(t)), F.lit(":"), two(F.second(t)))
-    raw = render_raw_feed(trips_df, "classic", "iso", month)
-    return raw.withColumns({"starttime": day_first(S.STARTTIME), "stoptime": day_first(S.STOPTIME)})
+    return render_raw_feed(trips_df, "classic", "day_first", month)
 
 
 # Three feed generations: (month tag, header, time layout).
