@@ -17,9 +17,9 @@ trips AS (
            CAST(event_id % 4 AS INTEGER) AS d
     FROM events),
   p AS (
-    SELECT *, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ts2,
-              LEAD(k)  OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k2,
-              LEAD(d)  OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d2
+    SELECT *, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS ts2,
+              LEAD(k)  OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS k2,
+              LEAD(d)  OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS d2
     FROM e)
   SELECT p.event_id AS trip_id, p.ts AS starttime, p.ts2 AS stoptime,
     s.n_name || ' dock ' || CAST(d AS VARCHAR) AS start_station_name,
