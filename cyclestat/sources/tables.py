@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None,
-               partition_by: Sequence[str] | None = None, fmt: str = "parquet") -> None:
+               partition_by: Sequence[str] | None = None, fmt: str = "parquet",
+               rebalance: bool = True) -> None:
     """Create or replace table ``name`` with ``df`` (``mode('overwrite')``:
     one statement, no interval in which the table is missing).
 
     ``path`` makes it an external table at that location (shared storage);
     ``partition_by`` e.g. a month column lets time-bounded queries prune
-    directories.  Rows are first rebalanced on the partition columns: each
-    writer task then holds few partition values (few files), and adaptive
-    execution splits a value that is too large (a month holding a third of
-    the data) over several tasks instead of one.
+    directories.  With ``rebalance`` rows are first rebalanced on the
+    partition columns: each writer task then holds few partition values (few
+    files), and adaptive execution splits a value that is too large (a month
+    holding a third of the data) over several tasks instead of one.  Pass
+    ``rebalance=False`` when the input is already clustered by the partition
+    columns (monthly feed files: each scan task holds one month), which saves
+    a full shuffle.
     """
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if partition_by:

@@ -31,13 +31,16 @@ from cyclestat.sources.tables import read_table, save_table  # noqa: E402
 
 
 def run(spark: SparkSession, paths: list[str], table: str, table_path: str | None, out: str,
-        reports: list[str] | None = None, rejects: bool = False) -> list[str]:
+        reports: list[str] | None = None, rejects: bool = False, month_clustered: bool = True) -> list[str]:
     """Ingest ``paths``, save ``table``, write the reports; returns their names."""
     raw = read_raw_trip_csvs(spark, paths, source_column="source_file")
     if rejects:
         time_rejects(raw, group_by="source_file").write.mode("overwrite") \
             .parquet(join_path(out, "_ingest_rejects"))
-    save_table(with_start_month(repair_trips(raw)), table, path=table_path, partition_by=["start_month"])
+    # Feed files hold one month each, so every scan task already writes a
+    # single month directory: no rebalance shuffle before the write.
+    save_table(with_start_month(repair_trips(raw)), table, path=table_path, partition_by=["start_month"],
+               rebalance=not month_clustered)
     trips = read_table(spark, table)
     names = reports or list(ON_TRIPS)
     unknown = sorted(set(names) - set(ON_TRIPS))
@@ -60,10 +63,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--reports", nargs="*", default=None)
     ap.add_argument("--rejects", action="store_true")
+    ap.add_argument("--mixed-months", action="store_true",
+                    help="input files mix months: rebalance on the month before the partitioned write")
     a = ap.parse_args(argv)
     paths = a.paths or feed_paths(a.feed, a.first_month, a.last_month)
     spark = SparkSession.builder.appName("cyclestat-trip-reports").getOrCreate()
-    run(spark, paths, a.table, a.table_path, a.out, a.reports, a.rejects)
+    run(spark, paths, a.table, a.table_path, a.out, a.reports, a.rejects, month_clustered=not a.mixed_months)
 
 
 if __name__ == "__main__":
