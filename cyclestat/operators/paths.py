@@ -16,7 +16,6 @@ from cyclestat.plans.topk import top_k, top_k_per_group
 
 DIRECTED_KEYS = [S.START_NAME, S.START_LAT, S.START_LON, S.END_NAME, S.END_LAT, S.END_LON]
 COORD_COLUMNS = ["station_1", "station_2", "count", "lat_1", "lon_1", "lon_2", "lat_2"]
-PERIODS = ("wkdy_am", "wkdy_pm", "wknd")
 
 
 def ordered_pair():
