@@ -25,6 +25,42 @@ from pyspark.sql import functions as F  # noqa: E402
 from cyclestat.plans.config import local_settings  # noqa: E402
 
 
+def shuffle_bytes_by_group(log_dir: str, app_id: str) -> dict[str, int]:
+    """Shuffle bytes written per job group, from Spark's event log."""
+    import glob
+    import io
+    import json as _json
+
+    files = [f for f in glob.glob(os.path.join(log_dir, "**", f"*{app_id}*"), recursive=True)
+             if os.path.isfile(f) and not os.path.basename(f).startswith("appstatus")]
+    stage_group: dict[int, str] = {}
+    out: dict[str, int] = {}
+    for f in files:
+        raw = open(f, "rb").read()
+        if f.endswith(".zstd"):
+            import zstandard
+            raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read()
+        for line in raw.decode().splitlines():
+            e = _json.loads(line)
+            if e["Event"] == "SparkListenerJobStart":
+                grp = (e.get("Properties") or {}).get("spark.jobGroup.id")
+                for st in e["Stage IDs"]:
+                    stage_group[st] = grp
+            elif e["Event"] == "SparkListenerTaskEnd":
+                grp = stage_group.get(e["Stage ID"])
+                m = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                if grp:
+                    out[grp] = out.get(grp, 0) + m.get("Shuffle Bytes Written", 0)
+    return out
+
+
+def planned_scans(df) -> int:
+    """File or checkpoint scans in the physical plan (exchanges reused at run
+    time are counted once more here, so this is an upper bound)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan ") + plan.count("Scan ExistingRDD")
+
+
 def replicate(spark, sf_dir: str, n: int, hot_share: float) -> str:
     from cyclestat.sources.csv_trips import join_path
     from cyclestat.sources.scratch import fresh_path
@@ -66,6 +102,7 @@ def main() -> None:
     from cyclestat import reports
     from cyclestat.sources import fixtures
 
+    results = []
     for n in a.replicate:
         t = time.perf_counter()
         d = replicate(spark, a.sf_dir, n, a.hot_share)
@@ -73,17 +110,29 @@ def main() -> None:
         t = time.perf_counter()
         trips = fixtures.trips(spark, d)
         times = {"trips_build": round(time.perf_counter() - t, 3)}
+        scans = {}
         rows = trips.count()
         for name, fn in reports.REPORTS.items():
             if a.reports and name not in a.reports:
                 continue
+            spark.sparkContext.setJobGroup(f"x{n}:{name}", name)
             t = time.perf_counter()
-            fn(spark, d).write.format("noop").mode("overwrite").save()
+            df = fn(spark, d)
+            df.write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - t, 3)
-        print(json.dumps({"replicate": n, "hot_share": a.hot_share, "trips": rows,
-                          "prepare_sec": round(prep, 3), "total_sec": round(sum(times.values()), 3),
-                          "queries": times}), flush=True)
+            scans[name] = planned_scans(df)
+        results.append({"replicate": n, "hot_share": a.hot_share, "trips": rows,
+                        "prepare_sec": round(prep, 3), "total_sec": round(sum(times.values()), 3),
+                        "queries": times, "scans": scans})
+    app_id = spark.sparkContext.applicationId
     spark.stop()
+    if a.event_log:
+        by_group = shuffle_bytes_by_group(a.event_log, app_id)
+        for r in results:
+            r["shuffle_mb"] = {q: round(by_group.get(f"x{r['replicate']}:{q}", 0) / 2**20, 2)
+                               for q in r["queries"] if q != "trips_build"}
+    for r in results:
+        print(json.dumps(r), flush=True)
 
 
 if __name__ == "__main__":
