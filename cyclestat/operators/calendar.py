@@ -29,7 +29,9 @@ def with_trip_calendar(trips: DataFrame) -> DataFrame:
 def with_start_month(trips: DataFrame, name: str = "start_month") -> DataFrame:
     """Add the start month as ``yyyy-MM`` text (a partition column for the
     trips table); built from calendar fields, so zone-free."""
-    month = F.format_string("%04d-%02d", F.year(S.STARTTIME), F.month(S.STARTTIME))
+    # concat/lpad rather than format_string: no java.util.Formatter per row
+    month = F.concat(F.lpad(F.year(S.STARTTIME).cast("string"), 4, "0"), F.lit("-"),
+                     F.lpad(F.month(S.STARTTIME).cast("string"), 2, "0"))
     return trips.withColumn(name, month)
 
 
