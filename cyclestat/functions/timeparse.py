@@ -39,7 +39,8 @@ def _us_to_iso(s: Column) -> Column:
 
 def parse_trip_time(text: str | Column) -> Column:
     """Parse trip time text in any of the feed's layouts to ``TIMESTAMP_NTZ``."""
-    s = F.substring_index(F.trim(as_col(text)), ".", 1)  # drop sub-second digits
+    s = F.trim(as_col(text))
+    s = F.when(s.contains("."), F.substring_index(s, ".", 1)).otherwise(s)  # drop sub-second digits
     iso = F.when(s.contains("/"), _us_to_iso(s)).otherwise(s)
     return F.when(iso.rlike(_ISO_CLEAN), iso.try_cast("timestamp_ntz"))
 
