@@ -12,7 +12,7 @@ def spark():
 
     s = (SparkSession.builder.master("local[8]")
          .appName("cyclestat-tests")
-         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.shuffle.partitions", os.environ.get("CYCLESTAT_TEST_PARTITIONS", "8"))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", os.environ.get("CYCLESTAT_TEST_TZ", "UTC"))
