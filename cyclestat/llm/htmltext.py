@@ -9,7 +9,7 @@ Costs are learned from labelled pages, those that mark their content with one ``
 or ``main`` element: a kind of tag (its name with its first class) costs
 ``log(1 + (outside + 1/2) / (inside + 1/2))``, counted over such elements outside and inside
 of marked content.  A kind that was seen outside ``least`` times or more and never inside
-content, nor around it, is furniture: its elements leave the sequence with all they hold.  So do
+content, nor around it, is furniture if it has a class: its elements leave the sequence with all they hold.  So do
 elements that HTML defines or names for such uses (menus, headers and footers of the page,
 forms, scripts, adverts, notices, reader comments).  The marks of the labelled pages are not
 used when text is extracted; a page is treated alike with and without them, except that a
@@ -159,16 +159,27 @@ class Walk:
         return any(e[0] in names for e in self.stack)
 
 
+def is_furniture(walk: Walk, name: str, named: bool) -> bool:
+    """Whether HTML defines an element for such use, or its class, id or role names it so."""
+    if name == "header" and not walk.inside(*_CONTENT):
+        return True
+    return name in _FURNITURE or (named and name not in ("html", "body", *_CONTENT))
+
+
 def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
-    """Elements per kind: inside the marked content, around it, elsewhere.  None if the page is not labelled."""
+    """Elements per kind: inside the marked content, around it, elsewhere; furniture left out.
+
+    None if the page is not labelled.
+    """
     walk, counts, marks = Walk(), Counter(), 0
     for what, name, text in scan(page):
         if what == "close":
             walk.end(name)
         elif what == "open":
             walk.implied(name)
-            kind = kind_of(name, text)[0]
-            if name in _CONTENT and not walk.inside(*_CONTENT):
+            kind, named = kind_of(name, text)
+            drop, inside = is_furniture(walk, name, named), walk.inside(*_CONTENT)
+            if name in _CONTENT and not inside and not walk.dropped:
                 marks += 1
                 for e in walk.stack:
                     if not e[3]["around"]:
@@ -176,10 +187,9 @@ def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
                         counts[e[1], "out"] -= 1
                         counts[e[1], "around"] += 1
                 counts[kind, "around"] += 1
-                walk.open(name, kind, False, {"around": True})
-                continue
-            counts[kind, "in" if walk.inside(*_CONTENT) else "out"] += 1
-            walk.open(name, kind, False, {"around": walk.inside(*_CONTENT)})
+            elif not drop and not walk.dropped:
+                counts[kind, "in" if inside else "out"] += 1
+            walk.open(name, kind, drop, {"around": inside or name in _CONTENT})
     if marks != 1:
         return None
     return {k: (counts[k, "in"], counts[k, "around"], counts[k, "out"]) for k in {k for k, _ in counts}}
@@ -190,7 +200,7 @@ class Extractor:
 
     def __init__(self, kinds: dict[str, tuple[int, int, int]], least: int) -> None:
         self.cost = {k: math.log1p((o + 0.5) / (i + a + 0.5)) for k, (i, a, o) in kinds.items()}
-        self.furniture = {k for k, (i, a, o) in kinds.items() if o >= least and not i and not a and (k.split(".")[0] == "div" or "." in k)}
+        self.furniture = {k for k, (i, a, o) in kinds.items() if o >= least and not i and not a and "." in k}
 
     def price(self, name: str, kind: str) -> float:
         return self.cost.get(kind, self.cost.get(name, 1.0))
@@ -210,9 +220,7 @@ class Extractor:
             elif what == "open":
                 walk.implied(name)
                 kind, named = kind_of(name, text)
-                own_header = name == "header" and walk.inside(*_CONTENT)
-                drop = name in _FURNITURE or (name == "header" and not own_header) or kind in self.furniture
-                drop = drop or (named and name not in ("html", "body", "article", "main"))
+                drop = is_furniture(walk, name, named) or kind in self.furniture
                 if drop and not walk.dropped:
                     out.append(("tag", (0.0, name in _BLOCK, False)))
                 elif not drop:
