@@ -2,9 +2,8 @@
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each report is executed fully with the ``noop`` sink (no driver collect);
-its time is the best of ``BENCH_REPEAT`` runs.  Building the derived trips
-table (done once, like the source analysis' saved table) is timed separately
-as ``trips_build`` and included in the total.
+its time is the best of ``BENCH_REPEAT`` runs and includes deriving the trips
+from ``events``: nothing is kept between reports.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from cyclestat.plans.config import local_settings  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("cyclestat-bench")
     for k, v in local_settings(cpus).items():
         builder = builder.config(k, v)
@@ -33,13 +32,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from cyclestat import reports
-    from cyclestat.sources import fixtures
 
     spark.range(1000).selectExpr("sum(id)").collect()  # start the JVM side before timing
-    t = time.perf_counter()
-    fixtures.trips(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {"trips_build": round(time.perf_counter() - t, 3)}
-
+    times = {}
     errors = {}
     for name, fn in reports.REPORTS.items():
         best = None

@@ -17,8 +17,6 @@ from cyclestat.functions.geo import (
     LONG_ISLAND_FEET,
     LambertConformalConic,
     interpolate,
-    project_x,
-    project_y,
     in_viewport,
 )
 from cyclestat.functions.timeparse import parse_trip_time, render_trip_time
@@ -34,8 +32,6 @@ __all__ = [
     "LONG_ISLAND_FEET",
     "LambertConformalConic",
     "interpolate",
-    "project_x",
-    "project_y",
     "in_viewport",
     "parse_trip_time",
     "render_trip_time",

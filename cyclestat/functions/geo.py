@@ -114,18 +114,6 @@ VIEWPORT_Y = (175000.0, 232000.0)
 # -----------------------------------------------------------------------------
 
 
-def project_x(lon: str | Column, lat: str | Column,
-              proj: LambertConformalConic = LONG_ISLAND_FEET) -> Column:
-    """Easting of (lon, lat) degrees in the projection's unit."""
-    return proj.x(lon, lat)
-
-
-def project_y(lon: str | Column, lat: str | Column,
-              proj: LambertConformalConic = LONG_ISLAND_FEET) -> Column:
-    """Northing of (lon, lat) degrees in the projection's unit."""
-    return proj.y(lon, lat)
-
-
 def in_viewport(x: str | Column, y: str | Column,
                 x_range=VIEWPORT_X, y_range=VIEWPORT_Y) -> Column:
     """Point lies in the closed map window."""

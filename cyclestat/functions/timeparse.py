@@ -6,12 +6,14 @@ The feed used three layouts over the years::
     MM/dd/yyyy HH:mm:ss      09/01/2014 00:00:25
     MM/dd/yyyy HH:mm         01/31/2015 23:59   (also 1/1/2015 0:01)
 
-Instead of choosing a pattern per file, the layout is recognised per value:
-US text is rewritten to ISO order with one ``regexp_replace`` and then cast.
-Spark's string -> timestamp cast accepts one- or two-digit fields, and the
-cast to ``TIMESTAMP_NTZ`` is wall-clock, so no session time zone and no DST
-gap can move the value.  Sub-second digits are dropped (the feed's times are
-whole seconds).  Text in no known layout becomes NULL; it never fails the job.
+Instead of choosing a pattern per file, the layout is recognised per value: the
+trimmed text must match one anchored pattern per layout as a whole, so nothing
+malformed is rewritten into something valid.  US text is then put in ISO order by
+plain string splits and cast.  Spark's string -> timestamp cast accepts one- or
+two-digit fields, and the cast to ``TIMESTAMP_NTZ`` is wall-clock, so no session
+time zone and no DST gap can move the value.  Sub-second digits are dropped (the
+feed's times are whole seconds).  Text in no known layout becomes NULL; it never
+fails the job.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from cyclestat.functions._util import as_col
 
-# Accepted text after rewriting: year-month-day hour:minute[:second], 1-2 digit fields.
-_ISO_CLEAN = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"
+# Accepted text: one- or two-digit fields, sub-seconds only after seconds.
+_TIME = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
+_LAYOUT = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}) {_TIME}\z"
 
 LAYOUTS = ("iso", "us", "us_short")
 
@@ -40,9 +43,9 @@ def _us_to_iso(s: Column) -> Column:
 def parse_trip_time(text: str | Column) -> Column:
     """Parse trip time text in any of the feed's layouts to ``TIMESTAMP_NTZ``."""
     s = F.trim(as_col(text))
-    s = F.when(s.contains("."), F.substring_index(s, ".", 1)).otherwise(s)  # drop sub-second digits
-    iso = F.when(s.contains("/"), _us_to_iso(s)).otherwise(s)
-    return F.when(iso.rlike(_ISO_CLEAN), iso.try_cast("timestamp_ntz"))
+    whole = F.when(s.contains("."), F.substring_index(s, ".", 1)).otherwise(s)  # drop sub-second digits
+    iso = F.when(whole.contains("/"), _us_to_iso(whole)).otherwise(whole)
+    return F.when(s.rlike(_LAYOUT), iso.try_cast("timestamp_ntz"))
 
 
 def _two(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
@@ -30,6 +30,9 @@ def union_positional(frames: Iterable[DataFrame]) -> DataFrame:
     order even where the header spelling differs.
     """
     frames = list(frames)
+    widths = [len(f.columns) for f in frames]
+    if len(set(widths)) > 1:
+        raise ValueError(f"union_positional: frames of different width {widths}")
     return reduce(DataFrame.union, frames[1:], frames[0])
 
 
@@ -49,12 +52,43 @@ def repair_trips(raw: DataFrame) -> DataFrame:
     return raw.withColumns(fixes)
 
 
+def repair_with_flags(raw: DataFrame, malformed: str) -> DataFrame:
+    """Like :func:`repair_trips`, all rows kept, and ``rejected``: the names of the
+    columns whose text was unusable, and ``malformed`` for a line that did not fit the
+    schema (column ``malformed``, which goes).  One pass repairs and marks."""
+    parsed = {c: parse_trip_time(c) for c in S.TIME_COLUMNS}
+    parsed.update({c: F.col(c).try_cast("double") for c in S.COORDINATE_COLUMNS})
+    bad = [F.when(F.col(c).isNotNull() & p.isNull(), F.lit(c)) for c, p in parsed.items()]
+    flags = F.array_compact(F.array(F.when(F.col(malformed).isNotNull(), F.lit("malformed")), *bad))
+    columns = [parsed[c].alias(c) if c in parsed else F.col(c) for c in raw.columns if c != malformed]
+    return raw.select(*columns, flags.alias("rejected"))
+
+
+def count_flags(repaired: DataFrame, group_by: str) -> DataFrame:
+    """:func:`rejects` from the flags of a repaired table."""
+    names = ["malformed", *[f"bad_{c}" for c in (*S.TIME_COLUMNS, *S.COORDINATE_COLUMNS)]]
+    counts = [F.sum(F.array_contains("rejected", n.removeprefix("bad_")).cast("bigint")).alias(n) for n in names]
+    return repaired.groupBy(group_by).agg(F.count(F.lit(1)).alias("rows"), *counts)
+
+
+def _bad(c: str, parsed: Column) -> Column:
+    return F.sum(F.when(F.col(c).isNotNull() & parsed.isNull(), 1).otherwise(0))
+
+
+def rejects(raw: DataFrame, group_by: str | None = None, malformed: str | None = None) -> DataFrame:
+    """What ingest could not use, per ``group_by`` (e.g. the source file), in one pass:
+    ``rows``, ``malformed`` (rows whose ``malformed`` column holds the line that did not
+    fit the schema; 0 without such a column), and ``bad_<column>`` for each time and
+    coordinate: rows whose text is present but unusable."""
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            (F.count(malformed) if malformed else F.lit(0).cast("bigint")).alias("malformed")]
+    aggs += [_bad(c, parse_trip_time(c)).alias(f"bad_{c}") for c in S.TIME_COLUMNS]
+    aggs += [_bad(c, F.col(c).try_cast("double")).alias(f"bad_{c}") for c in S.COORDINATE_COLUMNS]
+    return raw.groupBy(group_by).agg(*aggs) if group_by else raw.agg(*aggs)
+
+
 def time_rejects(raw: DataFrame, group_by: str | None = None) -> DataFrame:
     """Rows whose time text is present but unparsable, per ``group_by`` (e.g.
     the source file): (``[group]``, ``rows``, ``bad_starttime``, ``bad_stoptime``)."""
-    def bad(c):
-        return F.sum(F.when(F.col(c).isNotNull() & parse_trip_time(c).isNull(), 1).otherwise(0))
-
-    aggs = [F.count(F.lit(1)).alias("rows"), bad(S.STARTTIME).alias("bad_starttime"),
-            bad(S.STOPTIME).alias("bad_stoptime")]
+    aggs = [F.count(F.lit(1)).alias("rows")] + [_bad(c, parse_trip_time(c)).alias(f"bad_{c}") for c in S.TIME_COLUMNS]
     return raw.groupBy(group_by).agg(*aggs) if group_by else raw.agg(*aggs)

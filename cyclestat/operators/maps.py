@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cyclestat import schema as S
 from cyclestat.functions.geo import LONG_ISLAND_FEET, LambertConformalConic, in_viewport, interpolate
-from cyclestat.plans.topk import top_k_per_group
+from cyclestat.plans.topk import ranked_top_k
 
 
 def with_projection(df: DataFrame, lon: str, lat: str, x: str, y: str,
@@ -58,7 +58,7 @@ def path_kind(a: str = S.START_NAME, b: str = S.END_NAME):
 
 def rank_paths(paths: DataFrame, k: int, keys, rank_col: str = "path_rank") -> DataFrame:
     """First ``k`` paths by ``count`` desc (ties by ``keys``) with a 1-based rank."""
-    return top_k_per_group(paths, k, [], "count", keys, rank_col=rank_col)
+    return ranked_top_k(paths, k, "count", keys, rank_col=rank_col)
 
 
 def path_segments(ranked: DataFrame, points: int = S.POINTS_PER_PATH,

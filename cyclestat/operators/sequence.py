@@ -1,99 +1,56 @@
 """Next row of the same key, without putting a hot key on one task.
 
-``lead(c) OVER (PARTITION BY key ORDER BY o)`` sends every row of a key to
-one task; a key holding a third of all rows would then be processed by a
-single core.  ``with_next`` gives the same answer and picks its plan from
-the data:
-
-* ``window``: the plain ``lead`` (one shuffle), used unless some key holds
-  more than twice a partition's fair share of rows *and* more than
-  ``heavy_rows`` rows (a smaller group is cheap for one task however the
-  data is split).  Deciding costs one narrow aggregate over the key column
-  (partial aggregation, one row to the driver).
-* ``range``: for skewed keys, in three steps
-
-  1. range-partition on ``(key, order...)``: the sampled bounds split a hot
-     key over as many partitions as its size needs, each a contiguous run
-     of the global order; the partition index is kept as a column;
-  2. ``repartitionById`` on that index (a pass-through shuffle: partition
-     ``p`` keeps exactly range ``p``, so no two large runs can collide in a
-     hash bucket) and ``lead`` inside each (partition, key) chunk;
-  3. the last row of each chunk takes the first row of the key's next
-     non-empty chunk.  Only chunk edges (first and last rows, at most two
-     per chunk, so at most ``2 * num_partitions`` for any key) take part:
-     ``lead`` over the edges of a key ordered by (partition, row number)
-     lands exactly on the next chunk's first row.  No join is needed.
-
-  Partition ids must be the same wherever the chunked rows are read: Spark
-  seeds the range sampler with the RDD id, so two plan branches that each
-  ran their own range exchange could disagree.  Step 2's result is therefore
-  pinned once with a reliable ``checkpoint()`` in the shared
-  ``spark.checkpoint.dir``, which also survives executor loss.
-
-NULL keys form one key, as in SQL window partitions.
+``lead(c) OVER (PARTITION BY key ORDER BY o)`` sends every row of a key to one
+task.  ``with_next`` gives the same answer with one plan for all data:
+
+1. rows are cut into chunks of the key by a column that rises with the order
+   (here: the calendar day of a time stamp), a fixed unit whatever the data;
+2. the first row of each chunk is an aggregate, combined before its shuffle;
+   ``lead`` over the chunks of a key hands each chunk the next one's first row
+   (a row per key and chunk, not per row);
+3. that row is appended to its chunk as an end mark, and one ``lead`` within
+   (key, chunk) finds every next row; the marks are dropped.
+
+So a key's rows spread over as many tasks as it has chunks, nothing is
+measured or written when the plan is made, and no join is needed.  NULL keys
+form one key, as in SQL window partitions; a NULL chunk comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclestat.sources.scratch import checkpoint_root
-
-_PID, _RN, _HAS = "_seq_pid", "_seq_rn", "_seq_has_next"
-STRATEGIES = ("auto", "window", "range")
-HEAVY_ROWS = 1_000_000
-
-
-def largest_group_is_heavy(df: DataFrame, key: str, num_partitions: int, heavy_rows: int = HEAVY_ROWS) -> bool:
-    """True when one ``key`` holds more than twice a partition's fair share
-    and more than ``heavy_rows`` rows."""
-    stats = df.groupBy(key).count().agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first()
-    if stats is None or stats["n"] is None:
-        return False
-    return stats["mx"] > max(2 * stats["n"] / num_partitions, heavy_rows)
+_CHUNK, _HEAD, _MARK = "_seq_chunk", "_seq_head", "_seq_mark"
 
 
 def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str],
-              prefix: str = "next_", num_partitions: int | None = None, strategy: str = "auto",
-              heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+              chunk: Column, prefix: str = "next_") -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``carry``: the value of ``c`` on the
     next row of the same ``key`` in ``order`` (NULL on a key's last row).
 
     ``order`` must be a total order within a key (add a unique column last),
-    as with a deterministic ``lead``.  Output keeps all input columns; row
-    order and partitioning of the output are unspecified.
+    as with a deterministic ``lead``; ``chunk`` must never fall along it.
+    Output keeps all input columns; row order and partitioning of the output
+    are unspecified.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
-    if num_partitions is None:
-        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordering = [F.col(o).asc_nulls_first() for o in order]
-    if strategy == "auto":
-        strategy = "range" if largest_group_is_heavy(df, key, num_partitions, heavy_rows) else "window"
-    if strategy == "window":
-        w = Window.partitionBy(key).orderBy(*ordering)
-        return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in carry])
-
     cols = df.columns
-    ranged = (df.repartitionByRange(num_partitions, F.col(key).asc_nulls_first(), *ordering)
-              .withColumn(_PID, F.spark_partition_id()))
-    w = Window.partitionBy(_PID, key).orderBy(*ordering)
-    local = ranged.repartitionById(num_partitions, _PID).select(
-        *cols, _PID,
-        F.row_number().over(w).alias(_RN),
-        F.lead(F.lit(True), 1, False).over(w).alias(_HAS),
-        *[F.lead(c).over(w).alias(prefix + c) for c in carry],
-    )
-    checkpoint_root(df.sparkSession)  # make sure a checkpoint folder is named
-    local = local.checkpoint(eager=True)
-
-    nexts = [prefix + c for c in carry]
-    interior = local.where(F.col(_HAS)).select(*cols, *nexts)
-    edges = local.where((F.col(_RN) == 1) | ~F.col(_HAS))
-    we = Window.partitionBy(key).orderBy(_PID, _RN)
-    boundary = (edges.select(*cols, _HAS, *[F.lead(c).over(we).alias(prefix + c) for c in carry])
-                .where(~F.col(_HAS)).select(*cols, *nexts))
-    return interior.unionByName(boundary)
+    needed = list(dict.fromkeys([*order, *carry]))
+    rows = df.withColumn(_CHUNK, chunk)
+    heads = rows.groupBy(key, _CHUNK).agg(F.min(F.struct(*needed)).alias(_HEAD))
+    of_key = Window.partitionBy(key).orderBy(F.col(_CHUNK).asc_nulls_first())
+    following = heads.select(key, _CHUNK, F.lead(_HEAD).over(of_key).alias(_HEAD)).where(F.col(_HEAD).isNotNull())
+
+    def of_mark(c: str) -> Column:
+        if c == key:
+            return F.col(key)
+        value = F.col(_HEAD)[c] if c in needed else F.lit(None)
+        return value.cast(df.schema[c].dataType).alias(c)
+
+    marks = following.select(*[of_mark(c) for c in cols], _CHUNK, F.lit(1).alias(_MARK))
+    both = rows.withColumn(_MARK, F.lit(0)).unionByName(marks)
+    of_chunk = Window.partitionBy(key, _CHUNK).orderBy(_MARK, *[F.col(o).asc_nulls_first() for o in order])
+    nexts = [F.lead(c).over(of_chunk).alias(prefix + c) for c in carry]
+    return both.select(*cols, _MARK, *nexts).where(F.col(_MARK) == 0).drop(_MARK)

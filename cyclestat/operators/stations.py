@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
+from cyclestat.plans.counting import TRIP_COUNT, count_trips
 
 START_KEYS = [S.START_NAME, S.START_LON, S.START_LAT]
 END_KEYS = [S.END_NAME, S.END_LON, S.END_LAT]
@@ -20,11 +21,13 @@ USE_KEYS = ["station_name", "station_longitude", "station_latitude"]
 
 
 def _both_ends(trips: DataFrame, name: str, lon: str, lat: str, with_time: bool = False) -> DataFrame:
-    """One row per trip end: (name, lon, lat[, use_time]) from a single scan."""
+    """One row per trip end: (name, lon, lat[, use_time][, trip_count]) from a single scan."""
     def end(n, lo, la, t):
         fields = [F.col(n).alias(name), F.col(lo).alias(lon), F.col(la).alias(lat)]
         if with_time:
             fields.append(F.col(t).alias("use_time"))
+        if TRIP_COUNT in trips.columns:
+            fields.append(F.col(TRIP_COUNT))
         return F.struct(*fields)
 
     return trips.select(F.inline(F.array(
@@ -41,7 +44,7 @@ def station_lookup(trips: DataFrame, ordered: bool = False) -> DataFrame:
     that moved or was re-surveyed has one row per coordinate, so joins on
     the name fan out; see :func:`station_lookup_canonical` for one row per name.
     """
-    out = _both_ends(trips, *START_KEYS).distinct()
+    out = _both_ends(trips, *START_KEYS).select(*START_KEYS).distinct()
     return out.orderBy(*[F.col(c).asc_nulls_first() for c in START_KEYS]) if ordered else out
 
 
@@ -60,18 +63,24 @@ def with_coordinate_variants(lookup: DataFrame, name: str = S.START_NAME) -> Dat
 
 def start_station_counts(trips: DataFrame) -> DataFrame:
     """Trips per start (name, longitude, latitude): ``count`` bigint."""
-    return trips.groupBy(*START_KEYS).count()
+    return count_trips(trips, *START_KEYS)
 
 
 def end_station_counts(trips: DataFrame) -> DataFrame:
     """Trips per end (name, longitude, latitude): ``count`` bigint."""
-    return trips.groupBy(*END_KEYS).count()
+    return count_trips(trips, *END_KEYS)
+
+
+def station_use_rows(trips: DataFrame) -> DataFrame:
+    """One row per use: (name, longitude, latitude, ``use_time``), the start of
+    a trip at its start station and its end at the other."""
+    return _both_ends(trips, *USE_KEYS, with_time=True)
 
 
 def station_uses(trips: DataFrame) -> DataFrame:
     """Uses (a trip starting or ending there) per (name, longitude, latitude)."""
     ends = _both_ends(trips, "station_name", "station_longitude", "station_latitude")
-    return ends.groupBy(*USE_KEYS).count()
+    return count_trips(ends, *USE_KEYS)
 
 
 def station_lookup_canonical(trips: DataFrame) -> DataFrame:

@@ -7,42 +7,47 @@ result does not depend on the session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
 from cyclestat.functions.calendar import day_label_of, is_weekday_trip, is_weekend_trip
+from cyclestat.plans.counting import DAY_TYPE, TRIP_COUNT, count_trips, trip_weight
 
-_DAY_TYPES = {"weekday": is_weekday_trip, "weekend": is_weekend_trip}
+START_HOUR, STOP_HOUR, START_DAY = "start_hour", "stop_hour", "start_day"
 
 
-def _day_filter(trips: DataFrame, day_type: str | None) -> DataFrame:
-    if day_type is None:
-        return trips
-    return trips.where(_DAY_TYPES[day_type]())
+def day_type_of(trips: DataFrame) -> Column:
+    """``weekday`` / ``weekend`` or NULL (neither).  Facts carry it as a column."""
+    if DAY_TYPE in trips.columns:
+        return F.col(DAY_TYPE)
+    return F.when(is_weekday_trip(), F.lit("weekday")).when(is_weekend_trip(), F.lit("weekend"))
+
+
+def _field(trips: DataFrame, name: str) -> Column:
+    """A calendar field of a trip: a column of facts, else taken from its time."""
+    if name in trips.columns:
+        return F.col(name)
+    return {START_HOUR: F.hour(S.STARTTIME), STOP_HOUR: F.hour(S.STOPTIME), START_DAY: F.dayofweek(S.STARTTIME)}[name]
 
 
 def hourly_counts(trips: DataFrame, end: str = "start", day_type: str | None = "weekday") -> DataFrame:
     """Trips per hour of the ``start`` or ``stop`` time: (``start_hour`` |
     ``stop_hour`` int, ``count`` bigint), over weekday, weekend or all trips."""
-    ts, name = {"start": (S.STARTTIME, "start_hour"), "stop": (S.STOPTIME, "stop_hour")}[end]
-    return (_day_filter(trips, day_type)
-            .select(F.hour(ts).alias(name))
-            .groupBy(name).count())
+    name = {"start": START_HOUR, "stop": STOP_HOUR}[end]
+    chosen = trips if day_type is None else trips.where(day_type_of(trips) == day_type)
+    return count_trips(chosen.withColumn(name, _field(trips, name)), name)
 
 
 def hourly_usage(trips: DataFrame) -> DataFrame:
     """Start and stop counts per hour for weekday and weekend trips in one pass:
     (``day_type``, ``series`` Start|Stop, ``hour``, ``count``)."""
-    day_type = (F.when(is_weekday_trip(), F.lit("weekday"))
-                .when(is_weekend_trip(), F.lit("weekend")))
     ends = F.array(
-        F.struct(F.lit("Start").alias("series"), F.hour(S.STARTTIME).alias("hour")),
-        F.struct(F.lit("Stop").alias("series"), F.hour(S.STOPTIME).alias("hour")),
+        F.struct(F.lit("Start").alias("series"), _field(trips, START_HOUR).alias("hour")),
+        F.struct(F.lit("Stop").alias("series"), _field(trips, STOP_HOUR).alias("hour")),
     )
-    counts = (trips.select(day_type.alias("day_type"), ends.alias("_ends"))
-              .select("day_type", F.inline("_ends"))
-              .groupBy("day_type", "series", "hour").count())
+    rows = trips.select(day_type_of(trips).alias("day_type"), trip_weight(trips).alias(TRIP_COUNT), ends.alias("_ends"))
+    counts = count_trips(rows.select("day_type", TRIP_COUNT, F.inline("_ends")), "day_type", "series", "hour")
     # Trips of neither day type form one small NULL group (at most 48 rows),
     # dropped after the aggregate.  The test reads ``count`` so that Catalyst
     # keeps it there: a plain ``day_type IS NOT NULL`` would be pushed down to
@@ -54,6 +59,5 @@ def hourly_usage(trips: DataFrame) -> DataFrame:
 def day_of_week_counts(trips: DataFrame) -> DataFrame:
     """Trips per start day: (``day_of_week`` Sun..Sat, ``count``,
     ``ordinal_number`` 1 = Sunday .. 7 = Saturday).  All trips count."""
-    return (trips.groupBy(F.dayofweek(S.STARTTIME).alias("ordinal_number")).count()
-            .select(day_label_of("ordinal_number").alias("day_of_week"),
-                    "count", "ordinal_number"))
+    counts = count_trips(trips.withColumn("ordinal_number", _field(trips, START_DAY)), "ordinal_number")
+    return counts.select(day_label_of("ordinal_number").alias("day_of_week"), "count", "ordinal_number")

@@ -7,7 +7,7 @@ epoch seconds use integer microseconds so no rounding can move a second.
 
 from __future__ import annotations
 
-from cyclestat.functions.geo import LONG_ISLAND_FEET, VIEWPORT_X, VIEWPORT_Y
+from cyclestat.functions.geo import VIEWPORT_X, VIEWPORT_Y
 
 TRIPS = """
 trips AS (
@@ -21,16 +21,20 @@ trips AS (
               LEAD(k)  OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS k2,
               LEAD(d)  OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS d2
     FROM e)
-  SELECT p.event_id AS trip_id, p.ts AS starttime, p.ts2 AS stoptime,
-    s.n_name || ' dock ' || CAST(d AS VARCHAR) AS start_station_name,
+  SELECT p.event_id AS trip_id, p.ts AS starttime,
+    CASE WHEN event_id % 71 = 19 THEN NULL WHEN event_id % 79 = 13 THEN ts - INTERVAL 1 MINUTE
+         WHEN event_id % 73 = 17 THEN ts + INTERVAL 24 HOUR ELSE ts2 END AS stoptime,
+    CASE WHEN event_id % 97 = 5 THEN NULL ELSE CASE WHEN event_id % 83 = 11 THEN 'Pier - ' ELSE '' END
+         || s.n_name || ' dock ' || CAST(d AS VARCHAR) END AS start_station_name,
     CAST(407000 + 80*k + 10*d + CASE WHEN k % 10 = 0 AND ts >= TIMESTAMP '2024-01-16 00:00:00'
          THEN 1 ELSE 0 END AS DOUBLE) / 10000 AS start_station_latitude,
     CAST(-740100 + 30*k - 10*d AS DOUBLE) / 10000 AS start_station_longitude,
-    x.n_name || ' dock ' || CAST(d2 AS VARCHAR) AS end_station_name,
+    CASE WHEN event_id % 101 = 7 THEN NULL ELSE x.n_name || ' dock ' || CAST(d2 AS VARCHAR) END AS end_station_name,
     CAST(407000 + 80*k2 + 10*d2 + CASE WHEN k2 % 10 = 0 AND ts2 >= TIMESTAMP '2024-01-16 00:00:00'
          THEN 1 ELSE 0 END AS DOUBLE) / 10000 AS end_station_latitude,
     CAST(-740100 + 30*k2 - 10*d2 AS DOUBLE) / 10000 AS end_station_longitude,
-    CASE WHEN p.event_type IN ('purchase', 'signup') THEN 'Subscriber' ELSE 'Customer' END AS usertype
+    CASE WHEN event_id % 89 = 7 THEN NULL WHEN p.event_type IN ('purchase', 'signup') THEN 'Subscriber'
+         ELSE 'Customer' END AS usertype
   FROM p JOIN nation s ON s.n_nationkey = p.k
          JOIN nation x ON x.n_nationkey = p.k2
   WHERE ts2 IS NOT NULL)"""
@@ -66,11 +70,11 @@ PAIR = ("CASE WHEN start_station_name < end_station_name THEN start_station_name
 S1 = ("CASE WHEN start_station_name < end_station_name THEN start_station_name ELSE end_station_name END")
 S2 = ("CASE WHEN start_station_name < end_station_name THEN end_station_name ELSE start_station_name END")
 PAIRS = f"""pairs AS (
-  SELECT {S1} AS station_1, {S2} AS station_2, CAST(COUNT(*) AS INTEGER) AS count
+  SELECT {S1} AS station_1, {S2} AS station_2, COUNT(*) AS count
   FROM trips WHERE start_station_name IS NOT NULL AND end_station_name IS NOT NULL
   GROUP BY 1, 2)"""
 UNDIRECTED = f"""undirected AS (
-  SELECT station_names, CAST(COUNT(*) AS INTEGER) AS count, AVG(is_subscriber) AS pct_subscriber
+  SELECT station_names, COUNT(*) AS count, AVG(is_subscriber) AS pct_subscriber
   FROM (SELECT {PAIR} AS station_names,
                CASE WHEN usertype = 'Subscriber' THEN 1 ELSE 0 END AS is_subscriber FROM trips)
   GROUP BY station_names)"""
@@ -99,17 +103,33 @@ def _lit(v: float) -> str:
     return r if "e" in r or "inf" in r or "nan" in r else r + "e0"
 
 
+# The coordinate system's published parameters (fixed values); all else is SQL.
+_A, _INVERSE_F, _FOOT = "6378137.0e0", "298.257222101e0", "0.3048006096012192e0"
+_PAR1, _PAR2, _LAT0, _LON0 = "40.66666666666666e0", "41.03333333333333e0", "40.16666666666666e0", "-74.0e0"
+_EAST, _NORTH = "984250.0e0", "0.0e0"
+_E2 = f"(2 / {_INVERSE_F} - pow(1 / {_INVERSE_F}, 2))"
+_E = f"sqrt({_E2})"
+
+
+def _m(lat: str) -> str:
+    return f"(cos(radians({lat})) / sqrt(1 - {_E2} * pow(sin(radians({lat})), 2)))"
+
+
+def _t(lat: str) -> str:
+    es = f"{_E} * sin(radians({lat}))"
+    return f"(tan(radians(45.0e0 - ({lat}) / 2)) / pow((1 - {es}) / (1 + {es}), {_E} / 2))"
+
+
+_N = f"((ln({_m(_PAR1)}) - ln({_m(_PAR2)})) / (ln({_t(_PAR1)}) - ln({_t(_PAR2)})))"
+_AF = f"({_A} / {_FOOT} * {_m(_PAR1)} / ({_N} * pow({_t(_PAR1)}, {_N})))"
+
+
 def project_sql(lon: str, lat: str) -> tuple[str, str]:
-    """(x, y) SQL expressions of the same Lambert conformal conic formula."""
-    c = LONG_ISLAND_FEET.constants
-    phi = f"radians({lat})"
-    es = f"({_lit(c['e'])} * sin({phi}))"
-    t = f"(tan({_lit(0.7853981633974483)} - {phi} / 2) / pow((1 - {es}) / (1 + {es}), {_lit(c['e'] / 2)}))"
-    rho = f"({_lit(c['aF'])} * pow({t}, {_lit(c['n'])}))"
-    theta = f"({_lit(c['n'])} * (radians({lon}) - {_lit(c['lon0_rad'])}))"
-    x = f"({rho} * sin({theta}) + {_lit(c['fe'])})"
-    y = f"({_lit(c['rho0'])} - {rho} * cos({theta}) + {_lit(c['fn'])})"
-    return x, y
+    """(x, y) SQL expressions of the Lambert conformal conic formula."""
+    rho = f"({_AF} * pow({_t(lat)}, {_N}))"
+    rho0 = f"({_AF} * pow({_t(_LAT0)}, {_N}))"
+    theta = f"({_N} * radians({lon} - ({_LON0})))"
+    return f"({rho} * sin({theta}) + {_EAST})", f"({rho0} - {rho} * cos({theta}) + {_NORTH})"
 
 
 def _hourly(ts: str, name: str, pred: str) -> str:
@@ -138,6 +158,7 @@ INGEST_ALL = " UNION ALL ".join([_ingest_select(SEC, "2013-07"), _ingest_select(
 _SX, _SY = project_sql("start_station_longitude", "start_station_latitude")
 _EX, _EY = project_sql("end_station_longitude", "end_station_latitude")
 _UX, _UY = project_sql("station_longitude", "station_latitude")
+_NX, _NY = project_sql("end_station_longitude", "end_station_latitude")
 _LX, _LY = project_sql("start_station_longitude", "start_station_latitude")
 _P1X, _P1Y = project_sql("lon_1", "lat_1")
 _P2X, _P2Y = project_sql("lon_2", "lat_2")
@@ -147,7 +168,7 @@ SQL: dict[str, str] = {
     "trip_calendar": _with(CALENDAR) + "SELECT * FROM calendar",
     "weekday_trips": _with(CALENDAR) + f"SELECT * FROM calendar WHERE {WEEKDAY}",
     "weekend_trips": _with(CALENDAR) + f"SELECT * FROM calendar WHERE {WEEKEND}",
-    "station_lookup": _with(LOOKUP) + "SELECT * FROM lut ORDER BY 1, 2, 3",
+    "station_lookup": _with(LOOKUP) + "SELECT * FROM lut ORDER BY 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST",
     "station_lookup_canonical": _with(USES) + """
       SELECT station_name AS start_station_name, station_longitude AS start_station_longitude,
              station_latitude AS start_station_latitude, count AS uses
@@ -156,11 +177,11 @@ SQL: dict[str, str] = {
             FROM uses) WHERE rn = 1 ORDER BY 1""",
     "start_station_counts": _with() + """
       SELECT start_station_name, start_station_longitude, start_station_latitude, COUNT(*) AS count
-      FROM trips GROUP BY ALL ORDER BY count DESC, 1, 2, 3""",
+      FROM trips GROUP BY ALL ORDER BY count DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST""",
     "end_station_counts": _with() + """
       SELECT end_station_name, end_station_longitude, end_station_latitude, COUNT(*) AS count
-      FROM trips GROUP BY ALL ORDER BY count DESC, 1, 2, 3""",
-    "station_uses": _with(USES) + "SELECT * FROM uses ORDER BY count DESC, 1, 2, 3",
+      FROM trips GROUP BY ALL ORDER BY count DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST""",
+    "station_uses": _with(USES) + "SELECT * FROM uses ORDER BY count DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST",
     "hourly_start_weekday": _hourly("starttime", "start_hour", WEEKDAY),
     "hourly_stop_weekday": _hourly("stoptime", "stop_hour", WEEKDAY),
     "hourly_start_weekend": _hourly("starttime", "start_hour", WEEKEND),
@@ -177,7 +198,7 @@ SQL: dict[str, str] = {
       SELECT strftime(starttime, '%a') AS day_of_week, COUNT(*) AS count,
              CAST(dayofweek(starttime) + 1 AS INTEGER) AS ordinal_number
       FROM trips GROUP BY ALL ORDER BY ordinal_number""",
-    "undirected_path_counts": _with(UNDIRECTED) + "SELECT * FROM undirected ORDER BY count DESC, station_names",
+    "undirected_path_counts": _with(UNDIRECTED) + "SELECT * FROM undirected ORDER BY count DESC, station_names NULLS FIRST",
     "undirected_paths_top100": _with(UNDIRECTED) + """
       SELECT * FROM undirected ORDER BY count DESC, station_names NULLS FIRST LIMIT 100""",
     "undirected_path_split": _with(UNDIRECTED) + """
@@ -193,6 +214,18 @@ SQL: dict[str, str] = {
       ORDER BY count DESC, station_1 NULLS FIRST, station_2 NULLS FIRST, lat_1 NULLS FIRST,
                lon_1 NULLS FIRST, lon_2 NULLS FIRST, lat_2 NULLS FIRST
       LIMIT 1000""",
+    "path_coords_text_top1000": _with(UNDIRECTED, LOOKUP, """split AS (
+      SELECT count, split_part(station_names, ' - ', 1) AS station_1,
+             split_part(station_names, ' - ', 2) AS station_2 FROM undirected)""") + """
+      SELECT p.station_1, p.station_2, p.count,
+             a.start_station_latitude AS lat_1, a.start_station_longitude AS lon_1,
+             b.start_station_longitude AS lon_2, b.start_station_latitude AS lat_2
+      FROM split p
+      JOIN lut a ON p.station_1 = a.start_station_name
+      JOIN lut b ON p.station_2 = b.start_station_name
+      ORDER BY count DESC, station_1 NULLS FIRST, station_2 NULLS FIRST, lat_1 NULLS FIRST,
+               lon_1 NULLS FIRST, lon_2 NULLS FIRST, lat_2 NULLS FIRST
+      LIMIT 1000""",
     "directed_paths_top1000": _directed_top(None),
     "directed_paths_wkdy_am": _directed_top(f"{WEEKDAY} AND hour(starttime) IN (8, 9)"),
     "directed_paths_wkdy_pm": _directed_top(f"{WEEKDAY} AND hour(starttime) IN (17, 18)"),
@@ -203,6 +236,17 @@ SQL: dict[str, str] = {
         FROM period_counts) WHERE rank <= 150""",
     "project_stations": _with(USES) + f"""
       SELECT *, round({_UX}, 3) AS x_ft, round({_UY}, 3) AS y_ft FROM uses""",
+    "station_use_rows": _with() + """
+      SELECT start_station_name AS station_name, start_station_longitude AS station_longitude,
+             start_station_latitude AS station_latitude, starttime AS use_time FROM trips
+      UNION ALL
+      SELECT end_station_name, end_station_longitude, end_station_latitude, stoptime FROM trips""",
+    "project_start_stations": _with() + f"""
+      SELECT start_station_name, start_station_longitude, start_station_latitude, COUNT(*) AS count,
+             round({_LX}, 3) AS x_ft, round({_LY}, 3) AS y_ft FROM trips GROUP BY ALL""",
+    "project_end_stations": _with() + f"""
+      SELECT end_station_name, end_station_longitude, end_station_latitude, COUNT(*) AS count,
+             round({_NX}, 3) AS x_ft, round({_NY}, 3) AS y_ft FROM trips GROUP BY ALL""",
     "project_paths": _with(f"""top AS (SELECT {DKEYS}, COUNT(*) AS count FROM trips
                                 GROUP BY ALL ORDER BY {DORDER} LIMIT 1000)""") + f"""
       SELECT *, round({_SX}, 3) AS start_x_ft, round({_SY}, 3) AS start_y_ft,
@@ -281,12 +325,22 @@ SQL: dict[str, str] = {
     "ingest_trips": _with() + INGEST_ALL,
     "ingest_time_rejects": _with() + """
       SELECT m.source_month, COUNT(*) AS rows,
-             CAST(SUM(CASE WHEN m.day_first AND day(starttime) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS bad_starttime,
+             CAST(SUM(CASE WHEN m.bad OR m.day_first AND day(starttime) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS bad_starttime,
              CAST(SUM(CASE WHEN m.day_first AND day(stoptime) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS bad_stoptime
-      FROM trips, (VALUES ('2013-07', false), ('2015-01', false), ('2016-10', false), ('2015-06', true))
-                  m(source_month, day_first)
+      FROM trips, (VALUES ('2013-07', false, false), ('2015-01', false, false), ('2016-10', false, false),
+                          ('2015-06', true, false), ('2015-07', false, true)) m(source_month, day_first, bad)
       GROUP BY 1 ORDER BY 1""",
+    "ingest_rejects": _with("""damage AS (
+        SELECT CASE WHEN trip_id % 53 = 3 OR trip_id % 59 = 4 THEN 'cells' WHEN trip_id % 61 = 6 THEN 'time'
+                    WHEN trip_id % 67 = 8 THEN 'coordinate' END AS kind FROM trips)""") + """
+      SELECT month, COUNT(*) AS rows, COUNT(*) FILTER (kind = 'cells') AS malformed,
+             COUNT(*) FILTER (kind = 'time') AS bad_starttime, 0::BIGINT AS bad_stoptime,
+             COUNT(*) FILTER (kind = 'coordinate') AS bad_start_station_latitude,
+             0::BIGINT AS bad_start_station_longitude, 0::BIGINT AS bad_end_station_latitude,
+             0::BIGINT AS bad_end_station_longitude
+      FROM damage, (VALUES ('2013-07'), ('2013-08')) m(month) GROUP BY month""",
     "ingest_csv": _with() + INGEST_ALL,
     "trips_table_roundtrip": _with() + "SELECT * FROM trips",
+    "trips_table_ddl": _with() + "SELECT * FROM trips",
     "trips_table_by_month": _with() + "SELECT *, strftime(starttime, '%Y-%m') AS start_month FROM trips",
 }

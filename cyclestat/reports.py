@@ -6,12 +6,14 @@ sampling job and a global sort each.
 
 Every report reads the trips derived from the data folder's tables (see
 :mod:`cyclestat.sources.fixtures`) and is built only from library operators;
-this module holds no logic of its own beyond wiring and display order.
+this module holds no logic of its own beyond wiring and display order.  The
+aggregate reports take trips or the facts of :mod:`cyclestat.operators.facts`
+(``ON_PATH_FACTS``, ``ON_TIME_FACTS``).
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from cyclestat import schema as S
 from cyclestat.functions.timeparse import LAYOUTS, parse_trip_time, render_trip_time
 from cyclestat.operators import calendar, ingest, maps, paths, stations, usage
+from cyclestat.operators.facts import path_facts
+from cyclestat.plans.counting import TRIP_COUNT
 from cyclestat.sources import csv_trips, fixtures, tables
-from cyclestat.sources.scratch import fresh_path
+from cyclestat.sources.scratch import warehouse_path
 
 Report = Callable[[SparkSession, str], DataFrame]
 TripReport = Callable[[DataFrame], DataFrame]
@@ -33,6 +37,11 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.trips(spark, d)
 
 
+def _facts(t: DataFrame) -> DataFrame:
+    """Path facts of trips; facts as they are.  For reports that read them twice."""
+    return t if TRIP_COUNT in t.columns else path_facts(t)
+
+
 def _by_count(df: DataFrame, keys) -> DataFrame:
     return df.orderBy(F.col("count").desc(), *[F.col(k).asc_nulls_first() for k in keys])
 
@@ -78,6 +87,10 @@ def station_uses(t: DataFrame) -> DataFrame:
     return stations.station_uses(t)
 
 
+def station_use_rows(t: DataFrame) -> DataFrame:
+    return stations.station_use_rows(t)
+
+
 # --- time of use --------------------------------------------------------------
 
 def _hourly(end: str, day_type: str) -> TripReport:
@@ -114,7 +127,16 @@ def undirected_path_split(t: DataFrame) -> DataFrame:
 
 
 def path_coords_top1000(t: DataFrame) -> DataFrame:
-    return paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t), S.TOP_PATHS)
+    f = _facts(t)
+    return paths.path_coordinates_top(paths.undirected_pair_counts(f), stations.station_lookup(f), S.TOP_PATHS)
+
+
+def path_coords_text_top1000(t: DataFrame) -> DataFrame:
+    """The same by way of the joined text, as in the source analysis: names are
+    split out of it again, so one that holds the separator is cut."""
+    f = _facts(t)
+    split = paths.split_path_names(paths.undirected_text_counts(f))
+    return paths.path_coordinates_top(split, stations.station_lookup(f), S.TOP_PATHS)
 
 
 def directed_paths_top1000(t: DataFrame) -> DataFrame:
@@ -144,6 +166,14 @@ def project_stations(t: DataFrame) -> DataFrame:
     return maps.project_stations(uses, decimals=FEET_DECIMALS)
 
 
+def project_start_stations(t: DataFrame) -> DataFrame:
+    return maps.project_stations(stations.start_station_counts(t), "start_station", decimals=FEET_DECIMALS)
+
+
+def project_end_stations(t: DataFrame) -> DataFrame:
+    return maps.project_stations(stations.end_station_counts(t), "end_station", decimals=FEET_DECIMALS)
+
+
 def project_paths(t: DataFrame) -> DataFrame:
     top = paths.directed_paths_top(t, S.TOP_PATHS)
     return maps.project_paths(top, decimals=FEET_DECIMALS)
@@ -171,7 +201,8 @@ def path_segments(t: DataFrame) -> DataFrame:
 def project_path_coords(t: DataFrame) -> DataFrame:
     """The undirected path map: first 100 rows of the coordinate table (after
     fan-out, as drawn), both ends projected, loop or segment."""
-    top = paths.path_coordinates_top(paths.undirected_pair_counts(t), stations.station_lookup(t),
+    f = _facts(t)
+    top = paths.path_coordinates_top(paths.undirected_pair_counts(f), stations.station_lookup(f),
                                      S.TOP_UNDIRECTED)
     return maps.project_path_coordinates(top, decimals=FEET_DECIMALS) \
         .withColumn("path_kind", maps.path_kind("station_1", "station_2"))
@@ -223,73 +254,96 @@ def ingest_trips(spark, d):
 
 
 def ingest_time_rejects(spark, d):
-    """Unparsable time text per feed month: the three valid generations plus
-    one month written day-first by mistake."""
+    """Unparsable time text per feed month: the three valid generations, one month
+    written day-first by mistake and one with malformed start times."""
     raws = [ingest.normalise_headers(r) for _, r in _raw_feeds(spark, d)]
     raws.append(ingest.normalise_headers(fixtures.render_day_first_feed(_trips(spark, d), "2015-06")))
+    raws.append(ingest.normalise_headers(fixtures.render_malformed_times(_trips(spark, d), "2015-07")))
     return ingest.time_rejects(ingest.union_positional(raws), group_by="source_month")
 
 
+def _own_name(kind: str, d: str) -> str:
+    """One stable name per data folder, replaced by each call."""
+    return f"cyclestat_{kind}_{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+
+
 def ingest_csv(spark, d):
-    base = fresh_path(spark, "feed-csv")
-    dirs = []
+    """Three months under their real object names, in both naming styles."""
+    base = warehouse_path(spark, _own_name("feed", d))
+    files = []
     for month, raw in _raw_feeds(spark, d):
-        path = csv_trips.join_path(base, month)
+        path = csv_trips.feed_paths(base, month, month)[0]
         raw.write.mode("overwrite").option("header", True).csv(path)
+        files.append(path)
+    return csv_trips.read_trip_csvs(spark, files)
+
+
+def ingest_rejects(spark, d):
+    """What ingest could not use of two damaged months, per month."""
+    base = warehouse_path(spark, _own_name("damaged", d))
+    dirs = []
+    for month in ("2013-07", "2013-08"):
+        path = csv_trips.join_path(base, month)
+        lines = fixtures.render_damaged_lines(_trips(spark, d), month)
+        lines.write.mode("overwrite").option("header", True).option("sep", "\u0001").csv(path)
         dirs.append(path)
-    return csv_trips.read_trip_csvs(spark, dirs)
+    raw = csv_trips.read_raw_trip_csvs(spark, dirs)
+    raw = raw.withColumn("month", F.element_at(F.split("source_file", "/"), -2))
+    return ingest.rejects(raw, group_by="month", malformed=csv_trips.MALFORMED)
 
 
 def trips_table_roundtrip(spark, d):
-    name = f"cyclestat_trips_{uuid.uuid4().hex[:12]}"
-    tables.save_table(_trips(spark, d), name, path=fresh_path(spark, name))
+    name = _own_name("trips", d)
+    tables.save_table(_trips(spark, d), name)
     return tables.read_table(spark, name)
 
 
 def trips_table_by_month(spark, d):
     """The trips saved as a table partitioned by start month, read back whole."""
-    name = f"cyclestat_trips_month_{uuid.uuid4().hex[:12]}"
-    tables.save_table(calendar.with_start_month(_trips(spark, d)), name,
-                      path=fresh_path(spark, name), partition_by=["start_month"])
+    name = _own_name("trips_month", d)
+    tables.save_table(calendar.with_start_month(_trips(spark, d)), name, partition_by=["start_month"])
+    return tables.read_table(spark, name)
+
+
+def trips_table_ddl(spark, d):
+    """A saved table of other content is dropped by SQL and made anew."""
+    name = _own_name("trips_ddl", d)
+    tables.save_table(_trips(spark, d).select("trip_id"), name)
+    tables.drop_table(spark, name)
+    if spark.catalog.tableExists(name):
+        raise RuntimeError(f"{name} is still there")
+    tables.save_table(_trips(spark, d), name)
     return tables.read_table(spark, name)
 
 
 # Reports over a trips table: the analysis itself, usable on any trips DataFrame.
-ON_TRIPS: dict[str, TripReport] = {
-    "trips": trips,
-    "trip_calendar": trip_calendar,
-    "weekday_trips": weekday_trips,
-    "weekend_trips": weekend_trips,
-    "station_lookup": station_lookup,
-    "station_lookup_canonical": station_lookup_canonical,
-    "start_station_counts": start_station_counts,
-    "end_station_counts": end_station_counts,
-    "station_uses": station_uses,
+ROW_SETS: dict[str, TripReport] = {f.__name__: f for f in (trips, trip_calendar, weekday_trips, weekend_trips, station_use_rows)}
+
+# Aggregates of paths and stations: over trips or path facts.
+ON_PATH_FACTS: dict[str, TripReport] = {
+    f.__name__: f
+    for f in (
+        station_lookup, station_lookup_canonical, start_station_counts, end_station_counts, station_uses,
+        undirected_path_counts, undirected_paths_top100, undirected_path_split, path_coords_top1000,
+        path_coords_text_top1000, directed_paths_top1000, directed_paths_wkdy_am, directed_paths_wkdy_pm,
+        directed_paths_wknd, directed_paths_by_period, project_stations, project_start_stations,
+        project_end_stations, project_paths, stations_in_viewport, path_kind, path_segments,
+        project_path_coords, period_path_segments, period_scale_limit,
+    )
+}
+
+# Aggregates of hours and days: over trips or time facts.
+ON_TIME_FACTS: dict[str, TripReport] = {
     "hourly_start_weekday": hourly_start_weekday,
     "hourly_stop_weekday": hourly_stop_weekday,
     "hourly_start_weekend": hourly_start_weekend,
     "hourly_stop_weekend": hourly_stop_weekend,
     "hourly_usage": hourly_usage,
     "day_of_week_counts": day_of_week_counts,
-    "undirected_path_counts": undirected_path_counts,
-    "undirected_paths_top100": undirected_paths_top100,
-    "undirected_path_split": undirected_path_split,
-    "path_coords_top1000": path_coords_top1000,
-    "directed_paths_top1000": directed_paths_top1000,
-    "directed_paths_wkdy_am": directed_paths_wkdy_am,
-    "directed_paths_wkdy_pm": directed_paths_wkdy_pm,
-    "directed_paths_wknd": directed_paths_wknd,
-    "directed_paths_by_period": directed_paths_by_period,
-    "project_stations": project_stations,
-    "project_paths": project_paths,
-    "stations_in_viewport": stations_in_viewport,
-    "path_kind": path_kind,
-    "path_segments": path_segments,
-    "project_path_coords": project_path_coords,
-    "period_path_segments": period_path_segments,
-    "period_scale_limit": period_scale_limit,
 }
 
+ON_TRIPS: dict[str, TripReport] = {**ROW_SETS, **ON_PATH_FACTS, **ON_TIME_FACTS}
+
 
 def _on_derived_trips(fn: TripReport) -> Report:
     return lambda spark, d: fn(_trips(spark, d))
@@ -303,8 +357,10 @@ REPORTS: dict[str, Report] = {
     "ingest_trips": ingest_trips,
     "ingest_time_rejects": ingest_time_rejects,
     "ingest_csv": ingest_csv,
+    "ingest_rejects": ingest_rejects,
     "trips_table_roundtrip": trips_table_roundtrip,
     "trips_table_by_month": trips_table_by_month,
+    "trips_table_ddl": trips_table_ddl,
 }
 
 FLAGSHIP = "path_coords_top1000"

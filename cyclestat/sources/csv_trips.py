@@ -51,25 +51,55 @@ def feed_paths(base: str, first_month: str = "2013-07", last_month: str = "2017-
     return [join_path(base, n) for n in feed_file_names(first_month, last_month)]
 
 
+#: Column of a raw frame that holds a line whose cells do not fit the schema.
+MALFORMED = "_malformed"
+
+
+def file_header(spark: SparkSession, path: str) -> list[str]:
+    """Canonical column names of one file's (or folder's) header line."""
+    return [S.canonical_name(h) for h in spark.read.option("header", True).csv(path).columns]
+
+
 def master_schema(spark: SparkSession, first_path: str) -> T.StructType:
     """All-string schema named after the canonical form of one file's header."""
-    header = spark.read.option("header", True).csv(first_path).columns
-    return T.StructType([T.StructField(S.canonical_name(h), T.StringType()) for h in header])
+    return T.StructType([T.StructField(h, T.StringType()) for h in file_header(spark, first_path)])
+
+
+def check_headers(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> None:
+    """Fail, naming the file, where a file's columns are not the master's, in number and order."""
+    for path in paths:
+        header = file_header(spark, path)
+        if header != schema.names:
+            raise ValueError(f"{path}: columns {header} are not those of the first file {schema.names}")
 
 
 def read_raw_trip_csvs(spark: SparkSession, paths: Sequence[str], source_column: str | None = "source_file",
-                       schema: T.StructType | None = None) -> DataFrame:
-    """All rows of all files as strings, canonical column names, plus the
-    source file path (from the scan's ``_metadata``) when ``source_column``."""
+                       schema: T.StructType | None = None, malformed: bool = True) -> DataFrame:
+    """All rows of all files as strings, canonical column names, plus the source file
+    path (from the scan's ``_metadata``) when ``source_column``, and ``_malformed``:
+    the whole line where it has more or fewer cells than the header, else NULL.
+    Without ``malformed`` such lines, and the column, are left out.
+
+    Every file's header is compared with the first one's before the scan, one line
+    of each file, so a file with a shifted or missing column stops the read.
+    """
     paths = list(paths)
     schema = schema or master_schema(spark, paths[0])
-    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("mode", "PERMISSIVE").csv(paths))
+    check_headers(spark, paths, schema)
+    reader = spark.read.option("header", True).option("enforceSchema", True)
+    reader = reader.option("columnPruning", False)  # a pruned parse would not count the cells
+    if malformed:
+        reading = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+        reader = reader.schema(reading).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+    else:
+        reader = reader.schema(schema).option("mode", "DROPMALFORMED")
+    df = reader.csv(paths)
     if source_column:
         df = df.withColumn(source_column, F.col("_metadata.file_path"))
     return df
 
 
 def read_trip_csvs(spark: SparkSession, paths: Sequence[str], source_column: str | None = None) -> DataFrame:
-    """Typed trips table from the monthly CSV files."""
-    return repair_trips(read_raw_trip_csvs(spark, paths, source_column=source_column))
+    """Typed trips table from the monthly CSV files, without malformed lines (see
+    :func:`cyclestat.operators.ingest.rejects` for their number)."""
+    return repair_trips(read_raw_trip_csvs(spark, paths, source_column=source_column, malformed=False))

@@ -1,9 +1,9 @@
 """Shared scratch storage.
 
-Intermediate tables are written under the cluster's checkpoint folder
-(``spark.checkpoint.dir``), which a cluster points at shared storage, never
-at a machine-local temporary folder.  Only when the session names none (a
-local test) is a local folder created and registered as the checkpoint dir.
+Intermediate files are written under the cluster's checkpoint folder
+(``spark.checkpoint.dir``), which a cluster points at shared storage.  Only a
+local master may do without one: a local folder is then created and registered.
+On a cluster that is an error, since other machines could not read it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="cyclestat-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -28,6 +30,11 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "cyclestat", app, *parts])
 
 
+def warehouse_path(spark: SparkSession, *parts: str) -> str:
+    """A path under the session's warehouse folder (shared on a cluster)."""
+    return "/".join([spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), *parts])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused scratch path for one write."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cyclestat.sources.scratch import warehouse_path
+
 
 def save_table(df: DataFrame, name: str, path: str | None = None,
                partition_by: Sequence[str] | None = None, fmt: str = "parquet",
-               rebalance: bool = True) -> None:
-    """Create or replace table ``name`` with ``df`` (``mode('overwrite')``:
-    one statement, no interval in which the table is missing).
+               rebalance: bool = True) -> str:
+    """Create or replace table ``name`` with ``df``; returns the folder of its files.
+
+    The rows are first written to a new folder (below ``path``, else below the
+    warehouse).  Only when all are there does the table switch to it: the old
+    definition is dropped and the new one made, two catalog calls, no data.  A
+    write that fails leaves the old table as it was.  The old files stay, for
+    readers that still use them; a table is external, so dropping it drops no file.
 
-    ``path`` makes it an external table at that location (shared storage);
     ``partition_by`` e.g. a month column lets time-bounded queries prune
     directories.  With ``rebalance`` rows are first rebalanced on the
     partition columns: each writer task then holds few partition values (few
@@ -23,14 +30,20 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     columns (monthly feed files: each scan task holds one month), which saves
     a full shuffle.
     """
-    if partition_by and rebalance:
-        df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    spark, parts = df.sparkSession, list(partition_by or [])
+    base = path.rstrip("/") if path else warehouse_path(spark, name.split(".")[-1])
+    folder = f"{base}/{uuid.uuid4().hex}"
+    if parts and rebalance:
+        df = df.hint("rebalance", *parts)
+    df.write.format(fmt).partitionBy(*parts).save(folder)
+    columns = ", ".join(f"{quote_identifier(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+    by = f"PARTITIONED BY ({', '.join(map(_quoted, parts))})" if parts else ""
+    drop_table(spark, name)
+    location = folder.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {quote_identifier(name)} ({columns}) USING {fmt} {by} LOCATION '{location}'")
+    if parts:
+        spark.catalog.recoverPartitions(name)
+    return folder
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
@@ -38,8 +51,12 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {quote_identifier(name)}")
 
 
+def _quoted(part: str) -> str:
+    return "`" + part.replace("`", "``") + "`"
+
+
 def quote_identifier(name: str) -> str:
-    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+    return ".".join(map(_quoted, name.split(".")))
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

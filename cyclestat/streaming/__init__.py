@@ -9,6 +9,6 @@ stream with bounded state (``running``).
 """
 
 from cyclestat.streaming.ingest_stream import stream_trip_csvs, write_trips_stream
-from cyclestat.streaming.running import publish_running, running_report
+from cyclestat.streaming.running import latest_version, publish_running, running_report
 
-__all__ = ["stream_trip_csvs", "write_trips_stream", "running_report", "publish_running"]
+__all__ = ["stream_trip_csvs", "write_trips_stream", "running_report", "publish_running", "latest_version"]

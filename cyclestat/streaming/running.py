@@ -4,16 +4,16 @@ The station and time-of-use tables are grouped counts, so the batch
 operators run unchanged on a streaming DataFrame: Spark keeps one state row
 per group (bounded by stations or hours, never by trips) in a state store
 checkpointed under shared storage, and every trigger publishes the updated
-table: each trigger's full result replaces the previous one at the sink path
-(``foreachBatch`` + overwrite; a plain Parquet overwrite is not atomic for a
-reader that lists the folder during the write).
+table: its full result goes to a new folder ``version=<batch>`` under the sink
+path, which a reader takes when Spark's ``_SUCCESS`` mark is there
+(:func:`latest_version`); earlier versions are never touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cyclestat.operators import stations, usage
@@ -34,11 +34,22 @@ def running_report(trips_stream: DataFrame, report: str | Callable[[DataFrame],
 
 def publish_running(result: DataFrame, path: str, checkpoint_location: str,
                     available_now: bool = True) -> StreamingQuery:
-    """Write the complete current result to Parquet at ``path`` on every trigger."""
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Write the complete current result as a new version under ``path`` on every trigger.
+    A batch that is run again after a failure replaces its own version only."""
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
-    w = (result.writeStream.outputMode("complete").foreachBatch(replace)
+    w = (result.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version under ``path``, or None."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath().getParent() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS")) or []]
+    if not done:
+        return None
+    return spark.read.parquet(max((p for p in done), key=lambda p: int(p.getName().split("=")[1])).toString())

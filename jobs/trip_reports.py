@@ -5,12 +5,16 @@
         --table trips --table-path s3a://bucket/warehouse/trips \\
         --out s3a://bucket/reports [--rejects] [--reports station_uses ...]
 
-or ``--paths`` for an explicit list of files/folders.  The feed is read by
-one multi-path scan, repaired, and saved once as a Parquet table partitioned
-by start month; every report then reads that table (column-pruned) and is
-written as Parquet under ``--out/<report>``.  ``--rejects`` adds a per-file
-count of unparsable time text (one more scan of the CSV files).  Session
-settings come from ``spark-submit``; the job sets none.
+or ``--paths`` for an explicit list of files/folders.  The feed is read by one
+multi-path scan, repaired, and saved once as a Parquet table partitioned by start
+month.  Two grouped tables, the path facts and the time facts, are made from it in
+one pass each and written under ``--out``; every aggregate report is answered from
+them and written as Parquet under ``--out/<report>``, so the trips are read twice
+whatever the number of reports.  Row sets (copies of the trips with more columns)
+are written only when named in ``--reports``.  ``--rejects`` adds a per-file count of
+malformed lines, unparsable times and coordinates, from marks that the one ingest
+pass leaves in the table.  Session settings come from ``spark-submit``; the job sets
+none.
 """
 
 from __future__ import annotations
@@ -22,32 +26,43 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from cyclestat.operators.calendar import with_start_month  # noqa: E402
-from cyclestat.operators.ingest import repair_trips, time_rejects  # noqa: E402
-from cyclestat.reports import ON_TRIPS  # noqa: E402
-from cyclestat.sources.csv_trips import feed_paths, join_path, read_raw_trip_csvs  # noqa: E402
+from cyclestat.operators.facts import path_facts, time_facts  # noqa: E402
+from cyclestat.operators.ingest import count_flags, repair_with_flags  # noqa: E402
+from cyclestat.reports import ON_PATH_FACTS, ON_TIME_FACTS, ON_TRIPS, ROW_SETS  # noqa: E402
+from cyclestat.sources.csv_trips import MALFORMED, feed_paths, join_path, read_raw_trip_csvs  # noqa: E402
 from cyclestat.sources.tables import read_table, save_table  # noqa: E402
 
 
 def run(spark: SparkSession, paths: list[str], table: str, table_path: str | None, out: str,
         reports: list[str] | None = None, rejects: bool = False, month_clustered: bool = True) -> list[str]:
     """Ingest ``paths``, save ``table``, write the reports; returns their names."""
-    raw = read_raw_trip_csvs(spark, paths, source_column="source_file")
-    if rejects:
-        time_rejects(raw, group_by="source_file").write.mode("overwrite") \
-            .parquet(join_path(out, "_ingest_rejects"))
-    # Feed files hold one month each, so every scan task already writes a
-    # single month directory: no rebalance shuffle before the write.
-    save_table(with_start_month(repair_trips(raw)), table, path=table_path, partition_by=["start_month"],
-               rebalance=not month_clustered)
-    trips = read_table(spark, table)
-    names = reports or list(ON_TRIPS)
+    names = reports or [n for n in ON_TRIPS if n not in ROW_SETS]
     unknown = sorted(set(names) - set(ON_TRIPS))
     if unknown:
         raise ValueError(f"unknown reports {unknown}")
+    raw = read_raw_trip_csvs(spark, paths, source_column="source_file")
+    # Feed files hold one month each, so every scan task already writes a
+    # single month directory: no rebalance shuffle before the write.
+    save_table(with_start_month(repair_with_flags(raw, MALFORMED)), table, path=table_path,
+               partition_by=["start_month"], rebalance=not month_clustered)
+    saved = read_table(spark, table)
+    trips = saved.where(~F.array_contains("rejected", "malformed")).drop("rejected")
+    if rejects:
+        count_flags(saved, group_by="source_file").write.mode("overwrite").parquet(join_path(out, "_ingest_rejects"))
+    for kind, facts, answered in (("_path_facts", path_facts, ON_PATH_FACTS), ("_time_facts", time_facts, ON_TIME_FACTS)):
+        wanted = [n for n in names if n in answered]
+        if wanted:
+            at = join_path(out, kind)
+            facts(trips).write.mode("overwrite").parquet(at)
+            grouped = spark.read.parquet(at)
+            for name in wanted:
+                answered[name](grouped).write.mode("overwrite").parquet(join_path(out, name))
     for name in names:
-        ON_TRIPS[name](trips).write.mode("overwrite").parquet(join_path(out, name))
+        if name in ROW_SETS:
+            ROW_SETS[name](trips).write.mode("overwrite").parquet(join_path(out, name))
     return names
 
 

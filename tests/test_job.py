@@ -28,7 +28,7 @@ def test_job_writes_every_report_equal_to_the_library(spark):
         dirs.append(d)
     out = fresh_path(spark, "job-out")
     names = _job().run(spark, dirs, "cyclestat_job_trips", fresh_path(spark, "job-table"), out, rejects=True)
-    assert names == list(reports.ON_TRIPS)
+    assert names == [*reports.ON_PATH_FACTS, *reports.ON_TIME_FACTS]
     feed_trips = csv_trips.read_trip_csvs(spark, dirs)
     for name in ("station_uses", "directed_paths_top1000", "hourly_usage", "day_of_week_counts"):
         got = spark.read.parquet(csv_trips.join_path(out, name))
@@ -45,6 +45,8 @@ def test_job_command_line(spark):
     fixtures.render_raw_feed(t, "classic", "iso", "2013-07").write.option("header", True).csv(d)
     out = fresh_path(spark, "job-cli-out")
     _job().main(["--paths", d, "--table", "cyclestat_job_cli", "--table-path", fresh_path(spark, "job-cli-table"),
-                 "--out", out, "--reports", "station_uses", "day_of_week_counts"])
+                 "--out", out, "--reports", "station_uses", "day_of_week_counts", "weekday_trips"])
+    assert not os.path.exists(os.path.join(out, "weekend_trips"))
+    assert spark.read.parquet(csv_trips.join_path(out, "weekday_trips")).count() > 0
     got = spark.read.parquet(csv_trips.join_path(out, "day_of_week_counts"))
     assert got.agg({"count": "sum"}).first()[0] == t.count()

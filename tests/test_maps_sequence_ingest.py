@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cyclestat.functions.geo import LONG_ISLAND_FEET, VIEWPORT_X, VIEWPORT_Y, interpolate
 from cyclestat.operators import ingest, maps
 from cyclestat.operators.sequence import with_next
-from cyclestat.plans.joins import bounded_broadcast
 from cyclestat.sources import csv_trips
 from cyclestat.sources.scratch import fresh_path
 
@@ -61,55 +60,39 @@ def test_path_kind_three_valued(spark):
 
 
 def _lead_reference(df):
-    w = Window.partitionBy("k").orderBy("o", "id")
+    w = Window.partitionBy("k").orderBy(F.col("o").asc_nulls_first(), "id")
     return df.select("id", F.lead("v").over(w).alias("next_v"))
 
 
-@pytest.mark.parametrize("strategy", ["range", "window", "auto"])
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_with_next_equals_lead_with_hot_and_null_keys(spark, parts, strategy):
-    rnd = random.Random(parts)
+@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
+def test_with_next_equals_lead_with_hot_and_null_keys_null_order_and_ties(spark, width):
+    rnd = random.Random(width)
     rows = []
     for i in range(3000):
         k = 0 if rnd.random() < 0.4 else (None if rnd.random() < 0.05 else rnd.randrange(50))
-        rows.append((i, k, rnd.randrange(500), None if rnd.random() < 0.1 else rnd.random()))
-    df = spark.createDataFrame(rows, "id long, k long, o long, v double")
-    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], num_partitions=parts,
-                                                strategy=strategy).collect()}
-    want = {r.id: r.next_v for r in _lead_reference(df).collect()}
-    assert got == want
+        rows.append((i, k, None if rnd.random() < 0.03 else rnd.randrange(500), None if rnd.random() < 0.1 else rnd.random()))
+    df = spark.createDataFrame(rows, "id long, k long, o long, v double").repartition(5)
+    out = with_next(df, "k", ["o", "id"], ["v"], chunk=F.floor(F.col("o") / width))
+    assert {r.id: r.next_v for r in out.collect()} == {r.id: r.next_v for r in _lead_reference(df).collect()}
 
 
-@pytest.mark.parametrize("strategy", ["range", "window"])
-def test_with_next_keeps_columns(spark, strategy):
-    df = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id long, k long, o long")
-    assert with_next(df, "k", ["o"], ["id"], strategy=strategy).columns == ["id", "k", "o", "next_id"]
+def test_with_next_keeps_columns_and_rows(spark):
+    df = spark.createDataFrame([(1, 1, 1, "x"), (2, 1, 2, None)], "id long, k long, o long, note string")
+    out = with_next(df, "k", ["o"], ["id"], chunk=F.col("o"))
+    assert out.columns == ["id", "k", "o", "note", "next_id"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, "x", 2), (2, 1, 2, None, None)]
 
 
-def test_with_next_auto_detects_hot_key(spark):
-    from cyclestat.operators.sequence import largest_group_is_heavy
-    hot = spark.range(1000).select((F.when(F.col("id") < 400, 0).otherwise(F.col("id"))).alias("k"))
-    flat = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert largest_group_is_heavy(hot, "k", 8, heavy_rows=100)
-    assert not largest_group_is_heavy(hot, "k", 8)  # 400 rows: below the default row floor
-    assert not largest_group_is_heavy(flat, "k", 8, heavy_rows=1)
-
-
-def test_with_next_range_path_balances_hot_key(spark):
-    # one key holds 60% of rows; the range path's chunks stay near n / parts
-    df = spark.range(20000).select("id", F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id")).alias("k"))
-    out = with_next(df, "k", ["id"], ["id"], num_partitions=8, strategy="range")
-    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 2 * 20000 / 8
-    assert out.where("next_id IS NULL").count() == df.select("k").distinct().count()
-
-
-def test_bounded_broadcast(spark):
-    small = spark.range(10)
-    hinted = bounded_broadcast(small, 10)._jdf.queryExecution().logical().toString()
-    unhinted = bounded_broadcast(small, 9)._jdf.queryExecution().logical().toString()
-    assert "ResolvedHint" in hinted or "broadcast" in hinted.lower()
-    assert "broadcast" not in unhinted.lower()
+def test_with_next_spreads_a_hot_key_over_its_chunks(spark):
+    df = spark.range(20000).select("id", F.lit(0).alias("k"))
+    out = with_next(df, "k", ["id"], ["id"], chunk=F.floor(F.col("id") / 100))
+    assert out.where("next_id IS NULL").count() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 4 and max(sizes) < 20000 / 2
 
 
 def test_normalise_headers_and_aliases(spark):
@@ -161,3 +144,43 @@ def test_csv_files_with_different_headers_read_by_position(spark):
     assert [r.start_station_name for r in rows] == ["A", "B"]
     assert rows[1].stoptime == dt.datetime(2015, 1, 1, 0, 31)
     assert rows[0].source_file.rstrip("/").split("/")[-2] == "a"
+
+
+def _csv(spark, base, name, lines):
+    path = csv_trips.join_path(base, name)
+    spark.createDataFrame([(x,) for x in lines[1:]], f"`{lines[0]}` string").coalesce(1) \
+        .write.option("header", True).option("sep", "\u0001").csv(path)
+    return path
+
+
+GOOD = "2013-07-01 00:00:00,2013-07-01 00:10:00,A,40.7,-74.0,B,40.71,-74.01,Subscriber"
+HEADER = ",".join(RAW)
+
+
+def test_csv_lines_that_do_not_fit_are_kept_apart_and_counted(spark):
+    base = fresh_path(spark, "test-csv-bad")
+    short, long_ = GOOD.rsplit(",", 3)[0], GOOD + ",more"
+    path = _csv(spark, base, "a", [HEADER, GOOD, short, long_, GOOD.replace("40.7,", "n/a,"), GOOD.replace("2013-07-01 00:00:00", "1/2/3/2015 10:00")])
+    raw = csv_trips.read_raw_trip_csvs(spark, [path])
+    assert sorted(r[csv_trips.MALFORMED] for r in raw.collect() if r[csv_trips.MALFORMED]) == sorted([short, long_])
+    assert csv_trips.read_trip_csvs(spark, [path]).count() == 3
+    want = {"rows": 5, "malformed": 2, "bad_starttime": 1, "bad_stoptime": 0, "bad_start_station_latitude": 1,
+            "bad_start_station_longitude": 0, "bad_end_station_latitude": 0, "bad_end_station_longitude": 0}
+    assert ingest.rejects(raw, malformed=csv_trips.MALFORMED).first().asDict() == want
+    flagged = ingest.count_flags(ingest.repair_with_flags(raw, csv_trips.MALFORMED), "source_file").first().asDict()
+    assert {k: v for k, v in flagged.items() if k != "source_file"} == want
+
+
+@pytest.mark.parametrize("header", ["extra," + HEADER, HEADER + ",extra", HEADER.rsplit(",", 1)[0],
+                                    HEADER.replace("starttime,stoptime", "stoptime,starttime")])
+def test_csv_file_with_other_columns_is_named(spark, header):
+    base = fresh_path(spark, "test-csv-header")
+    first = _csv(spark, base, "first", [HEADER, GOOD])
+    other = _csv(spark, base, "other", [header, GOOD])
+    with pytest.raises(ValueError, match="other"):
+        csv_trips.read_trip_csvs(spark, [first, other])
+
+
+def test_positional_union_checks_the_width(spark):
+    with pytest.raises(ValueError, match="width"):
+        ingest.union_positional([spark.range(1), spark.range(1).withColumn("b", F.lit(1))])

@@ -24,7 +24,7 @@ def test_undirected_merges_directions_and_share(spark):
     got = {r.station_names: (r["count"], r.pct_subscriber) for r in paths.undirected_path_counts(df).collect()}
     assert got["A - B"] == (3, 1 / 3)
     assert got["A - A"] == (1, 1.0)
-    assert dict(paths.undirected_path_counts(df).dtypes)["count"] == "int"
+    assert dict(paths.undirected_path_counts(df).dtypes)["count"] == "bigint"
 
 
 def test_undirected_binary_order_and_null_group(spark):

@@ -59,12 +59,11 @@ events = st.lists(st.tuples(keys, st.integers(0, 30), st.one_of(st.none(), st.fl
 
 
 @SLOW
-@given(rows=events, parts=st.integers(1, 9), strategy=st.sampled_from(["range", "window"]))
-def test_with_next_matches_pandas_shift(spark, rows, parts, strategy):
+@given(rows=events, width=st.integers(1, 40))
+def test_with_next_matches_pandas_shift(spark, rows, width):
     data = [(i, k, o, v) for i, (k, o, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, k long, o long, v double")
-    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], num_partitions=parts,
-                                              strategy=strategy).collect()}
+    got = {r.id: r.next_v for r in with_next(df, "k", ["o", "id"], ["v"], chunk=F.floor(F.col("o") / width)).collect()}
     pdf = pd.DataFrame(data, columns=["id", "k", "o", "v"]).sort_values(["o", "id"])
     pdf["next_v"] = pdf.groupby(pd.to_numeric(pdf["k"]).fillna(-1), sort=False)["v"].shift(-1)
     want = {int(i): (None if pd.isna(v) else float(v)) for i, v in zip(pdf["id"], pdf["next_v"])}

@@ -2,7 +2,7 @@ from cyclestat.sources import csv_trips, fixtures
 from cyclestat.sources.scratch import fresh_path
 from cyclestat.sources.tables import drop_table, read_table, save_table
 from cyclestat.operators import stations, usage
-from cyclestat.streaming import publish_running, running_report, stream_trip_csvs, write_trips_stream
+from cyclestat.streaming import latest_version, publish_running, running_report, stream_trip_csvs, write_trips_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +54,23 @@ def test_table_replace_and_drop(spark):
     assert not spark.catalog.tableExists(name)
 
 
+def test_a_failing_replace_leaves_the_old_table(spark):
+    name = "cyclestat_test_failing"
+    save_table(spark.range(7), name)
+    broken = spark.range(5).selectExpr("raise_error('no more rows') AS id", "id AS other")
+    for parts in (None, ["other"]):
+        try:
+            save_table(broken, name, partition_by=parts)
+        except Exception as ex:
+            assert "no more rows" in str(ex)
+        else:
+            raise AssertionError("the write did not fail")
+        assert read_table(spark, name).count() == 7
+    save_table(spark.range(3).selectExpr("id", "id % 2 AS part"), name, partition_by=["part"])
+    assert sorted(map(tuple, read_table(spark, name).collect())) == [(0, 0), (1, 1), (2, 0)]
+    drop_table(spark, name)
+
+
 def test_running_reports_equal_batch(spark):
     t, base = _land_feed(spark)
     dirs = [csv_trips.join_path(base, m) for m, _, _ in fixtures.FEED_GENERATIONS]
@@ -64,8 +81,9 @@ def test_running_reports_equal_batch(spark):
                                   source_column=None)
         out = fresh_path(spark, f"running-{name}")
         q = publish_running(running_report(stream, name), out, fresh_path(spark, f"running-ckpt-{name}"))
+        assert latest_version(spark, out + "-none") is None
         q.awaitTermination(180)
-        got = spark.read.parquet(out)
+        got = latest_version(spark, out)
         want = op(batch)
         assert got.count() == want.count()
         assert got.exceptAll(want.select(*got.columns)).count() == 0

@@ -25,6 +25,12 @@ def test_bad_text_is_null_not_error(spark):
     assert got == [None] * 6
 
 
+def test_text_near_a_layout_is_null(spark):
+    got = _parse(spark, ["1/2/3/2015 10:00", "01/02/2015 garbage 10:00", "1/2/2015 09:00 10:00", "2013-07-01 00:00:00.oops",
+                         "2013-07-01 00:00.5", "2013-07-01  00:00:00", "2013-07-01 00:00:00\n", "x1/2/2015 10:00", "1-2-2015 10:00", "2015/1/2 10:00"])
+    assert got == [None] * 10
+
+
 def test_fraction_dropped_and_whitespace_trimmed(spark):
     got = _parse(spark, [" 2016-01-01 00:00:41.123 ", "10/1/2016 00:00:05.9"])
     assert got == [T(2016, 1, 1, 0, 0, 41), T(2016, 10, 1, 0, 0, 5)]
