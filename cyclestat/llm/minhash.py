@@ -6,16 +6,19 @@ dealt to one of ``rows * bands`` bins; a bin keeps its least hash.  An empty bin
 the value of a bin that the hash of (its number, attempt) names, the first attempt to
 hit a filled bin (optimal densification), so two sets agree in each bin with a
 probability near their similarity whatever their size.  ``rows`` bins in a row make a
-band; documents that agree in a band meet in a bucket.  At 0.8 and the defaults a pair
-is missed by all bands with probability 3e-6, at 0.85 with 7e-9.
+band; documents that agree in a band meet in a bucket.  ``bands`` bands of ``rows`` bins
+miss a pair of similarity ``s`` with probability ``(1 - s ** rows) ** bands``: 1e-5 at 0.8
+with 48 bands of 7, 3e-6 at 0.85 with 48 bands of 9.
 
 Candidates.  Documents with equal sets are one node from the start (smallest id).  In
-each bucket a few members are centres and make one edge to every later member; the
-first round takes the least member alone.  Every candidate pair is confirmed on the
-full sets.  Linked nodes are joined into components, and buckets whose members are
-still in several components go on with more centres (twice as many each round), until
-every pair of a bucket is linked through others or compared: stars first, so a group
-of ``m`` near copies costs about ``m`` pairs, and no pair is given up.
+each bucket the least member is the centre of a star, one candidate edge to every other
+member, so a group of ``m`` near copies costs about ``m`` pairs.  Every candidate pair is
+confirmed on the full sets, and linked nodes are joined into components.  A star can miss
+a link between two members that are not like its centre.  So buckets whose members are
+still in several components go on: the members outside the bucket's largest component
+meet all others, in blocks of bounded size.  Blocks are compared within tasks, which
+return a link for each two components only; no pair of a bucket is given up, and none
+within a component is looked at again.
 
 All steps are joins and aggregates over tables; only counts reach the driver.  Tables
 that are used again are written to shared storage.
@@ -33,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cyclestat.llm.common import in_task, stored
 from cyclestat.llm.textbytes import Words, batches, mix, shingle_sets
@@ -42,6 +44,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ATTEMPTS = 4096
 #: Members that one centre's text is sent along with.
 _PAIRS_A_GROUP = 64
+#: Members of a block, on average, and columns of a product.
+_BLOCK, _COLUMNS = 512, 4096
 
 
 def densified(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -107,6 +111,57 @@ def confirmed(source: Iterator[pa.RecordBatch], shingle: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array(left, ids), pa.array(right, ids)], ["a", "b"])
 
 
+def linked_blocks(source: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``bucket, kind, p, q, side, root, text`` sorted by block to links ``a, b`` of roots."""
+    key, sides, roots, sets = None, [], [], []
+    kind = None
+
+    def links() -> pa.RecordBatch:
+        found = {(min(roots[i], roots[j]), max(roots[i], roots[j])) for i, j in _similar(sets, np.array(sides), percent, key[1] == 0 and key[3] == 0) if roots[i] != roots[j]}
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], ["a", "b"])
+
+    for batch in batches(source, "text"):
+        kind = batch.schema.field("root").type
+        own = shingle_sets(Words(batch.column("text"), lower=True), shingle)
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "kind", "p", "q", "side", "root")]
+        for *at, side, root, s in zip(*columns, own):
+            if at != key:
+                if key is not None:
+                    yield links()
+                key, sides, roots, sets = at, [], [], []
+            sides.append(side)
+            roots.append(root)
+            sets.append(s)
+    if key is not None:
+        yield links()
+
+
+def _similar(sets: list[np.ndarray], sides: np.ndarray, percent: int, within: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of sets of side 0 and side 1 (and, if asked, of side 0) that are similar enough.
+
+    Common elements are counted by products of incidence matrices, a few columns at a time.
+    """
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    if within:
+        right = np.concatenate([left, right])
+    size = np.array([len(s) for s in sets])
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    row, column = row[uses[column] > 1], column[uses[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    common = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + _COLUMNS, _COLUMNS))
+    for a, b in zip(edges[:-1], edges[1:]):
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[row[a:b], column[a:b] % _COLUMNS] = 1.0
+        common += held[left] @ held[right].T
+    both = size[left][:, None] + size[right][None, :]
+    for i, j in zip(*np.nonzero((100 * common >= percent * (both - common)) & (common > 0))):
+        if left[i] != right[j]:
+            yield int(left[i]), int(right[j])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for edges ``a, b``: the least node reachable.  Large star, small star, repeated.
 
@@ -117,25 +172,24 @@ def components(edges: DataFrame) -> DataFrame:
     def least(near: DataFrame) -> DataFrame:
         return near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
-    now, before = edges.select("a", "b").distinct(), None
-    now = stored(now, "graph")
+    now = stored(edges.select("a", "b").distinct(), "graph")
     while True:
         near = now.selectExpr("a u", "b v").union(now.selectExpr("b u", "a v"))
         large = near.where("v > u").join(least(near), "u").selectExpr("v u", "m v").where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.selectExpr("u", "m v").union(small.selectExpr("v u", "m v")).where("u <> v").distinct()
-        now = stored(small.selectExpr("v a", "u b"), "graph")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(mark) == before:
-            return now.selectExpr("b node", "a root")
-        before = tuple(mark)
+        now = stored(small.selectExpr("u a", "v b"), "graph")
+        # Done when all that is left are stars: no node has two roots or is one itself.
+        ends = now.selectExpr("a k", "1 leaf").union(now.selectExpr("b k", "0 leaf").distinct())
+        if ends.groupBy("k").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("r")).where("n > 1 OR (n = 1 AND r = 0)").isEmpty():
+            return now.selectExpr("a node", "b root")
 
 
 class NearDuplicates:
     """Near-duplicate classes of ``docs``; see the module's text."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, rows: int = 5, bands: int = 32) -> None:
+    def __init__(self, shingle: int = 5, percent: int = 80, rows: int = 7, bands: int = 48) -> None:
         self.shingle, self.percent, self.rows, self.bands = shingle, percent, rows, bands
 
     def _signed(self, texts: DataFrame) -> DataFrame:
@@ -163,45 +217,55 @@ class NearDuplicates:
         kind = pairs.schema["a"].dataType.simpleString()
         return rows.mapInArrow(in_task("minhash", "confirmed", self.shingle, self.percent), f"a {kind}, b {kind}")
 
-    def _compare(self, members: DataFrame, texts: str) -> DataFrame | None:
-        """``node, root`` of the linked nodes, or None if there is no link."""
-        similar = F.expr(f"100 * least(n, cn) >= {self.percent} * greatest(n, cn)")
-        links = seen = roots = None
-        width = 1
-        while True:
-            if width == 1:
-                centres = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).selectExpr("bucket", "c.node centre", "c.n cn")
-                state = members.withColumn("root", F.col("node"))
-            else:
-                state = members.join(roots.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", F.coalesce("r", "node").alias("root"))
-                open_ = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-                state = stored(state.join(open_, "bucket", "left_semi"), "near-open")
-                order = Window.partitionBy("bucket").orderBy("node")
-                centres = state.withColumn("i", F.row_number().over(order)).where(F.col("i") <= width).selectExpr("bucket", "node centre", "n cn", "root cr")
-            pairs = state.join(centres, "bucket").where((F.col("node") > F.col("centre")) & similar)
-            if width > 1:
-                pairs = pairs.where("root <> cr")
-            pairs = pairs.selectExpr("centre a", "node b").distinct()
-            if seen is not None:
-                pairs = pairs.join(seen, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "near-pairs")
-            if not pairs.isEmpty():
-                found = stored(self._links(pairs, texts), "near-links")
-                links = found if links is None else links.union(found)
-                seen = pairs if seen is None else seen.union(pairs)
-                if not links.isEmpty():
-                    roots = components(links if roots is None else found.union(roots.selectExpr("root a", "node b")))
-            if width == 1 and roots is None:
-                roots = members.sparkSession.createDataFrame([], members.select("node", F.col("node").alias("root")).schema)
-            if width > 1:
-                gone = centres.selectExpr("bucket", "centre node")
-                members = stored(state.select("bucket", "node", "n").join(gone, ["bucket", "node"], "left_anti"), "near-rest")
-            else:
-                gone = centres.selectExpr("bucket", "centre node")
-                members = stored(members.join(gone, ["bucket", "node"], "left_anti"), "near-rest")
-            if members.isEmpty():
-                return roots
-            width *= 2
+    def _star(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs ``a, b``: each bucket's least member with the others of like size."""
+        least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).selectExpr("bucket", "c.node centre", "c.n cn")
+        near = F.expr(f"node > centre AND 100 * least(n, cn) >= {self.percent} * greatest(n, cn)")
+        return members.join(least, "bucket").where(near).selectExpr("centre a", "node b").distinct()
+
+    def _open(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """``bucket, node, root`` and their block, for the buckets not yet in one component.
+
+        Block ``(0, p, q)`` holds members outside the largest component (part ``p``, side 0)
+        and inside it (part ``q``, side 1); ``(1, p, q)`` two parts of the former.
+        """
+        least = members.groupBy("bucket").agg(F.min("node").alias("centre"))
+        rest = members.join(least, "bucket").where("node > centre").select("bucket", "node")
+        rooted = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        each = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        sizes = each.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+        sizes = sizes.where("n_all > n_main").select(
+            "bucket", "main", F.ceil(F.col("n_main") / _BLOCK).cast("int").alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / _BLOCK).cast("int").alias("others")
+        )
+        state = stored(rooted.join(sizes, "bucket").withColumn("inside", F.col("root") == F.col("main")), "near-open")
+        part = F.pmod(F.hash("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others")))
+        state = state.withColumn("part", part)
+        block = lambda kind, p, q, side: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
+        counter = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        own = F.col("part")
+        within = F.transform(counter("others"), lambda i: block(0, i, own, F.lit(1)))
+        outside = F.concat(
+            F.transform(counter("mains"), lambda i: block(0, own, i, F.lit(0))),
+            F.transform(F.filter(counter("others"), lambda i: i != own), lambda i: block(1, F.least(i, own), F.greatest(i, own), (i < own).cast("int"))),
+        )
+        return state.select("bucket", "node", "root", F.explode(F.when(F.col("inside"), within).otherwise(outside)).alias("at")).select("bucket", "at.*", "node", "root")
+
+    def _met(self, blocks: DataFrame, texts: str) -> DataFrame:
+        """Links ``a, b`` between components that meet in a block."""
+        key = ["bucket", "kind", "p", "q"]
+        held = blocks.sparkSession.table(texts)
+        rows = blocks.join(held, "node").select(*key, "side", "root", "text").repartition(*key).sortWithinPartitions(*key)
+        kind = rows.schema["root"].dataType.simpleString()
+        return rows.mapInArrow(in_task("minhash", "linked_blocks", self.shingle, self.percent), f"a {kind}, b {kind}").distinct()
+
+    def _compare(self, members: DataFrame, texts: str) -> DataFrame:
+        """``node, root`` of the nodes that are linked with a lesser one."""
+        stars = stored(self._links(stored(self._star(members), "near-pairs"), texts), "near-links")
+        roots = components(stars)
+        more = stored(self._met(self._open(members, roots), texts), "near-links")
+        if more.isEmpty():
+            return roots
+        return components(more.union(roots.selectExpr("root a", "node b")))
 
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per row of ``docs``: ``id_col, n_shingles, component_id``."""

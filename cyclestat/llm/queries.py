@@ -32,7 +32,7 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = minhash.NearDuplicates(shingle=3, percent=85).find(docs)
+    found = minhash.NearDuplicates(shingle=3, percent=85, rows=9).find(docs)
     return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
