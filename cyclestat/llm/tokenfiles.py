@@ -89,15 +89,20 @@ def write_shard(source: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
 
 
 def write_corpus(
-    docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, dtype: str = "<u4"
+    docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, dtype: str | None = None
 ) -> None:
-    """Write ``docs`` to ``folder`` (new, shared) in ascending order of ``id_col`` (integers)."""
+    """Write ``docs`` to ``folder`` (new, shared) in ascending order of ``id_col`` (integers).
+
+    ``dtype``: ``<u2`` or ``<u4``; if not given, the narrower that holds every id.
+    """
     spark = docs.sparkSession
     at = local_path(folder)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    args = (at, vocabulary or default_vocabulary(), end_id, dtype)
+    vocabulary = vocabulary or default_vocabulary()
+    dtype = dtype or ("<u2" if max(Codec.largest_id(vocabulary), end_id) < 1 << 16 else "<u4")
+    args = (at, vocabulary, end_id, dtype)
     dealt.mapInArrow(in_task("tokenfiles", "write_shard", *args), "shard int, n_docs long, n_tokens long").write.parquet(f"{folder}/shards")
     sizes = spark.read.parquet(f"{folder}/shards").where("n_docs > 0")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard

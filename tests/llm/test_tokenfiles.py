@@ -15,7 +15,7 @@ def own_ids(text):
     return [*CODEC.library.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+@pytest.mark.parametrize("dtype", [None, "<u2", "<u4"])
 def test_round_trip(spark, dtype):
     rows = [(i * 37 % 101, "w%d é " % i * (i % 9)) for i in range(101)] + [(5, None), (5, ""), (None, "no id"), (7, "x " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
