@@ -32,13 +32,15 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 WINDOW = 5
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_same_words")
 
 #: Rule: ratio of two measures, and its grid of cutoffs, strict to lenient.
 RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
     "symbols": ("n_symbols", "word_chars", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)),
     "dup_lines": ("n_dup_lines", "n_lines", (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7)),
     "repeats": ("n_repeat_words", "n_words", (0.01, 0.02, 0.05, 0.1, 0.15)),
+    "bangs": ("n_bangs", "word_chars", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)),
+    "same_words": ("n_same_words", "n_words", (0.1, 0.2, 0.3, 0.4, 0.5, 0.7)),
     "long_words": ("word_chars", "n_words", (8.0, 10.0, 12.0, 15.0, 20.0, 30.0)),
 }
 
@@ -56,8 +58,12 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
     out = {"n_words": words.counts, "word_chars": words.per_row(char[words.ends] - char[words.starts])}
 
     at = _offsets(column)
-    symbol = np.concatenate([[0], np.cumsum(_SYMBOLS[data])])
-    out["n_symbols"] = symbol[at[1:]] - symbol[at[:-1]]
+    for name, marks in (("n_symbols", _SYMBOLS[data]), ("n_bangs", data == ord("!"))):
+        total = np.concatenate([[0], np.cumsum(marks)])
+        out[name] = total[at[1:]] - total[at[:-1]]
+    same = np.zeros(len(words.hash), bool)  # the word before is equal
+    same[1:] = (words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])
+    out["n_same_words"] = words.per_row(same)
 
     # Lines: they begin where a text does and after each \n.
     breaks = np.flatnonzero(data == 10)
@@ -131,7 +137,7 @@ def ratio(rule: tuple[str, str, tuple[float, ...]]) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
-def cutoffs(measured: DataFrame, good: Column, stratum: str = "stratum", rules: Mapping = RULES, risk: float = 0.02, level: float = 0.05) -> DataFrame:
+def cutoffs(measured: DataFrame, good: Column, stratum: str = "stratum", rules: Mapping = RULES, risk: float = 0.03, level: float = 0.05) -> DataFrame:
     """One row per stratum ``stratum, cut_<rule>...`` from labelled rows; ``good`` marks the holdout."""
     over = [F.sum((ratio(r) > cut).cast("long")).alias(f"over_{name}_{i}") for name, r in rules.items() for i, cut in enumerate(r[2])]
     tallies = measured.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("good"), *over)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cyclestat.llm import quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-TEXTS = st.none() | st.lists(st.sampled_from(["a", "b", "é#", " ", "\n", "\r\n", "  \n", "$$", "same line\n", "x y z v w ", "\t", "日"]), max_size=50).map("".join)
+TEXTS = st.none() | st.lists(st.sampled_from(["a", "b", "é#", " ", "\n", "\r\n", "  \n", "$$", "same line\n", "x y z v w ", "\t", "日", "no!! no!! "]), max_size=50).map("".join)
 
 
 def brute(text):
@@ -24,7 +24,7 @@ def brute(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
-    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(lines))
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(lines), text.count("!"), sum(a == b for a, b in zip(words, words[1:])))
 
 
 @settings(max_examples=200, deadline=None)
