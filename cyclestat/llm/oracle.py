@@ -53,4 +53,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
-SQL = {"op3_pareto_mix": OP3, "op10_line_runs": OP10}
+OP5 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM (SELECT vec_id, any_value(v) AS v FROM whole WHERE vec_id % 50 = 0 GROUP BY vec_id) q
+  JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+SQL = {"op3_pareto_mix": OP3, "op5_topk": OP5, "op10_line_runs": OP10}
