@@ -39,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = minhash.NearDuplicates(shingle=5, percent=80).find(docs)
     first = found.where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first")).dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id")
+    kept = whole.join(first, F.col("doc_id") == F.col("_first")).dropDuplicates(["doc_id"])
+    return kept.select("doc.*").union(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

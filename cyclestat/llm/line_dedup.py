@@ -172,20 +172,24 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` replaced, and ``_n_lines`` (before) and ``_n_dropped``.
 
-    A text that loses all its lines becomes empty; a null text stays null.  ``options``:
-    ``n_batches``, ``fanout``.
+    A text that loses all its lines becomes empty; a null text stays null.  ``docs`` may
+    have columns of any name but these two.  ``options``: ``n_batches``, ``fanout``.
     """
+    if clash := {"_n_lines", "_n_dropped"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     keys = stored(line_keys(docs, id_col, text_col, min_chars), "lines-keys")
     drop = lines_to_drop(keys, min_docs, **options)
     drop = drop.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = hashed.join(drop, hashed[id_col].eqNullSafe(drop["_id"]) & (hashed["_text_hash"] == drop["_hash"]), "left")
-    lines = split_lines(F.col(text_col))
+    whole = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash")
+    )
+    both = whole.join(drop, whole["_own"].eqNullSafe(drop["_id"]) & (whole["_text_hash"] == drop["_hash"]), "left")
+    lines = split_lines(F.col("_text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col(text_col))
+    text = F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_text"))
     return both.select(
-        *[text.alias(c) if c == text_col else hashed[c] for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns],
         F.size(lines).cast("long").alias("_n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
     )

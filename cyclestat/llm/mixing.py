@@ -176,5 +176,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     plan = mix_documents(docs, id_col, text_col, source_col, **options)
     plan = plan.where("copies > 0").groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_src")).agg(F.max("copies").cast("int").alias("_copies"))
-    kept = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]) & docs[source_col].eqNullSafe(plan["_src"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_own_id"), F.col(source_col).alias("_own_src"))
+    kept = whole.join(plan, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_src").eqNullSafe(F.col("_src")))
+    return kept.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -53,10 +53,12 @@ def test_brute_force(spark, n_batches, fanout):
 
 
 def test_extra_columns_stay(spark):
-    rows = [(i, LONG, "k", i) for i in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, drop long")
+    rows = [(i, LONG, "k", i, "h", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, drop long, _text_hash string, _id int")
     out = line_dedup.drop_repeated_lines(docs)
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    with pytest.raises(ValueError):
+        line_dedup.drop_repeated_lines(out)
     assert sorted((r.doc_id, r.text, r.key, r.drop) for r in out.collect()) == [(0, "", "k", 0), (1, "", "k", 1), (2, "", "k", 2), (3, LONG, "k", 3)]
 
 
