@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned and every document goes.
     """
     model = langid.fit(docs)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    out = langid.predict(whole, model, ["doc"]).where(langid.accepted())
-    return out.select("doc.*")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # any column may be named as the result's
+    out = langid.predict(docs.toDF(*own), model, own, own[docs.columns.index("text")]).where(langid.accepted())
+    return out.select(*own).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy's token ids, decoded again to prove them (operator 2)."""
-    out = bpe.encode_and_decode(docs, ["doc_id", "source"])
+    out = bpe.encode_and_decode(docs, ["doc_id", "source"], cached=300_000)
     return out.select(
         "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids"
     )

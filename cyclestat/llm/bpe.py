@@ -71,9 +71,11 @@ class Codec:
     _open: dict[str, Codec] = {}
 
     @classmethod
-    def of(cls, path: str) -> Codec:
+    def of(cls, path: str, cached: int = _CACHED) -> Codec:
+        """The worker's codec of a file, which keeps about ``cached`` chunks."""
         if path not in cls._open:
             cls._open[path] = cls(path)
+        cls._open[path].cached = cached
         return cls._open[path]
 
     def __init__(self, path: str) -> None:
@@ -96,6 +98,7 @@ class Codec:
         self._start = np.concatenate([[0], np.cumsum(self._length)])
         self._bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self._cache: dict[str, bytes] = {}
+        self.cached = _CACHED
 
     @staticmethod
     def largest_id(path: str) -> int:
@@ -115,7 +118,7 @@ class Codec:
     def _learn(self, texts: list[list[str]]) -> list[str]:
         """Put the texts' chunks in the cache; returns those too long to stay there."""
         known = self._cache
-        if not known or len(known) > _CACHED:
+        if not known or len(known) > self.cached:
             known.clear()
             known.update(self.special)
         missing = list(set(filterfalse(known.__contains__, chain.from_iterable(texts))))
@@ -267,8 +270,8 @@ def _with_ids(rows: pa.RecordBatch, columns: list[str], ids: list[bytes], codec:
     return pa.RecordBatch.from_arrays([*kept, n, pa.array(ids, pa.binary()), texts], [*columns, "n_tokens", "ids", "decoded"])
 
 
-def encode_whole(source: Iterator[pa.RecordBatch], path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    codec = Codec.of(path)
+def encode_whole(source: Iterator[pa.RecordBatch], path: str, columns: list[str], cached: int) -> Iterator[pa.RecordBatch]:
+    codec = Codec.of(path, cached)
     for rows in batches(source, "_text", 2 << 20):
         ids = codec.encode([t or "" for t in rows.column("_text").to_pylist()])
         yield _with_ids(rows, columns, ids, codec)
@@ -288,8 +291,8 @@ def split_texts(source: Iterator[pa.RecordBatch], path: str, columns: list[str],
         yield pa.RecordBatch.from_arrays([*kept, *made], [*columns, "_no", "_inside", "_ends", "_text"])
 
 
-def encode_pieces(source: Iterator[pa.RecordBatch], path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    codec = Codec.of(path)
+def encode_pieces(source: Iterator[pa.RecordBatch], path: str, columns: list[str], cached: int) -> Iterator[pa.RecordBatch]:
+    codec = Codec.of(path, cached)
     for rows in batches(source, "_text", 1 << 20):
         made = [codec.leaf(t, e) for t, e in zip(rows.column("_text").to_pylist(), rows.column("_ends").to_pylist())]
         cols = [pa.array([m[0] for m in made], pa.binary()), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2))]
@@ -325,10 +328,10 @@ def join_pieces(source: Iterator[pa.RecordBatch], path: str, columns: list[str])
         yield done()
 
 
-def encode_and_decode(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, piece: int = PIECE) -> DataFrame:
+def encode_and_decode(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, piece: int = PIECE, cached: int = _CACHED) -> DataFrame:
     """Per row of ``docs``: the columns ``keep``, ``n_tokens``, ``ids`` (binary, 32-bit little-endian) and ``decoded``.
 
-    ``keep`` must not hold the three names made here.
+    ``keep`` must not hold the three names made here.  ``cached``: chunks that a Python worker keeps.
     """
     path = path or default_vocabulary()
     if clash := {"n_tokens", "ids", "decoded"} & set(keep):
@@ -337,12 +340,12 @@ def encode_and_decode(docs: DataFrame, keep: list[str], text_col: str = "text",
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     made = "n_tokens long, ids binary, decoded string"
     is_long = F.coalesce(F.length("_text"), F.lit(0)) > piece
-    whole = rows.where(~is_long).mapInArrow(in_task("bpe", "encode_whole", path, keep), f"{kinds}, {made}")
+    whole = rows.where(~is_long).mapInArrow(in_task("bpe", "encode_whole", path, keep, cached), f"{kinds}, {made}")
     keyed = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
     cols, cut = [*keep, "_row"], f"{kinds}, _row long, _no int, _inside boolean"
     pieces = keyed.mapInArrow(in_task("bpe", "split_texts", path, cols, piece), f"{cut}, _ends boolean, _text string")
     pieces = pieces.repartition("_row", "_no")
-    leaves = pieces.mapInArrow(in_task("bpe", "encode_pieces", path, cols), f"{cut}, _ids binary, _first long, _last long")
+    leaves = pieces.mapInArrow(in_task("bpe", "encode_pieces", path, cols, cached), f"{cut}, _ids binary, _first long, _last long")
     ordered = leaves.repartition("_row").sortWithinPartitions("_row", "_no")
     joined = ordered.mapInArrow(in_task("bpe", "join_pieces", path, keep), f"{kinds}, {made}")
     return whole.union(joined)

@@ -40,7 +40,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 18
-_CACHED = 400_000
+_CACHED = 200_000
 _COUNTED = 300_000
 _RESCALE = 16
 _LONGEST = 40
@@ -185,16 +185,19 @@ class Scorer:
 
     def __init__(self, path: str, languages: list[str], p: np.ndarray, shares: np.ndarray) -> None:
         self.lattice, self.languages, self.p, self.shares = Lattice.of(path), languages, p, shares
-        self.cache: dict[str, np.ndarray] = {}
+        self.row: dict[str, int] = {}  # of a word in the table of scores
+        self.table = np.empty((_CACHED, len(languages)))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) > _CACHED:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > len(self.table):
+            self.row.clear()
+            new = list(words)
+            self.table = np.empty((max(_CACHED, len(new)), len(self.languages)))
+        first = len(self.row)
         for at, codes in _by_length(new):
-            scores, _ = self.lattice.forward(self.lattice.find(codes), self.p, *codes.shape)
-            for i, s in zip(at, scores):
-                self.cache[new[i]] = s
+            self.table[first + at], _ = self.lattice.forward(self.lattice.find(codes), self.p, *codes.shape)
+        self.row.update(zip(new, range(first, first + len(new))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
@@ -206,7 +209,7 @@ class Scorer:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            total = self.shares + np.array(list(own.values()), float) @ np.stack([self.cache[w] for w in own])
+            total = self.shares + np.array(list(own.values()), float) @ self.table[[self.row[w] for w in own]]
             best = int(np.argmax(total))
             names.append(self.languages[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
@@ -250,11 +253,10 @@ def piece_uses(source: Iterator[pa.RecordBatch], path: str, model) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(u[at])], ["lang", "piece", "uses"])
 
 
-def predict_texts(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def predict_texts(source: Iterator[pa.RecordBatch], model, text_col: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer.of(model)
-    for batch in batches(source, "_text", 2 << 20):
-        names, scores = scorer.predict(batch.column("_text").to_pylist())
-        kept = [c for c in batch.schema.names if c != "_text"]
+    for batch in batches(source, text_col, 2 << 20):
+        names, scores = scorer.predict(batch.column(text_col).to_pylist())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
 
@@ -290,12 +292,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the columns ``keep``, ``lang_pred`` and ``score``."""
-    if clash := {"lang_pred", "score", "_text"} & set(keep):
+    """Per row of ``docs``: the columns ``keep`` (the text may be one), ``lang_pred`` and ``score``."""
+    if clash := {"lang_pred", "score"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*dict.fromkeys([*keep, text_col]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(in_task("langid", "predict_texts", model), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(in_task("langid", "predict_texts", model, text_col, list(keep)), f"{kinds}, lang_pred string, score double")
 
 
 def accepted(least: float = 0.5) -> Column:
