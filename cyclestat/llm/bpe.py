@@ -122,9 +122,10 @@ class Codec:
             known.clear()
             known.update(self.special)
         missing = list(set(filterfalse(known.__contains__, chain.from_iterable(texts))))
-        # Chunks that begin with a blank are cut from each other by the split also
-        # when they stand together, and the library takes one long text faster.
-        together = [c for c in missing if c[0] == " " and 1 < len(c) <= _RUN]
+        # A blank and what is not white space is cut from its like by the split also when
+        # they stand together, and the library takes one long text faster.  White space
+        # alone is not: neighbours would be one run.
+        together = [c for c in missing if c[0] == " " and 1 < len(c) <= _RUN and not c.isspace()]
         for i in range(0, len(together), _TOGETHER):
             self._learn_together(together[i : i + _TOGETHER])
         apart = [c for c in missing if len(c) <= _RUN and c not in known]

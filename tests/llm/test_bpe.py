@@ -39,6 +39,15 @@ def test_leaves_equal_the_library(text):
     assert CODEC.decode(CODEC.encode([text])[0]) == CODEC.library.decode(library(text), skip_special_tokens=False) == text
 
 
+def test_white_space_chunks_learned_in_one_call():
+    """Neighbours of white space alone must not become one run when they are learned together."""
+    texts = [*(" \xa0" * k for k in range(1, 10)), *(" \u3000" * k + "\xa0" for k in range(1, 10)), " word", " \xa0 one"]
+    fresh = bpe.Codec(bpe.default_vocabulary())
+    for text, ids in zip(texts, fresh.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text)
+        assert fresh.decode(ids) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS, st.integers(8, 40))
 def test_tree_equals_the_library(text, piece):
