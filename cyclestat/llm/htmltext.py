@@ -11,9 +11,13 @@ or ``main`` element: a kind of tag (its name with its first class) costs
 of marked content.  A kind that was seen outside ``least`` times or more and never inside
 content, nor around it, is furniture if it has a class: its elements leave the sequence with all they hold.  So do
 elements that HTML defines or names for such uses (menus, headers and footers of the page,
-forms, scripts, adverts, notices, reader comments).  The marks of the labelled pages are not
-used when text is extracted; a page is treated alike with and without them, except that a
-``header`` within an ``article`` belongs to it.
+forms, scripts, adverts, notices, reader comments).  A name counts if a class, id or role as a
+whole gives it (``sidebar``, ``site-footer``), not if it says something of the element's content
+(``has-sidebar``, ``share-page``); such elements only cost more.  A named element stays where it
+holds a ``main``, or an ``article`` while no article would stay otherwise, or was learned to lie
+around content; and where nothing would be left of a page, names are not used on it.  Apart from
+that, and from a ``header`` within an ``article``, which belongs to it, the marks of the labelled
+pages are not used when text is extracted.
 
 Broken markup: comments, tags and raw text that never end take the rest of the page; end tags
 without a start are ignored; an end tag closes what is open inside its element.  A null or
@@ -57,6 +61,10 @@ _NAMED = frozenset(
     " respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Words that make a name a statement on what the element has or shows.
+_STATES = frozenset("has have no non not with without is are hide show".split())
+_NAMED_COST = 5.0
+
 _COMMENT_END = re.compile(r"--!?>")
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -106,15 +114,23 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
 _TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 
 
-def kind_of(name: str, attributes: str) -> tuple[str, bool]:
-    """Kind of a tag, and whether its class, id or role names furniture."""
-    words, first = [], ""
+def names_furniture(token: str) -> int:
+    """2: the token names furniture as a whole; 1: a word of it does; 0: none."""
+    words = _NAME.findall(token)
+    if _NAMED.isdisjoint(words):
+        return 0
+    return 2 if _NAMED.issuperset(words) or (words[-1] in _NAMED and _STATES.isdisjoint(words)) else 1
+
+
+def kind_of(name: str, attributes: str) -> tuple[str, int]:
+    """Kind of a tag, and how its class, id or role name furniture (``names_furniture``)."""
+    named, first = 0, ""
     for m in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
-        value = (m[2] or m[3] or m[4] or "").lower()
-        words += _NAME.findall(value)
+        tokens = (m[2] or m[3] or m[4] or "").lower().split()
+        named = max([named, *map(names_furniture, tokens)])
         if m[1].lower() == "class" and not first:
-            first = " ".join(_NAME.findall(value.split()[0])) if value.split() else ""
-    return (f"{name}.{first}" if first else name), not _NAMED.isdisjoint(words)
+            first = " ".join(_NAME.findall(tokens[0])) if tokens else ""
+    return (f"{name}.{first}" if first else name), named
 
 
 class Walk:
@@ -159,11 +175,29 @@ class Walk:
         return any(e[0] in names for e in self.stack)
 
 
-def is_furniture(walk: Walk, name: str, named: bool) -> bool:
+def is_furniture(walk: Walk, name: str, named: int) -> bool:
     """Whether HTML defines an element for such use, or its class, id or role names it so."""
     if name == "header" and not walk.inside(*_CONTENT):
         return True
-    return name in _FURNITURE or (named and name not in ("html", "body", *_CONTENT))
+    return name in _FURNITURE or (named == 2 and name not in ("html", "body", *_CONTENT))
+
+
+def surrounding(page: str) -> set[int]:
+    """Places, among the page's start tags, of named elements that hold its content's mark."""
+    walk, at, held = Walk(), -1, {c: [] for c in _CONTENT}
+    for what, name, text in scan(page):
+        if what == "close":
+            walk.end(name)
+        elif what == "open":
+            at += 1
+            walk.implied(name)
+            kind, named = kind_of(name, text)
+            defined = is_furniture(walk, name, 0)
+            if not walk.dropped and (name == "main" or (name == "article" and not named)):
+                held[name].append({e[3] for e in walk.stack if e[3] is not None})
+            walk.open(name, kind, defined, at if not defined and is_furniture(walk, name, named) else None)
+    articles = [] if set() in held["article"] else held["article"]
+    return set().union(*held["main"], *articles)
 
 
 def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
@@ -171,14 +205,15 @@ def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
 
     None if the page is not labelled.
     """
-    walk, counts, marks = Walk(), Counter(), 0
+    walk, counts, marks, at, kept = Walk(), Counter(), 0, -1, surrounding(page)
     for what, name, text in scan(page):
         if what == "close":
             walk.end(name)
         elif what == "open":
+            at += 1
             walk.implied(name)
             kind, named = kind_of(name, text)
-            drop, inside = is_furniture(walk, name, named), walk.inside(*_CONTENT)
+            drop, inside = is_furniture(walk, name, 0 if at in kept else named), walk.inside(*_CONTENT)
             if name in _CONTENT and not inside and not walk.dropped:
                 marks += 1
                 for e in walk.stack:
@@ -187,7 +222,7 @@ def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
                         counts[e[1], "out"] -= 1
                         counts[e[1], "around"] += 1
                 counts[kind, "around"] += 1
-            elif not drop and not walk.dropped:
+            elif not walk.dropped and (not drop or (named == 2 and not inside)):
                 counts[kind, "in" if inside else "out"] += 1
             walk.open(name, kind, drop, {"around": inside or name in _CONTENT})
     if marks != 1:
@@ -201,39 +236,49 @@ class Extractor:
     def __init__(self, kinds: dict[str, tuple[int, int, int]], least: int) -> None:
         self.cost = {k: math.log1p((o + 0.5) / (i + a + 0.5)) for k, (i, a, o) in kinds.items()}
         self.furniture = {k for k, (i, a, o) in kinds.items() if o >= least and not i and not a and "." in k}
+        self.around = {k for k, (i, a, o) in kinds.items() if a > o and "." in k}
+
+    def price(self, name: str, kind: str, named: int = 0) -> float:
+        cost = self.cost.get(kind, self.cost.get(name, 1.0))
+        return max(cost, _NAMED_COST) if named and kind not in self.cost and name not in ("html", "body", *_CONTENT) else cost
 
-    def price(self, name: str, kind: str) -> float:
-        return self.cost.get(kind, self.cost.get(name, 1.0))
+    def sequence(self, page: str, names: bool = True) -> list[tuple[str, object]]:
+        """Text runs ``("text", str)`` and tags ``("tag", (cost, ends a block))`` outside furniture.
 
-    def sequence(self, page: str) -> list[tuple[str, object]]:
-        """Text runs ``("text", str)`` and tags ``("tag", (cost, ends a block))`` outside furniture."""
-        walk, out = Walk(), []
+        Without ``names``, what a class, id or role names costs more but is not furniture.
+        """
+        walk, out, at = Walk(), [], -1
+        kept = surrounding(page) if names else set()
 
-        def tag(name: str, kind: str) -> None:
+        def tag(name: str, kind: str, named: int) -> None:
             if not walk.dropped:
-                out.append(("tag", (self.price(name, kind), name in _BLOCK, name == "br")))
+                out.append(("tag", (self.price(name, kind, named), name in _BLOCK, name == "br")))
 
         for what, name, text in scan(page):
             if what == "text":
                 if not walk.dropped:
                     out.append(("text", html.unescape(text)))
             elif what == "open":
+                at += 1
                 walk.implied(name)
                 kind, named = kind_of(name, text)
-                drop = is_furniture(walk, name, named) or kind in self.furniture
+                trusted = names and at not in kept and kind not in self.around
+                drop = is_furniture(walk, name, named if trusted else 0) or (kind in self.furniture and (names or not named))
                 if drop and not walk.dropped:
                     out.append(("tag", (0.0, name in _BLOCK, False)))
                 elif not drop:
-                    tag(name, kind)
-                walk.open(name, kind, drop)
+                    tag(name, kind, named)
+                walk.open(name, kind, drop, 0 if drop else named)
             else:
                 gone = walk.end(name)
                 if gone:
-                    tag(name, gone[0][1])
+                    tag(name, gone[0][1], gone[0][3])
         return out
 
     def text(self, page: str | None) -> str:
-        items = self.sequence(page or "")
+        return self.best(self.sequence(page or "")) or self.best(self.sequence(page or "", names=False))
+
+    def best(self, items: list[tuple[str, object]]) -> str:
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
         for i, (what, value) in enumerate(items):
             if total <= 0.0:

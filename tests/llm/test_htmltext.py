@@ -74,6 +74,29 @@ def test_markup(html, want):
     assert htmltext.Extractor({"p": (9, 0, 0), "li": (9, 0, 0), "ul": (9, 0, 0), "b": (9, 0, 0), "br": (9, 0, 0), "div": (9, 0, 0)}, 5).text(html) == want
 
 
+@pytest.mark.parametrize("name", ['class="page has-sidebar"', 'class="no-comments"', 'class="hidden-xs"', 'id="share-page"', 'class="layout right-sidebar"', 'class="widget"'])
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_names_around_the_content(name, mark):
+    html = f'<body><nav>menu</nav><div {name}><{mark}><p>one two three</p><div class="ad">buy</div><p>four five</p></{mark}></div></body>'
+    kinds = htmltext.Extractor({"p": (9, 0, 0), "div": (9, 9, 0)}, 5)
+    want = "one two three\n\nfour five"
+    # Nothing but the name says what a bare div is: a page wholly within one is taken without names.
+    whole = mark == "div" and name in ('class="layout right-sidebar"', 'class="widget"')
+    assert kinds.text(html).startswith("one two three") if whole else kinds.text(html) == want
+    if mark != "div":
+        assert htmltext.tag_counts(html) is not None
+
+
+def test_named_elements_beside_the_content():
+    article = "<article><p>one two three</p></article>"
+    kinds = htmltext.Extractor({"p": (9, 0, 0), "article": (0, 9, 0), "div": (9, 9, 0)}, 5)
+    for name in ("related", "site-footer", "cookie-notice"):
+        assert kinds.text(f'{article}<div class="{name}"><p>{"more words here " * 9}</p><article class="comment-body">x</article></div>') == "one two three"
+    assert kinds.text(f'{article}<div class="related"><article><p>{"teaser " * 30}</p></article></div>') == "one two three"
+    learned = htmltext.Extractor({"p": (9, 0, 0), "div.widget": (0, 9, 1)}, 5)
+    assert learned.text('<div class="widget"><p>one two three</p></div><p>x</p>').startswith("one two three")
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "u", "")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
