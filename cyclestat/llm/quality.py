@@ -1,13 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
 Measures of a text are taken on its bytes (``measure``).  A rule rejects a document whose
-ratio is above the rule's cutoff.  The cutoff is chosen per stratum from a grid fixed in
-advance, on labelled good documents that serve as a holdout: the strictest value for which
-an exact binomial test shows that good documents of that stratum are rejected at a rate of
-less than ``risk / number of rules``.  The test's level is ``level`` divided by the number
-of strata, rules and grid values tried (Bonferroni), so with probability ``1 - level`` at
-least no stratum loses more than ``risk`` of its good documents, all rules together.  With
-too few labels no value passes, and the rule rejects nothing in that stratum.
+ratio is above the rule's cutoff.  Cutoffs are chosen per stratum, from grids fixed in
+advance, on labelled good documents.  A hash deals a quarter of
+them to a first part and the rest to a second.  The first part proposes a short path of settings of all rules, from lenient to strict (``proposals``).
+The second part, independent of it, tests the settings in that order: an exact binomial test
+must show that a setting rejects good documents of the stratum, all rules together, at a rate
+of less than ``risk``; the last setting before the first failure holds.  As the order is fixed
+before the test, a path needs no division by its length, and rules need none as they are tested
+together; the level is ``level`` divided by the number of strata.  So with probability
+``1 - level`` at least no stratum loses more than ``risk`` of its good documents.  With too few
+labels (under 144 in the second part, for 4 strata at the given risk and level) no setting
+passes, and nothing is rejected by rules in that stratum.
 
 Null or empty texts have no words: all measures 0.  Rows that repeat an id are measured
 each.  A null stratum is a stratum; one without labels has no cutoffs.
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclestat.llm.common import in_task
+from cyclestat.llm.common import in_task, stored
 from cyclestat.llm.textbytes import Words, batches, mix, span_hashes, window_hashes
 
 _SYMBOLS = np.zeros(256, bool)
@@ -119,15 +125,38 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(logs).sum()))
 
 
+#: The path of settings: places more lenient than the strictest cutoff without a rejection, and
+#: the share of the risk that the rules may spend on the first part.
+PATH = ((3, 0.0), (2, 0.0), (1, 0.0), (0, 0.0), (0, 0.25), (0, 0.5), (0, 0.75))
+
+
+def proposals(tallies: Iterator[pd.DataFrame], rules: Mapping, risk: float) -> Iterator[pd.DataFrame]:
+    """Rows ``stratum, good, over_<rule>_<i>`` to ``stratum, set_<step>_<rule>``, a cutoff per step of ``PATH``."""
+    for table in tallies:
+        out = {"stratum": table["stratum"]}
+        for step, (margin, share) in enumerate(PATH):
+            for name, (_, _, grid) in rules.items():
+                over = table[[f"over_{name}_{i}" for i in range(len(grid))]].to_numpy(float)
+                may = np.floor(share * risk / len(rules) * table["good"].to_numpy(float))
+                at = (over > may[:, None]).sum(axis=1)  # counts fall along the grid
+                cuts = np.array(grid)[np.minimum(at + margin, len(grid) - 1)]
+                out[f"set_{step}_{name}"] = np.where(at < len(grid), cuts, np.inf)
+        yield pd.DataFrame(out)
+
+
 def choose(tallies: Iterator[pd.DataFrame], rules: Mapping, risk: float, level: float, tests: int) -> Iterator[pd.DataFrame]:
-    """Rows ``stratum, good, over_<rule>_<i>`` to ``stratum, cut_<rule>``: the strictest safe value, else infinity."""
+    """Rows ``stratum, good, over_<rule>_<i>`` to ``stratum, cut_<rule>``.
+
+    Per rule the last value, from the lenient end, before the first that is not shown to be safe; else infinity.
+    """
     for table in tallies:
         out = table[["stratum"]].copy()
         for name, (_, _, grid) in rules.items():
-            cuts = np.full(len(table), np.inf)
+            cuts, safe = np.full(len(table), np.inf), np.full(len(table), True)
             for i in reversed(range(len(grid))):
                 tail = [binomial_tail(int(k), int(n), risk / len(rules)) if n else 1.0 for k, n in zip(table[f"over_{name}_{i}"], table["good"])]
-                cuts = np.where(np.array(tail) <= level / tests, grid[i], cuts)
+                safe &= np.array(tail) <= level / tests
+                cuts = np.where(safe, grid[i], cuts)
             out[f"cut_{name}"] = cuts
         yield out
 
@@ -139,12 +168,28 @@ def ratio(rule: tuple[str, str, tuple[float, ...]]) -> Column:
 
 def cutoffs(measured: DataFrame, good: Column, stratum: str = "stratum", rules: Mapping = RULES, risk: float = 0.03, level: float = 0.05) -> DataFrame:
     """One row per stratum ``stratum, cut_<rule>...`` from labelled rows; ``good`` marks the holdout."""
+    labelled = measured.where(good).withColumn("_deal", F.pmod(F.xxhash64(*[c for c in measured.columns if c not in MEASURES]), F.lit(4)))
+    first, second = labelled.where("_deal = 0"), labelled.where("_deal > 0")
     over = [F.sum((ratio(r) > cut).cast("long")).alias(f"over_{name}_{i}") for name, r in rules.items() for i, cut in enumerate(r[2])]
-    tallies = measured.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("good"), *over)
+    tallies = first.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("good"), *over)
     kind = tallies.schema["stratum"].dataType.simpleString()
-    tests = max(1, tallies.count()) * sum(len(r[2]) for r in rules.values())
-    run = in_task("quality", "choose", dict(rules), risk, level, tests)
-    return tallies.mapInPandas(run, f"stratum {kind}" + "".join(f", cut_{name} double" for name in rules))
+    sets = "".join(f", set_{k}_{name} double" for k in range(len(PATH)) for name in rules)
+    proposed = tallies.mapInPandas(in_task("quality", "proposals", dict(rules), risk), f"stratum {kind}{sets}").withColumnRenamed("stratum", "_stratum")
+
+    # The path as one rule: its grid is the steps, strict to lenient.
+    steps = tuple(float(k) for k in reversed(range(len(PATH))))
+    path = {"all": ("", "", steps)}
+    hit = [F.sum(reduce(or_, (ratio(r) > F.col(f"set_{int(k)}_{name}") for name, r in rules.items())).cast("long")).alias(f"over_all_{i}") for i, k in enumerate(steps)]
+    tried = second.join(proposed, second[stratum].eqNullSafe(proposed["_stratum"]))
+    tried = tried.groupBy(F.col("_stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("good"), *hit)
+    tests = max(1, labelled.select(stratum).distinct().count())
+    held = tried.mapInPandas(in_task("quality", "choose", path, risk, level, tests), f"stratum {kind}, cut_all double")
+    strata = labelled.select(F.col(stratum).alias("stratum")).distinct()
+    both = strata.join(held.withColumnRenamed("stratum", "_held"), F.col("stratum").eqNullSafe(F.col("_held")), "left")
+    both = both.join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    never = F.lit(math.inf)
+    cuts = [reduce(lambda rest, k: F.when(F.col("cut_all") == k, F.col(f"set_{int(k)}_{name}")).otherwise(rest), steps, never).alias(f"cut_{name}") for name in rules]
+    return stored(both.select("stratum", *cuts), "quality-cuts")  # its size is known, so joins can broadcast it
 
 
 def judged(measured: DataFrame, cuts: DataFrame, stratum: str = "stratum", rules: Mapping = RULES) -> DataFrame:

@@ -70,6 +70,24 @@ def test_false_rejections_stay_below_the_risk(spark):
     assert fresh[fresh["good"] == 0]["rejected"].mean() > 0.9
 
 
+def test_strata_of_few_labels_get_cutoffs(spark):
+    """About 700 good labels in each of two strata: too few for one rule at a sixth of the risk."""
+    keep = ["doc_id", "stratum", "good"]
+    cuts = quality.cutoffs(quality.measure(documents(spark, 3, 2_000), keep), F.col("good") == 1).toPandas()
+    assert len(cuts) == 2 and (cuts["cut_symbols"] < 0.2).all()
+    fresh = quality.judged(quality.measure(documents(spark, 4), keep), spark.createDataFrame(cuts)).toPandas()
+    fresh["rejected"] = fresh["rejected_by"].map(len) > 0
+    assert fresh[fresh["good"] == 1]["rejected"].mean() < 0.03
+    assert fresh[fresh["good"] == 0]["rejected"].mean() > 0.9
+
+
+def test_the_path_ends_at_the_first_failure():
+    rules = {"r": ("a", "b", (0.1, 0.2, 0.3))}
+    tallies = pd.DataFrame({"stratum": ["x"], "good": [2_000], "over_r_0": [0], "over_r_1": [100], "over_r_2": [0]})
+    (out,) = quality.choose(iter([tallies]), rules, 0.01, 0.05, 9)
+    assert out["cut_r"].tolist() == [0.3]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "", "s", 1), (2, "", "s", 1), (None, "a # " * 50_000, None, 0), (3, "x" * 500_000, "unlabelled", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, stratum string, n_word long")
