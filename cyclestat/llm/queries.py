@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclestat.llm import bpe, htmltext, langid, line_dedup, lm, minhash, mixing, quality, tokenfiles, topk
+from cyclestat.llm import bpe, htmltext, langid, line_dedup, lm, minhash, mixing, ngram_join, quality, tokenfiles, topk
 from cyclestat.llm.common import id_remainder, read_table, scratch, stored
 
 
@@ -83,6 +83,11 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.JaccardJoin(shingle=3, percent=90).find(docs)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +101,6 @@ QUERIES = {
         op8_token_files,
         op9_main_text,
         op10_line_runs,
+        op11_ngram_join,
     )
 }
