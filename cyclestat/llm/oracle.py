@@ -67,4 +67,107 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5
 """
 
-SQL = {"op3_pareto_mix": OP3, "op5_topk": OP5, "op10_line_runs": OP10}
+# crc32: 256 remainders, then a step per UTF-8 byte.  Code points below 2048 only, enough for letters up to U+00FF.
+_CRC_TABLE = """(
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i)
+  FROM (SELECT unnest(range(256)) AS i)
+)"""
+
+
+def _crc(text: str, table: str) -> str:
+    point = "unicode(x)"
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN {point} < 128 THEN [{point}] ELSE [192 + ({point} >> 6), 128 + ({point} & 63)] END))"
+    return f"xor(4294967295, list_reduce(list_transform({utf8}, lambda b: b::BIGINT), lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8), 4294967295))"
+
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), uses AS (
+  SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run", "t")} AS h FROM uses, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed
+), vocabulary AS (
+  SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocabulary b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocabulary b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n,
+         CASE WHEN top >= 10 * v.n THEN (SELECT min(x.other) FROM near x WHERE x.word = v.word AND x.other_n = b.top) END AS form
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word
+), way(word, pos) AS (
+  SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM way w JOIN formed f ON f.word = w.pos WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.pos AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN way w ON w.word = f.word JOIN formed e ON e.word = w.pos AND e.form IS NULL
+"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = _LEAF.replace("text::", "replace(text, chr(10), '')::")
+
+
+def _tree(name: str, start: str) -> str:
+    """CTE ``name`` (l, tree, pos, total, node): every level over ``start`` (tree, pos, total, node)."""
+    return f"""{name}(l, tree, pos, total, node) AS (
+  SELECT 0, tree, pos, total, node FROM {start}
+  UNION ALL
+  SELECT l + 1, tree, pos // 3, (max(total) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE total > 1 GROUP BY l, tree, pos // 3
+)"""
+
+
+def _folded(name: str, nodes: str, start: str) -> str:
+    """CTE ``name`` (l, item, tree, pos, node): each item's node folded up its tree from ``start`` (item, tree, pos, node)."""
+    return f"""{name}(l, item, tree, pos, node) AS (
+  SELECT 0, item, tree, pos, node FROM {start}
+  UNION ALL
+  SELECT f.l + 1, f.item, f.tree, f.pos // 3, sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.node ELSE n.node END, '' ORDER BY n.pos))
+  FROM {name} f JOIN {nodes} n ON n.l = f.l AND n.tree = f.tree AND n.pos // 3 = f.pos // 3 AND n.total > 1 GROUP BY f.l, f.item, f.tree, f.pos // 3
+)"""
+
+
+def _siblings(item: str, start: str, nodes: str, place: str, first: int) -> str:
+    """Siblings of each item of ``start`` (item, tree, pos) on its way up ``nodes``, levels from ``first``."""
+    return f"""SELECT s.{item} AS item, n.l + {first} AS l, n.pos, n.node FROM {start} s JOIN {nodes} n
+    ON n.tree = s.{place} AND n.total > 1 AND n.pos // 3 = s.pos // (3 ** (n.l + 1))::BIGINT AND n.pos <> s.pos // (3 ** n.l)::BIGINT"""
+
+
+OP13 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t), leaves AS (
+  SELECT row_number() OVER () AS item, doc_id, source, sha256({_LEAF}) AS leaf,
+         CASE WHEN {_crc("doc_id::VARCHAR", "t")} % 2 = 0 THEN sha256({_TAMPERED}) END AS tampered
+  FROM documents, crc
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS total, leaf AS node, coalesce(tampered, leaf) AS claimed
+  FROM leaves
+), {_tree("nodes", "placed")}, subroots AS (
+  SELECT 0 AS tree, tree AS pos, (SELECT count(DISTINCT tree) FROM placed) AS total, node FROM nodes WHERE total = 1
+), {_tree("tops", "subroots")}, claims AS (
+  SELECT item, tree, pos, claimed AS node FROM placed
+), {_folded("fold", "nodes", "claims")}, folded_sub AS (
+  SELECT f.item, 0 AS tree, f.tree AS pos, f.node FROM fold f QUALIFY row_number() OVER (PARTITION BY f.item ORDER BY f.l DESC) = 1
+), {_folded("fold_top", "tops", "folded_sub")}, folded AS (
+  SELECT item, node AS folded_root FROM fold_top QUALIFY row_number() OVER (PARTITION BY item ORDER BY l DESC) = 1
+), siblings AS (
+  {_siblings("item", "placed", "nodes", "tree", 0)}
+  UNION ALL
+  {_siblings("item", "folded_sub", "tops", "tree", 1000)}
+), proofs AS (
+  SELECT item, sha256(string_agg(node, '' ORDER BY l, pos)) AS proof FROM siblings GROUP BY item
+)
+SELECT p.doc_id, p.leaf, s.node AS subroot, r.node AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.node AS verified
+FROM placed p JOIN subroots s ON s.pos = p.tree JOIN folded f ON f.item = p.item LEFT JOIN proofs q ON q.item = p.item,
+     (SELECT node FROM tops WHERE total = 1) r
+"""
+
+SQL = {"op3_pareto_mix": OP3, "op5_topk": OP5, "op10_line_runs": OP10, "op12_spelling": OP12, "op13_merkle": OP13}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclestat.llm import bpe, htmltext, langid, line_dedup, lm, minhash, mixing, ngram_join, quality, tokenfiles, topk
-from cyclestat.llm.common import id_remainder, read_table, scratch, stored
+from cyclestat.llm import bpe, htmltext, langid, line_dedup, lm, merkle, minhash, mixing, ngram_join, quality, spelling, tokenfiles, topk
+from cyclestat.llm.common import id_remainder, in_task, read_table, scratch, stored
 
 
 def op1_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,24 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.JaccardJoin(shingle=3, percent=90).find(docs)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.counted(spelling.with_slips(spelling.runs(docs))))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    shorter = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in fields]
+    tampered = F.when(id_remainder("doc_id", 2) == 0, merkle.leaf(shorter))
+    manifest = merkle.DatasetManifest(docs, "doc_id", "source", fields, [tampered.alias("tampered")])
+    proofs = manifest.proofs().select(F.col("row.id").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "path", F.coalesce("row.tampered", "node").alias("claimed"))
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, leaf string, subroot string, claimed string, folded string, proof string"
+    out = proofs.mapInArrow(in_task("merkle", "folded", "claimed"), kind)
+    root = F.lit(manifest.root).cast("string")
+    return out.select("doc_id", "leaf", "subroot", root.alias("root"), F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +120,7 @@ QUERIES = {
         op9_main_text,
         op10_line_runs,
         op11_ngram_join,
+        op12_spelling,
+        op13_merkle,
     )
 }
