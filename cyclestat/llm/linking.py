@@ -15,6 +15,12 @@ several components go on: the members outside the bucket's largest component mee
 others, in blocks of bounded size, compared within tasks that return a link for each two
 components only.  No pair of a bucket is given up, none within a component is looked at again.
 
+Bitmaps.  Before texts are sent, sketches decide: of each set, every hash flips one of a number of
+bits (a power of two, two to four times the size).  The bits in which two sketches differ are at
+most the hashes in which the sets differ, so a pair beyond the bound is no link, for certain; what
+stays is near the threshold and is proven on full sets.  A sketch has about a hundredth of a
+text's bytes.  Blocks are first compared so, and only members left with a partner send texts.
+
 Hot keys.  A key that holds more than a fixed share of all rows (a bucket, a centre, a hub) is
 never dealt by that key: there are few such keys, by the share, and they are joined by
 broadcast or dealt by a second key.
@@ -38,8 +44,12 @@ from cyclestat.llm.textbytes import Words, batches, mix, shingle_sets
 
 #: What a set is known by.
 SAME = ["n_shingles", "set_a", "set_b"]
-#: Members of a block, on average, and columns of a product.
-_BLOCK, _COLUMNS = 512, 4096
+#: What a document's signature holds beside its id and what makes its buckets.
+SIGNED = "n_shingles long, set_a long, set_b long, bits binary"
+#: Members of a block of texts and of a block of sketches, on average; columns of a product.
+_BLOCK, _SKETCHES, _COLUMNS = 512, 2048, 4096
+#: Words of sketches that are compared at once.
+_AT_ONCE = 1 << 22
 #: A key is never hot with fewer rows than this.
 _LEAST_HOT = 512
 
@@ -51,6 +61,104 @@ def set_sums(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return pa.array(a), pa.array(b)
 
 
+def bitmaps(sets: list[np.ndarray]) -> pa.Array:
+    """Of each set the parities of its hashes' counts in a power of two of bits, 64 at least."""
+    out = []
+    for s in sets:
+        size = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+        odd = np.bincount(((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def folded_to(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer bits: the halves' parities."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def may_link(left: tuple, right: tuple, percent: int) -> np.ndarray:
+    """Pairs ``(i, j)`` of two lists of sizes and sketches (one length each) that the sketches do not rule out."""
+    (n, a), (m, b) = left, right
+    words = min(a.shape[1], b.shape[1])
+    a, b = folded_to(a, words), folded_to(b, words)
+    out = []
+    step = max(1, _AT_ONCE // max(1, len(b) * words))
+    for i in range(0, len(a), step):
+        differ = np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+        both = n[i : i + step, None] + m[None, :]
+        small, great = np.minimum(n[i : i + step, None], m[None, :]), np.maximum(n[i : i + step, None], m[None, :])
+        fits = ((100 + percent) * differ <= (100 - percent) * both) & (100 * small >= percent * great)
+        x, y = np.nonzero(fits)
+        out.append(np.stack([x + i, y], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def by_length(bits: list[bytes]) -> dict[int, np.ndarray]:
+    """Indices of sketches of each length in bytes."""
+    length = np.array([len(x) for x in bits])
+    return {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+
+
+def _rows(bits: list[bytes], some: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits[i] for i in some), np.uint64).reshape(len(some), -1)
+
+
+def hopeful_pairs(source: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, b, n_a, n_b, bits_a, bits_b``: the pairs ``a, b`` that the sketches do not rule out."""
+    for batch in source:
+        x, y = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+        both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
+        differ = np.zeros(len(x), np.int64)
+        for i, (p, q) in enumerate(zip(x, y)):
+            p, q = np.frombuffer(p, np.uint64)[None], np.frombuffer(q, np.uint64)[None]
+            words = min(p.shape[1], q.shape[1])
+            differ[i] = np.bitwise_count(folded_to(p, words) ^ folded_to(q, words)).sum()
+        fits = (100 + percent) * differ <= (100 - percent) * both
+        yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+
+def hopeful_members(source: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``bucket, kind, p, q, side, node, root, n, bits`` sorted by block: ``bucket, node`` of members
+    with a partner of another root in their block that the sketches do not rule out."""
+    key, held = None, []
+    schema = None
+
+    def left() -> pa.RecordBatch:
+        side = np.array([h[0] for h in held])
+        number: dict = {}
+        root = np.array([number.setdefault(str(h[2]), len(number)) for h in held])
+        n, bits = np.array([h[3] for h in held], np.int64), [h[4] for h in held]
+        within = key[1] == 0 and key[3] == 0
+        some = np.zeros(len(held), bool)
+        lengths = by_length(bits)
+        for k, x in lengths.items():
+            for other in (k // 2, k, 2 * k):  # linked sets' sizes are less than an octave apart
+                y = lengths.get(other)
+                x0, y1 = x[side[x] == 0], None if y is None else (y if within else y[side[y] == 1])
+                if y is None or not len(x0) or not len(y1):
+                    continue
+                pairs = may_link((n[x0], _rows(bits, x0)), (n[y1], _rows(bits, y1)), percent)
+                i, j = x0[pairs[:, 0]], y1[pairs[:, 1]]
+                apart = root[i] != root[j]
+                some[i[apart]] = some[j[apart]] = True
+        chosen = [h[1] for h, take in zip(held, some) if take]
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(chosen), schema.field("bucket").type), pa.array(chosen, schema.field("node").type)], ["bucket", "node"])
+
+    for batch in source:
+        schema = batch.schema
+        for *at, side, node, root, n, bits in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "p", "q", "side", "node", "root", "n", "bits"))):
+            if at != key:
+                if key is not None:
+                    yield left()
+                key, held = at, []
+            held.append((side, node, root, n, bits))
+    if key is not None:
+        yield left()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -171,7 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
 class Linker:
     """Documents' sets as nodes, and the classes of nodes that meet in buckets.
 
-    ``signed``: a row per document, ``id, n_shingles, set_a, set_b`` and whatever makes its
+    ``signed``: a row per document, ``id, n_shingles, set_a, set_b, bits`` and whatever makes its
     buckets, stored; ``texts``: ``id, text``.
     """
 
@@ -183,7 +291,11 @@ class Linker:
         self.mixed = not several.isEmpty()
         name = F.struct("id", *SAME) if self.mixed else F.col("id")
         self.rows = known.withColumn("name", name)
-        self.sets = stored(self.rows.groupBy(*SAME).agg(F.min("name").alias("node")), "sets")
+        self.sets = stored(self.rows.groupBy(*SAME).agg(F.min("name").alias("node"), F.first("bits").alias("bits")), "sets")
+
+    def firsts(self) -> DataFrame:
+        """The rows of ``signed`` that name a node: one per set, but for repeated rows."""
+        return self.rows.drop("bits").join(self.sets.select(F.col("node").alias("name"), *SAME), ["name", *SAME], "left_semi")
 
     def members(self, rows: DataFrame) -> DataFrame:
         """``bucket, set_a`` of documents or nodes to ``bucket, node, n`` of buckets with several sets.
@@ -241,24 +353,36 @@ class Linker:
         kind = pairs.schema["a"].dataType.simpleString()
         return rows.mapInArrow(in_task("linking", "confirmed", self.shingle, self.percent), f"a {kind}, b {kind}")
 
+    def _hopeful(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that the sketches do not rule out."""
+        known = self.sets.select("node", F.col("n_shingles").alias("size"), "bits")
+        centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(known, F.col("a") == F.col("node"))
+        centres = stored(centres.select("a", "n", F.col("size").alias("n_a"), F.col("bits").alias("bits_a")), "centre-sketches")
+        rows = join_facts(pairs, centres, "a").join(known.select(F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+        kind = pairs.schema["a"].dataType.simpleString()
+        return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(in_task("linking", "hopeful_pairs", self.percent), f"a {kind}, b {kind}")
+
     def _star(self, members: DataFrame, centres: DataFrame) -> DataFrame:
         """Candidate pairs ``a, b``: each bucket's least member with the others of like size."""
         near = F.expr(f"node > centre AND 100 * least(n, cn) >= {self.percent} * greatest(n, cn)")
         rows = join_facts(members.withColumnRenamed("n", "size"), centres, "bucket").withColumnRenamed("size", "n")
         return rows.where(near).selectExpr("centre a", "node b").distinct()
 
-    def _open(self, members: DataFrame, centres: DataFrame, roots: DataFrame) -> DataFrame:
+    def _rooted(self, members: DataFrame, centres: DataFrame, roots: DataFrame) -> DataFrame:
+        """``bucket, node, root`` of the members that stars have not compared with all others: all but the centres."""
+        rest = join_facts(members.select("bucket", "node"), centres, "bucket").where("node > centre").select("bucket", "node")
+        return rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+
+    def _open(self, rooted: DataFrame, most: int) -> DataFrame:
         """``bucket, node, root`` and their block, for the buckets not yet in one component.
 
         Block ``(0, p, q)`` holds members outside the largest component (part ``p``, side 0)
         and inside it (part ``q``, side 1); ``(1, p, q)`` two parts of the former.
         """
-        rest = join_facts(members.select("bucket", "node"), centres, "bucket").where("node > centre").select("bucket", "node")
-        rooted = stored(rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
         each = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         sizes = each.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
         sizes = sizes.where("n > n_main").select(
-            "bucket", "main", "n", F.ceil(F.col("n_main") / _BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / _BLOCK).cast("int").alias("others")
+            "bucket", "main", "n", F.ceil(F.col("n_main") / most).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / most).cast("int").alias("others")
         )
         state = stored(join_facts(rooted, stored(sizes, "open-sizes"), "bucket").withColumn("inside", F.col("root") == F.col("main")), "open")
         part = F.pmod(F.hash("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others")))
@@ -273,6 +397,14 @@ class Linker:
         )
         return state.select("bucket", "node", "root", F.explode(F.when(F.col("inside"), within).otherwise(outside)).alias("at")).select("bucket", "at.*", "node", "root")
 
+    def _left(self, blocks: DataFrame) -> DataFrame:
+        """``bucket, node`` of the members that the sketches leave with a partner in a block."""
+        key = ["bucket", "kind", "p", "q"]
+        known = self.sets.select("node", F.col("n_shingles").alias("n"), "bits")
+        rows = blocks.join(known, "node").select(*key, "side", "node", "root", "n", "bits").repartition(*key).sortWithinPartitions(*key)
+        kind = rows.schema["node"].dataType.simpleString()
+        return rows.mapInArrow(in_task("linking", "hopeful_members", self.percent), f"bucket long, node {kind}").distinct()
+
     def _met(self, blocks: DataFrame, held: str) -> DataFrame:
         """Links ``a, b`` between components that meet in a block."""
         key = ["bucket", "kind", "p", "q"]
@@ -284,12 +416,15 @@ class Linker:
         """``node, root`` of the nodes that are linked with a lesser one."""
         centres = members.groupBy("bucket").agg(F.min(F.struct("node", F.col("n").alias("size"))).alias("c"), F.count(F.lit(1)).alias("n"))
         centres = stored(centres.selectExpr("bucket", "c.node centre", "c.size cn", "n"), "bucket-centres")
-        edges = stored(self._links(stored(self._star(members, centres), "pairs"), held), "links")
+        pairs = stored(self._hopeful(stored(self._star(members, centres), "pairs")), "hopeful")
+        edges = stored(self._links(pairs, held), "links")
         if self.mixed:  # the nodes of one id
             each = self.rows.join(self.sets, SAME).select("id", "node").distinct()
             edges = edges.union(each.groupBy("id").agg(F.min("node").alias("m")).join(each, "id").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")))
         roots = components(edges)
-        more = stored(self._met(self._open(members, centres, roots), held), "links")
+        rooted = stored(self._rooted(members, centres, roots), "rooted")
+        left = self._left(self._open(rooted, _SKETCHES))
+        more = stored(self._met(self._open(stored(rooted.join(left, ["bucket", "node"], "left_semi"), "left"), _BLOCK), held), "links")
         if more.isEmpty():
             return roots
         return components(more.union(roots.selectExpr("root a", "node b")))

@@ -10,22 +10,14 @@ band; documents that agree in a band meet in a bucket.  ``bands`` bands of ``row
 miss a pair of similarity ``s`` with probability ``(1 - s ** rows) ** bands``: 1e-5 at 0.8
 with 48 bands of 7, 3e-6 at 0.85 with 48 bands of 9.
 
-Candidates.  Documents with equal sets are one node from the start (smallest id).  In
-each bucket the least member is the centre of a star, one candidate edge to every other
-member, so a group of ``m`` near copies costs about ``m`` pairs.  Every candidate pair is
-confirmed on the full sets, and linked nodes are joined into components.  A star can miss
-a link between two members that are not like its centre.  So buckets whose members are
-still in several components go on: the members outside the bucket's largest component
-meet all others, in blocks of bounded size.  Blocks are compared within tasks, which
-return a link for each two components only; no pair of a bucket is given up, and none
-within a component is looked at again.
+Candidates.  Buckets are compared as ``linking`` says: stars of the least member first, then
+blocks for what the stars leave open; every link is confirmed on full sets of 64-bit hashes.
 
-All steps are joins and aggregates over tables; only counts reach the driver.  Tables
-that are used again are written to shared storage.
-
-Documents without words, or null, have an empty set and are linked with nothing.  Rows
+Results.  Documents without words, or null, have an empty set and are linked with nothing.  Rows
 that repeat an id are one document: its texts' sets are linked through the id.  Rows
-with a null id are left out of components (null).
+with a null id are left out of components (null).  A component is known by its least id, so ties
+make no difference.  A text of any length is whole.  An empty table gives no rows.  Only the two
+named columns are read, so names of others cannot clash.
 """
 
 from __future__ import annotations
@@ -38,14 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat.llm.common import in_task, stored
+from cyclestat.llm.linking import SAME, SIGNED, Linker, bitmaps, set_sums
 from cyclestat.llm.textbytes import Words, batches, mix, shingle_sets
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ATTEMPTS = 4096
-#: Members that one centre's text is sent along with.
-_PAIRS_A_GROUP = 64
-#: Members of a block, on average, and columns of a product.
-_BLOCK, _COLUMNS = 512, 4096
 
 
 def densified(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -80,110 +69,14 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def signatures(source: Iterator[pa.RecordBatch], shingle: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """``id, text`` to ``id, n_shingles, set_a, set_b, keys``; equal ``n, a, b``: equal sets."""
+    """``id, text`` to ``id, n_shingles, set_a, set_b, bits, keys``; equal ``n, a, b``: equal sets."""
     for batch in batches(source, "text"):
         sets = shingle_sets(Words(batch.column("text"), lower=True), shingle)
         n = np.array([len(s) for s in sets], np.int64)
         keys = band_keys(densified(sets, rows * bands), rows, bands)
         full = np.flatnonzero(n)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32), keys[full].ravel())
-        a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        b = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(a), pa.array(b), lists], ["id", "n_shingles", "set_a", "set_b", "keys"])
-
-
-def confirmed(source: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``a, part, b, text`` sorted by ``a, part, b``, the centre first (null ``b``): linked ``a, b``."""
-    centre, own = None, None
-    for batch in batches(source, "text"):
-        sets = shingle_sets(Words(batch.column("text"), lower=True), shingle)
-        groups = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist()))
-        left, right = [], []
-        for group, b, s in zip(groups, batch.column("b").to_pylist(), sets):
-            if b is None:
-                centre, own = group, s
-            elif group == centre:
-                common = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * common >= percent * (len(own) + len(s) - common):
-                    left.append(group[0])
-                    right.append(b)
-        ids = batch.schema.field("a").type
-        yield pa.RecordBatch.from_arrays([pa.array(left, ids), pa.array(right, ids)], ["a", "b"])
-
-
-def linked_blocks(source: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``bucket, kind, p, q, side, root, text`` sorted by block to links ``a, b`` of roots."""
-    key, sides, roots, sets = None, [], [], []
-    kind = None
-
-    def links() -> pa.RecordBatch:
-        found = {(min(roots[i], roots[j]), max(roots[i], roots[j])) for i, j in _similar(sets, np.array(sides), percent, key[1] == 0 and key[3] == 0) if roots[i] != roots[j]}
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], ["a", "b"])
-
-    for batch in batches(source, "text"):
-        kind = batch.schema.field("root").type
-        own = shingle_sets(Words(batch.column("text"), lower=True), shingle)
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "kind", "p", "q", "side", "root")]
-        for *at, side, root, s in zip(*columns, own):
-            if at != key:
-                if key is not None:
-                    yield links()
-                key, sides, roots, sets = at, [], [], []
-            sides.append(side)
-            roots.append(root)
-            sets.append(s)
-    if key is not None:
-        yield links()
-
-
-def _similar(sets: list[np.ndarray], sides: np.ndarray, percent: int, within: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of sets of side 0 and side 1 (and, if asked, of side 0) that are similar enough.
-
-    Common elements are counted by products of incidence matrices, a few columns at a time.
-    """
-    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    if within:
-        right = np.concatenate([left, right])
-    size = np.array([len(s) for s in sets])
-    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    row, column = row[uses[column] > 1], column[uses[column] > 1]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    common = np.zeros((len(left), len(right)), np.float32)
-    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + _COLUMNS, _COLUMNS))
-    for a, b in zip(edges[:-1], edges[1:]):
-        held = np.zeros((len(sets), _COLUMNS), np.float32)
-        held[row[a:b], column[a:b] % _COLUMNS] = 1.0
-        common += held[left] @ held[right].T
-    both = size[left][:, None] + size[right][None, :]
-    for i, j in zip(*np.nonzero((100 * common >= percent * (both - common)) & (common > 0))):
-        if left[i] != right[j]:
-            yield int(left[i]), int(right[j])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for edges ``a, b``: the least node reachable.  Large star, small star, repeated.
-
-    A node's least neighbour is an aggregate combined before the shuffle; its edges are
-    then joined with it, so a hub's edges need not meet in one task.
-    """
-
-    def least(near: DataFrame) -> DataFrame:
-        return near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-
-    now = stored(edges.select("a", "b").distinct(), "graph")
-    while True:
-        near = now.selectExpr("a u", "b v").union(now.selectExpr("b u", "a v"))
-        large = near.where("v > u").join(least(near), "u").selectExpr("v u", "m v").where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.selectExpr("u", "m v").union(small.selectExpr("v u", "m v")).where("u <> v").distinct()
-        now = stored(small.selectExpr("u a", "v b"), "graph")
-        # Done when all that is left are stars: no node has two roots or is one itself.
-        ends = now.selectExpr("a k", "1 leaf").union(now.selectExpr("b k", "0 leaf").distinct())
-        if ends.groupBy("k").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("r")).where("n > 1 OR (n = 1 AND r = 0)").isEmpty():
-            return now.selectExpr("a node", "b root")
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *set_sums(sets), bitmaps(sets), lists], ["id", *SAME, "bits", "keys"])
 
 
 class NearDuplicates:
@@ -194,102 +87,12 @@ class NearDuplicates:
 
     def _signed(self, texts: DataFrame) -> DataFrame:
         kind = texts.schema["id"].dataType.simpleString()
-        out = f"id {kind}, n_shingles long, set_a long, set_b long, keys array<long>"
+        out = f"id {kind}, {SIGNED}, keys array<long>"
         return stored(texts.mapInArrow(in_task("minhash", "signatures", self.shingle, self.rows, self.bands), out), "near-signed")
 
-    def _members(self, signed: DataFrame, sets: DataFrame) -> DataFrame:
-        """``bucket, node, n`` of buckets with several nodes."""
-        same = ["n_shingles", "set_a", "set_b"]
-        firsts = signed.join(sets.withColumnRenamed("node", "id"), ["id", *same], "left_semi")
-        rows = firsts.select(F.explode("keys").alias("bucket"), F.col("id").alias("node"), F.col("n_shingles").alias("n"))
-        several = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-        return stored(rows.join(several, "bucket", "left_semi").distinct(), "near-members")
-
-    def _links(self, pairs: DataFrame, texts: str) -> DataFrame:
-        """The pairs ``a, b`` whose full sets are similar enough."""
-        spark = pairs.sparkSession
-        held = spark.table(texts)
-        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PAIRS_A_GROUP).cast("int").alias("parts"))
-        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
-        centres = dealt.select("a", "part").distinct().join(held, F.col("a") == held["node"]).select("a", "part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
-        others = dealt.join(held, F.col("b") == held["node"]).select("a", "part", "b", "text")
-        rows = centres.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-        kind = pairs.schema["a"].dataType.simpleString()
-        return rows.mapInArrow(in_task("minhash", "confirmed", self.shingle, self.percent), f"a {kind}, b {kind}")
-
-    def _star(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs ``a, b``: each bucket's least member with the others of like size."""
-        least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).selectExpr("bucket", "c.node centre", "c.n cn")
-        near = F.expr(f"node > centre AND 100 * least(n, cn) >= {self.percent} * greatest(n, cn)")
-        return members.join(least, "bucket").where(near).selectExpr("centre a", "node b").distinct()
-
-    def _open(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """``bucket, node, root`` and their block, for the buckets not yet in one component.
-
-        Block ``(0, p, q)`` holds members outside the largest component (part ``p``, side 0)
-        and inside it (part ``q``, side 1); ``(1, p, q)`` two parts of the former.
-        """
-        least = members.groupBy("bucket").agg(F.min("node").alias("centre"))
-        rest = members.join(least, "bucket").where("node > centre").select("bucket", "node")
-        rooted = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        each = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        sizes = each.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-        sizes = sizes.where("n_all > n_main").select(
-            "bucket", "main", F.ceil(F.col("n_main") / _BLOCK).cast("int").alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / _BLOCK).cast("int").alias("others")
-        )
-        state = stored(rooted.join(sizes, "bucket").withColumn("inside", F.col("root") == F.col("main")), "near-open")
-        part = F.pmod(F.hash("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others")))
-        state = state.withColumn("part", part)
-        block = lambda kind, p, q, side: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
-        counter = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        own = F.col("part")
-        within = F.transform(counter("others"), lambda i: block(0, i, own, F.lit(1)))
-        outside = F.concat(
-            F.transform(counter("mains"), lambda i: block(0, own, i, F.lit(0))),
-            F.transform(F.filter(counter("others"), lambda i: i != own), lambda i: block(1, F.least(i, own), F.greatest(i, own), (i < own).cast("int"))),
-        )
-        return state.select("bucket", "node", "root", F.explode(F.when(F.col("inside"), within).otherwise(outside)).alias("at")).select("bucket", "at.*", "node", "root")
-
-    def _met(self, blocks: DataFrame, texts: str) -> DataFrame:
-        """Links ``a, b`` between components that meet in a block."""
-        key = ["bucket", "kind", "p", "q"]
-        held = blocks.sparkSession.table(texts)
-        rows = blocks.join(held, "node").select(*key, "side", "root", "text").repartition(*key).sortWithinPartitions(*key)
-        kind = rows.schema["root"].dataType.simpleString()
-        return rows.mapInArrow(in_task("minhash", "linked_blocks", self.shingle, self.percent), f"a {kind}, b {kind}").distinct()
-
-    def _compare(self, members: DataFrame, texts: str) -> DataFrame:
-        """``node, root`` of the nodes that are linked with a lesser one."""
-        stars = stored(self._links(stored(self._star(members), "near-pairs"), texts), "near-links")
-        roots = components(stars)
-        more = stored(self._met(self._open(members, roots), texts), "near-links")
-        if more.isEmpty():
-            return roots
-        return components(more.union(roots.selectExpr("root a", "node b")))
-
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per row of ``docs``: ``id_col, n_shingles, component_id``."""
-        spark = docs.sparkSession
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        signed = self._signed(texts)
-        same = ["n_shingles", "set_a", "set_b"]
-        known = signed.where("n_shingles > 0 AND id IS NOT NULL")
-        sets = stored(known.groupBy(*same).agg(F.min("id").alias("node")), "near-sets")
-        members = self._members(known, sets)
-        held = scratch_table(texts.where("id IS NOT NULL").join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").selectExpr("id node", "text"), "node")
-        roots = self._compare(members, held)
-        spark.sql(f"DROP TABLE {held}")
-        rooted = sets.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
-        out = signed.join(rooted, same, "left")
-        component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-        return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-
-
-def scratch_table(df: DataFrame, key: str) -> str:
-    """``df`` as a table bucketed and sorted by ``key``: joins on it do not move it again."""
-    import uuid
-
-    name = f"near_{uuid.uuid4().hex}"
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
-    return name
+        linker = Linker(self._signed(texts), texts, self.shingle, self.percent)
+        members = linker.members(linker.firsts().select(F.explode("keys").alias("bucket"), "set_a"))
+        return linker.classes(members).withColumnRenamed("id", id_col)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat.llm.common import in_task, stored
-from cyclestat.llm.linking import Linker, partitions, set_sums
+from cyclestat.llm.linking import SAME, SIGNED, Linker, bitmaps, partitions, set_sums
 from cyclestat.llm.textbytes import Words, batches, mix, shingle_sets
 
 #: Greatest counter of class 1, and of class 2.
@@ -58,11 +58,11 @@ _RANGE = 1 << 14
 
 
 def signed_sets(source: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """``id, text`` to ``id, n_shingles, set_a, set_b``."""
+    """``id, text`` to ``id, n_shingles, set_a, set_b, bits``."""
     for batch in batches(source, "text"):
         sets = shingle_sets(Words(batch.column("text"), lower=True), shingle)
         n = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), n, *set_sums(sets)], ["id", "n_shingles", "set_a", "set_b"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), n, *set_sums(sets), bitmaps(sets)], ["id", *SAME, "bits"])
 
 
 def counted(source: Iterator[pa.RecordBatch], shingle: int, slots: int) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ class JaccardJoin:
         spark = docs.sparkSession
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         kind = texts.schema["id"].dataType.simpleString()
-        signed = stored(texts.mapInArrow(in_task("ngram_join", "signed_sets", self.shingle), f"id {kind}, n_shingles long, set_a long, set_b long"), "join-signed")
+        signed = stored(texts.mapInArrow(in_task("ngram_join", "signed_sets", self.shingle), f"id {kind}, {SIGNED}"), "join-signed")
         linker = Linker(signed, texts, self.shingle, self.percent)
         packed = spark.sparkContext.broadcast(self._table(texts))
         rows = texts.where("id IS NOT NULL").select("text").mapInArrow(in_task("ngram_join", "indexed", self.shingle, self.percent, packed), "bucket long, set_a long")

@@ -2,13 +2,12 @@
 
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from cyclestat.llm import minhash
+from cyclestat.llm import linking, minhash
 from cyclestat.llm.textbytes import Words, mix, shingle_sets
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -84,7 +83,15 @@ def test_nulls(spark):
     assert minhash.NearDuplicates().find(docs.limit(0)).collect() == []
 
 
-def test_hot_group_makes_star_pairs(spark):
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "other words that stand quite alone"
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (7, None), (8, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.NearDuplicates(3, 85).find(docs).collect())
+    assert got == [(3, 3, 3), (5, 3, 3), (5, 3, 3), (7, 0, 7), (7, 4, 7), (8, 4, 7), (9, 3, 3)]
+
+
+def test_hot_group_makes_star_pairs(spark, monkeypatch):
     """Hundreds of near copies: about one pair each, not all pairs."""
     draw = random.Random(2)
     base = [f"w{i}" for i in range(400)]
@@ -94,10 +101,9 @@ def test_hot_group_makes_star_pairs(spark):
         own[draw.randrange(400)] = f"x{i}"
         rows.append((i, " ".join(own)))
     seen = []
-    near = minhash.NearDuplicates(5, 80)
-    links = near._links
-    near._links = lambda pairs, texts: seen.append(pairs.count()) or links(pairs, texts)
-    got = near.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = linking.Linker._links
+    monkeypatch.setattr(linking.Linker, "_links", lambda self, pairs, texts: seen.append(pairs.count()) or links(self, pairs, texts))
+    got = minhash.NearDuplicates(5, 80).find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
     assert sum(seen) < 10 * len(rows)
 
@@ -116,56 +122,6 @@ def test_signature_agreement_follows_similarity():
     assert abs(got - want) < 0.02
 
 
-def test_blocks_find_what_stars_miss(spark, monkeypatch):
-    """Pairs that meet only in a bucket whose centre is like neither; many blocks a bucket."""
-    monkeypatch.setattr(minhash, "_BLOCK", 4)
-    texts = {}
-    draw = random.Random(12)
-    common = [f"c{i}" for i in range(60)]
-    for g in range(12):
-        own = [f"g{g}w{i}" for i in range(40)]
-        for k in range(5):
-            words = common + own
-            words[draw.randrange(60, 100)] = f"x{g}{k}"
-            texts[g * 10 + k] = " ".join(words)
-    members = spark.createDataFrame([(1, i, 98) for i in texts], "bucket long, node long, n long")
-    near = minhash.NearDuplicates(3, 85)
-    held = minhash.scratch_table(spark.createDataFrame(list(texts.items()), "node long, text string"), "node")
-    roots = {r.node: r.root for r in near._compare(members, held).collect()}
-    spark.sql(f"DROP TABLE {held}")
-    want = classes(list(texts.items()), 3, 85)
-    assert {i: roots.get(i, i) for i in texts} == want and len(set(want.values())) >= 12
-
-
-def test_similar_blocks():
-    draw = np.random.default_rng(5)
-    base = draw.choice(200, (40, 60))
-    sets = [np.unique(np.where(draw.random(60) < 0.9, base[i % 3], b)).astype(np.uint64) for i, b in enumerate(base)]
-    sides = np.array([0] * 15 + [1] * 25)
-    for within in (False, True):
-        got = set(minhash._similar(sets, sides, 70, within))
-        want = {(i, j) for i in range(15) for j in range(40) if i != j and (within or j >= 15) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
-        assert got == want and want
-
-
-def test_components(spark):
-    draw = random.Random(1)
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(draw.randrange(200, 300), draw.randrange(200, 300)) for _ in range(60)]
-    edges = [(a, b) for a, b in edges if a != b]
-    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    near = defaultdict(set)
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    for x in near:
-        reach, todo = {x}, [x]
-        while todo:
-            for y in near[todo.pop()] - reach:
-                reach.add(y)
-                todo.append(y)
-        assert got.get(x, x) == min(reach)
-
-
 def test_words_and_shingles():
     texts = ["One two\tTHREE", None, "", "é  É ab", "a" * 3_000_000 + " b"]
     words = Words(pa.array(texts), lower=True)
