@@ -56,8 +56,9 @@ MALFORMED = "_malformed"
 
 
 def file_header(spark: SparkSession, path: str) -> list[str]:
-    """Canonical column names of one file's (or folder's) header line."""
-    return [S.canonical_name(h) for h in spark.read.option("header", True).csv(path).columns]
+    """Canonical column names of a file's header line; of a folder's first file by name."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]  # lists, reads no content
+    return [S.canonical_name(h) for h in spark.read.option("header", True).csv(first or path).columns]
 
 
 def master_schema(spark: SparkSession, first_path: str) -> T.StructType:
@@ -65,12 +66,48 @@ def master_schema(spark: SparkSession, first_path: str) -> T.StructType:
     return T.StructType([T.StructField(h, T.StringType()) for h in file_header(spark, first_path)])
 
 
-def check_headers(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> None:
-    """Fail, naming the file, where a file's columns are not the master's, in number and order."""
-    for path in paths:
-        header = file_header(spark, path)
-        if header != schema.names:
-            raise ValueError(f"{path}: columns {header} are not those of the first file {schema.names}")
+def raw_schema(schema: T.StructType) -> T.StructType:
+    """``schema`` as the scan reads it: with a column for lines that do not fit."""
+    return T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+
+
+#: Reader options of a scan whose header lines :func:`without_headers` takes out.  A pruned
+#: parse would not count the cells of a line.
+SCAN_OPTIONS = {"header": False, "columnPruning": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+
+
+def _spellings(name: str) -> list[str]:
+    return [name, *[k for k, v in S.HEADER_ALIASES.items() if v == name]]
+
+
+def without_headers(df: DataFrame, schema: T.StructType, malformed: bool = True, source_column: str | None = None) -> DataFrame:
+    """Rows of a scan read with :data:`SCAN_OPTIONS`, header lines out and checked; with their file's path, if asked.
+
+    Every file's header line passes through the scan as a row, so it is compared there, by the
+    task that reads it: no job, no second read, however many files a folder or a stream holds.
+    A row is a header line if its first time cell does not begin with a digit and at least half of
+    its cells are column names of ``schema`` in any spelling.  One that has other columns, or
+    another order, ends the read and names the file.  A file without a header line loses no row.
+    """
+    names = schema.names
+    cell = {c: F.col("`" + c.replace("`", "``") + "`") for c in names}
+    at = cell[next((c for c in S.TIME_COLUMNS if c in names), names[0])]
+    norm = {c: F.lower(F.replace(F.trim(cell[c]), F.lit(" "), F.lit("_"))) for c in names}
+    known = [s for c in names for s in _spellings(c)]
+    is_name = [F.coalesce(norm[c].isin(known), F.lit(False)).cast("int") for c in names]
+    cells = [cell[c].isNotNull().cast("int") for c in names]
+    no_time = ~F.coalesce(F.substring(F.trim(at), 1, 1).between("0", "9"), F.lit(False))
+    header = no_time & (sum(is_name, F.lit(0)) > 0) & (2 * sum(is_name, F.lit(0)) >= sum(cells, F.lit(0)))
+    fits = F.col(MALFORMED).isNull()
+    for c in names:
+        fits = fits & F.coalesce(norm[c].isin(_spellings(c)), F.lit(False))
+    line = F.coalesce(F.col(MALFORMED), F.concat_ws(",", *cell.values()))
+    wrong = F.concat(F.col("_metadata.file_path"), F.lit(": columns "), line, F.lit(f" are not those of the first file {','.join(names)}"))
+    kept = F.lit(True) if malformed else F.col(MALFORMED).isNull()
+    rows = df.where(F.when(header, F.when(fits, F.lit(False)).otherwise(F.raise_error(wrong).cast("boolean"))).otherwise(kept))
+    if source_column:
+        rows = rows.withColumn(source_column, F.col("_metadata.file_path"))
+    return rows if malformed else rows.drop(MALFORMED)
 
 
 def read_raw_trip_csvs(spark: SparkSession, paths: Sequence[str], source_column: str | None = "source_file",
@@ -80,23 +117,13 @@ def read_raw_trip_csvs(spark: SparkSession, paths: Sequence[str], source_column:
     the whole line where it has more or fewer cells than the header, else NULL.
     Without ``malformed`` such lines, and the column, are left out.
 
-    Every file's header is compared with the first one's before the scan, one line
-    of each file, so a file with a shifted or missing column stops the read.
+    Every file's header line is compared with the first file's by the scan itself
+    (:func:`without_headers`), so a file with a shifted or missing column, wherever it lies, stops the read.
     """
     paths = list(paths)
     schema = schema or master_schema(spark, paths[0])
-    check_headers(spark, paths, schema)
-    reader = spark.read.option("header", True).option("enforceSchema", True)
-    reader = reader.option("columnPruning", False)  # a pruned parse would not count the cells
-    if malformed:
-        reading = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
-        reader = reader.schema(reading).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
-    else:
-        reader = reader.schema(schema).option("mode", "DROPMALFORMED")
-    df = reader.csv(paths)
-    if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_path"))
-    return df
+    df = spark.read.schema(raw_schema(schema)).options(**SCAN_OPTIONS).csv(paths)
+    return without_headers(df, schema, malformed, source_column)
 
 
 def read_trip_csvs(spark: SparkSession, paths: Sequence[str], source_column: str | None = None) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cyclestat.operators.ingest import repair_trips
+from cyclestat.sources.csv_trips import SCAN_OPTIONS, raw_schema, without_headers
 
 
 def stream_trip_csvs(spark: SparkSession, source_dir: str, schema: T.StructType,
@@ -17,15 +17,13 @@ def stream_trip_csvs(spark: SparkSession, source_dir: str, schema: T.StructType,
 
     ``schema`` is the all-string master schema (see
     :func:`cyclestat.sources.csv_trips.master_schema`); as in the batch
-    reader it is applied by position, so header spellings do not matter.
+    reader it is applied by position, so header spellings do not matter, a file with
+    other columns stops the query and malformed lines are left out.
     """
-    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", True)
+    reader = spark.readStream.schema(raw_schema(schema)).options(**SCAN_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir)
-    if source_column:
-        raw = raw.withColumn(source_column, F.col("_metadata.file_path"))
-    return repair_trips(raw)
+    return repair_trips(without_headers(reader.csv(source_dir), schema, malformed=False, source_column=source_column))
 
 
 def write_trips_stream(trips: DataFrame, path: str, checkpoint_location: str,

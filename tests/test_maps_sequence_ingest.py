@@ -177,8 +177,55 @@ def test_csv_file_with_other_columns_is_named(spark, header):
     base = fresh_path(spark, "test-csv-header")
     first = _csv(spark, base, "first", [HEADER, GOOD])
     other = _csv(spark, base, "other", [header, GOOD])
-    with pytest.raises(ValueError, match="other"):
-        csv_trips.read_trip_csvs(spark, [first, other])
+    with pytest.raises(Exception, match="other/part.*are not those of the first file"):
+        csv_trips.read_trip_csvs(spark, [first, other]).count()
+
+
+def _land(spark, base, name, lines):
+    """One CSV file of that name in folder ``base``, as a feed delivers it."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(csv_trips.join_path(base, name))
+    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    out.write(bytearray(("\n".join(lines) + "\n").encode()))
+    out.close()
+
+
+def test_csv_files_of_one_folder_are_each_checked(spark):
+    base = fresh_path(spark, "test-csv-folder")
+    swapped = HEADER.replace("start_station_latitude,start_station_longitude", "start_station_longitude,start_station_latitude")
+    _land(spark, base, "201307-a.csv", [HEADER, GOOD])
+    _land(spark, base, "201308-b.csv", [HEADER.replace("_", " ").title(), GOOD, GOOD])
+    assert csv_trips.read_trip_csvs(spark, [base]).count() == 3
+    assert csv_trips.read_raw_trip_csvs(spark, [base]).where(f"{csv_trips.MALFORMED} IS NOT NULL").count() == 0
+    _land(spark, base, "201309-c.csv", [swapped, GOOD])
+    for malformed in (True, False):
+        with pytest.raises(Exception, match="201309-c.csv: columns .*are not those"):
+            csv_trips.read_raw_trip_csvs(spark, [base], malformed=malformed).collect()
+
+
+def test_a_file_without_a_header_line_loses_no_row(spark):
+    base = fresh_path(spark, "test-csv-bare")
+    _land(spark, base, "201307-a.csv", [HEADER, GOOD])
+    _land(spark, base, "201308-b.csv", [GOOD, GOOD.replace("2013-07-01 00:00:00", "garbage"), "", GOOD.replace("A,", "starttime,")])
+    rows = csv_trips.read_trip_csvs(spark, [base]).collect()
+    assert len(rows) == 4 and sum(r.starttime is None for r in rows) == 1
+
+
+def test_many_files_take_no_more_jobs_than_few(spark):
+    def jobs(n):
+        base = fresh_path(spark, f"test-csv-{n}")
+        for i in range(n):
+            _land(spark, base, f"2013{i:04d}.csv", [HEADER, GOOD])
+        spark.sparkContext.setJobGroup(f"files-{n}", "count the jobs")
+        try:
+            assert csv_trips.read_trip_csvs(spark, [base]).count() == n
+            one_by_one = [csv_trips.join_path(base, f"2013{i:04d}.csv") for i in range(n)]
+            assert csv_trips.read_trip_csvs(spark, one_by_one).count() == n
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files-{n}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    few, many = jobs(3), jobs(200)
+    assert many <= few + 2  # listing many paths in parallel is a job of its own, once a read
 
 
 def test_positional_union_checks_the_width(spark):
