@@ -65,6 +65,11 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def release() -> None:
+    """Let go the codecs and their caches."""
+    Codec._open.clear()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
