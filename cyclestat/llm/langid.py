@@ -8,21 +8,26 @@ with the highest score is predicted, with its posterior as confidence.
 
 Piece probabilities are fitted by expectation maximisation (forward and backward) on
 counted words of a sample of labelled rows: all of them up to ``sample_rows``, beyond that
-a share chosen by a hash, ``sample_rows`` on average.  What returns to the driver is one
-number per piece and language.
+``sample_rows`` on average, languages with less than an equal part of them whole and the same
+share, chosen by a hash, of the others.  What returns to the driver, and is broadcast, is one
+number per piece and language: 0.3 MB a language.
 
 Words are runs of letters in lower case.  Equal words are scored once per task's batch
-and kept by the Python worker in a cache of bounded size.  A character that the vocabulary
+and kept by the Python worker in a cache of a bounded number of bytes.  A character that the vocabulary
 lacks stands for an unknown piece.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text where no
-row is labelled.  Ties go to the language that comes first by code point.  Rows are
-independent of each other; repeated rows get equal results.
+row is labelled.  A letter is a character of Unicode category L; numbers like fractions are
+none.  Ties go to the language that comes first by code point.  Rows are
+independent of each other; repeated rows get equal results.  Texts are scored whole, whatever
+their length.  An empty table gives no rows; a model of no rows calls all ``und``.  ``lang_pred`` and
+``score`` may not be names of columns that are kept; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,14 +41,15 @@ from cyclestat.llm.common import in_task, stored
 from cyclestat.llm.textbytes import batches
 
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are no letters (numbers that are no digits: fractions, Roman and circled ones).
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 _MARK = "▁"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 18
-_CACHED = 200_000
+_CACHED_BYTES = 48 << 20
 _COUNTED = 300_000
 _RESCALE = 16
-_LONGEST = 40
 
 
 def default_vocabulary() -> str:
@@ -104,10 +110,11 @@ class Lattice:
             found[n] = np.where(known[at] == keys, ids[at], self.unknown if n == 1 else self.none)
         return found
 
-    def forward(self, found: dict[int, np.ndarray], p: np.ndarray, m: int, n: int, scaled: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, found: dict[int, np.ndarray], p: np.ndarray, m: int, n: int, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log of the summed probability of ``m`` words of ``n`` characters, and the forward values.
 
-        ``p``: pieces by languages.  Values are scaled now and then, so that no length underflows.
+        ``p``: pieces by languages.  Values are scaled now and then, so that no length underflows;
+        ``logs``, if given, collects what each place's values were divided by.
         """
         alpha = np.zeros((n + 1, m, p.shape[1]))
         alpha[0] = 1.0
@@ -116,32 +123,44 @@ class Lattice:
             for length, ids in found.items():
                 if length <= j:
                     alpha[j] += alpha[j - length] * p[ids[:, j - length]]
-            if scaled and j % _RESCALE == 0 and j < n:
+            if j % _RESCALE == 0 and j < n:
                 low = max(0, j - self.longest + 1)
                 top = alpha[low : j + 1].max(axis=0)
                 alpha[low : j + 1] /= top
                 log += np.log(top)
+            if logs is not None:
+                logs[j] = log
+                if j % _RESCALE == 0 and j < n:
+                    logs[max(0, j - self.longest + 1) : j] = log
         return log + np.log(alpha[n]), alpha
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over ``words`` (each ``counts`` times) under one language's ``p``.
 
-        Words of more than ``_LONGEST`` characters teach nothing.
+        Both passes are scaled, so words of any length teach.
         """
         uses = np.zeros(len(p))
-        for at, codes in _by_length(words, _LONGEST):
+        for at, codes in _by_length(words):
             m, n = codes.shape
             found = self.find(codes)
-            _, alpha = self.forward(found, p[:, None], m, n, scaled=False)
-            beta = np.zeros((n + 1, m))
+            up = np.zeros((n + 1, m, 1))
+            total, alpha = self.forward(found, p[:, None], m, n, up)
+            beta, down, log = np.zeros((n + 1, m)), np.zeros((n + 1, m)), np.zeros(m)
             beta[n] = 1.0
             for j in range(n - 1, -1, -1):
                 for length, ids in found.items():
                     if j + length <= n:
                         beta[j] += p[ids[:, j]] * beta[j + length]
-            weight = counts[at] / beta[0]
+                if (n - j) % _RESCALE == 0 and j > 0:
+                    high = min(n, j + self.longest - 1)
+                    top = beta[j : high + 1].max(axis=0)
+                    beta[j : high + 1] /= top
+                    log = log + np.log(top)
+                    down[j : high + 1] = log
+                down[j] = log
             for length, ids in found.items():
                 for j in range(n - length + 1):
+                    weight = counts[at] * np.exp(up[j, :, 0] + down[j + length] - total[:, 0])
                     uses += np.bincount(ids[:, j], alpha[j, :, 0] * p[ids[:, j]] * beta[j + length] * weight, len(p))
         uses[self.none] = 0.0
         return uses
@@ -151,17 +170,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def _by_length(words: list[str], longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices and character codes (with the mark) of words of one length, in blocks.
-
-    Beyond ``longest``, words are left out (training only).
-    """
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices and character codes (with the mark) of words of one length, in blocks."""
     groups = defaultdict(list)
     for i, word in enumerate(words):
         groups[len(word) + 1].append(i)
     for n, ids in groups.items():
-        if longest and n > longest:
-            continue
         step = max(1, _CELLS // n)
         for i in range(0, len(ids), step):
             block = ids[i : i + step]
@@ -169,6 +183,12 @@ def _by_length(words: list[str], longest: int | None = None) -> Iterator[tuple[n
             yield np.array(block), codes
 
 
+def release() -> None:
+    """Let go the vocabulary's pieces and the words' scores."""
+    Lattice._open.clear()
+    Scorer._open.clear()
+
+
 class Scorer:
     """Word scores under a model, with a cache."""
 
@@ -186,14 +206,16 @@ class Scorer:
     def __init__(self, path: str, languages: list[str], p: np.ndarray, shares: np.ndarray) -> None:
         self.lattice, self.languages, self.p, self.shares = Lattice.of(path), languages, p, shares
         self.row: dict[str, int] = {}  # of a word in the table of scores
-        self.table = np.empty((_CACHED, len(languages)))
+        #: Words kept: a score per language and the word itself.
+        self.most = max(1_000, _CACHED_BYTES // (8 * len(languages) + 160))
+        self.table = np.empty((self.most, len(languages)))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.row]
         if len(self.row) + len(new) > len(self.table):
             self.row.clear()
             new = list(words)
-            self.table = np.empty((max(_CACHED, len(new)), len(self.languages)))
+            self.table = np.empty((max(self.most, len(new)), len(self.languages)))
         first = len(self.row)
         for at, codes in _by_length(new):
             self.table[first + at], _ = self.lattice.forward(self.lattice.find(codes), self.p, *codes.shape)
@@ -271,7 +293,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     total = sum(shares.values())
     if total > sample_rows:
-        rows = rows.where(F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+        each = sample_rows // len(shares)  # rare languages whole, the others by what is left
+        rare = sum(n for n in shares.values() if n <= each)
+        share = (sample_rows - rare) / max(1, sum(n for n in shares.values() if n > each))
+        drawn = F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * share)
+        rows = rows.where(drawn | F.col("lang").isin([lang for lang, n in shares.items() if n <= each]))
     words = rows.drop("draw").mapInArrow(in_task("langid", "count_words"), "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     size = len(Lattice.of(path).pieces) + 2

@@ -58,6 +58,44 @@ def test_expected_uses_add_up():
     assert (uses * length).sum() == pytest.approx(3 * 3 + 2)
 
 
+def test_expected_uses_of_long_words_follow_the_rule():
+    """Scaled passes give what unscaled ones do, and words of any length teach."""
+    lattice = langid.Lattice(["▁", "▁a", "a", "ab", "b", "bab"])
+    p = np.array([0.2, 0.1, 0.2, 0.2, 0.2, 0.1, 1e-6, 0.0])
+    lengths = np.array([len(x) for x in lattice.pieces] + [1, 0])
+    for word in ("ab" * 30, "ba" * 31 + "b", "a" * 3_000):
+        uses = lattice.expected([word], np.array([2.0]), p)
+        assert np.isfinite(uses).all() and (uses * lengths).sum() == pytest.approx(2 * (len(word) + 1))
+    word = "abba"  # all segmentations, the plain way
+    ways = {}
+
+    def walk(rest, used, weight):
+        if not rest:
+            ways[tuple(used)] = weight
+        for i, piece in enumerate(lattice.pieces):
+            if rest.startswith(piece):
+                walk(rest[len(piece) :], [*used, i], weight * p[i])
+
+    walk("▁" + word, [], 1.0)
+    want = np.zeros(len(p))
+    for used, weight in ways.items():
+        np.add.at(want, list(used), weight / sum(ways.values()))
+    assert lattice.expected([word], np.array([1.0]), p) == pytest.approx(want, abs=1e-9)
+
+
+def test_letters_are_of_category_l():
+    assert langid._LETTERS.findall("½ ² ① Ⅷ _ 5") == []
+    assert langid._LETTERS.findall("a½b çß日本 ʰª") == ["a", "b", "çß日本", "ʰª"]
+
+
+def test_rare_languages_are_drawn_whole(spark):
+    rows, docs = corpus(spark, 400)
+    few = spark.createDataFrame([(10_000 + i, "zyx zyyx xyz xyzzy", "rare") for i in range(3)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.union(few), sample_rows=40)
+    got = langid.predict(few, model, ["doc_id"]).collect()
+    assert {r.lang_pred for r in got} == {"rare"}
+
+
 def test_held_out_accuracy(spark):
     rows, docs = corpus(spark)
     model = langid.fit(docs.where("doc_id % 3 <> 1"))
