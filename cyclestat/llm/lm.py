@@ -15,7 +15,8 @@ weighted by tokens.  Averages and counts are Spark aggregates; the driver gets t
 parameters only, whose size is fixed.
 
 Scoring gives normalised log probabilities: the log of the sum over all classes is found by
-batched matrix products, once for each distinct pair of tokens before in a batch.  A word
+batched matrix products, once for each distinct pair of tokens before that a worker meets (it
+keeps one number per pair of classes while the model is in use).  A word
 outside the model's own words has its class's probability times its share of the class,
 ``(c + 1/2) / (sum over the class + 1/2)``, the last half for words never seen.
 
@@ -23,7 +24,10 @@ Frequent words are looked up in a broadcast table of bounded size.  The rest of
 are rows, joined by Spark with the counts and summed per text; they are rare, so no key is hot.
 
 A null or empty text is the end alone.  Without learning rows every count is 0 and the classes
-are equally likely.  Each row is scored for itself, repeated ids or texts alike.
+are equally likely.  Each row is scored for itself, repeated ids or texts alike; no rows give
+none.  Texts are learned from and scored whole, whatever their length; one text's tokens are
+what a task holds beside its batch.  Words of equal count go into the model by the order of their
+hashes.  Columns that are kept may not bear the names of those made here; others are not looked at.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ _SIZE = 24
 _BATCH = 8192
 _NOISE = 64
 _RATE = 0.15
+#: Pairs of tokens before whose sums a model keeps, 8 bytes each.
+_PAIRS_KEPT = 1 << 22
 _LN10 = float(np.log(10.0))
 
 
@@ -106,6 +112,7 @@ class Model:
 
     def __init__(self, one: np.ndarray, two: np.ndarray, out: np.ndarray) -> None:
         self.one, self.two, self.out = one, two, out  # [classes + 1, size], the same, [classes, size + 1]
+        self._norms: np.ndarray | None = None
 
     @classmethod
     def start(cls, shares: np.ndarray, size: int = _SIZE) -> Model:
@@ -120,15 +127,16 @@ class Model:
         return np.concatenate([*pad, self.out])
 
     @classmethod
-    def of_rows(cls, rows: np.ndarray) -> Model:
+    def of_rows(cls, rows: np.ndarray, dtype=np.float64) -> Model:
         n = (len(rows) - 2) // 3
+        rows = rows.astype(dtype)
         return cls(rows[: n + 1, :-1].copy(), rows[n + 1 : 2 * n + 2, :-1].copy(), rows[2 * n + 2 :].copy())
 
     def train(self, target: np.ndarray, before: np.ndarray, before2: np.ndarray, noise: np.ndarray, seed: int, squares: list | None = None) -> list:
         """One pass of noise-contrastive estimation with AdaGrad; ``squares`` carries its state."""
         draw = np.random.default_rng(seed)
-        state = squares or [np.full(t.shape, 1e-2) for t in (self.one, self.two, self.out)]
-        log_noise = np.log(noise) + np.log(_NOISE)
+        state = squares or [np.full(t.shape, 1e-2, t.dtype) for t in (self.one, self.two, self.out)]
+        log_noise = (np.log(noise) + np.log(_NOISE)).astype(self.out.dtype)
         cumulated = np.cumsum(noise)
         for i in range(0, len(target), _BATCH):
             t, a, b = target[i : i + _BATCH], before[i : i + _BATCH], before2[i : i + _BATCH]
@@ -153,21 +161,42 @@ class Model:
         at, first = np.unique(rows[order], return_index=True)
         total = np.add.reduceat(grad[order], first, axis=0)
         table = (self.one, self.two, self.out)[which]
-        state[which][at] += (total * 100.0) ** 2
-        table[at] += _RATE * total * 100.0 / np.sqrt(state[which][at])
+        total *= 100.0
+        state[which][at] += total**2
+        table[at] += _RATE * total / np.sqrt(state[which][at])
 
     def log_probabilities(self, target: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
         """Natural log of the normalised probability of each target class."""
-        pairs, which = np.unique(before * np.int64(len(self.one)) + before2, return_inverse=True)
+        pairs = before * np.int64(len(self.one)) + before2
+        norm = self._normalised(pairs)
+        r = self.one[before] + self.two[before2]
+        return (r * self.out[target, :-1]).sum(axis=1) + self.out[target, -1] - norm
+
+    def _normalised(self, pairs: np.ndarray) -> np.ndarray:
+        """Log of the sum over all classes after each pair of tokens: each pair's once while the model is kept."""
+        n = len(self.one)
+        if self._norms is None and n * n <= _PAIRS_KEPT:
+            self._norms = np.full(n * n, np.nan)
+        if self._norms is None:
+            distinct, which = np.unique(pairs, return_inverse=True)
+            return self._sums(distinct)[which]
+        new = np.zeros(n * n, bool)
+        new[pairs] = True
+        new = np.flatnonzero(new & np.isnan(self._norms))
+        self._norms[new] = self._sums(new)
+        return self._norms[pairs]
+
+    def _sums(self, pairs: np.ndarray) -> np.ndarray:
         norm = np.empty(len(pairs))
         step = max(1, (1 << 22) // len(self.out))
         for i in range(0, len(pairs), step):
             a, b = np.divmod(pairs[i : i + step], len(self.one))
             logits = (self.one[a] + self.two[b]) @ self.out[:, :-1].T + self.out[:, -1]
             top = logits.max(axis=1, keepdims=True)
-            norm[i : i + step] = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
-        r = self.one[before] + self.two[before2]
-        return (r * self.out[target, :-1]).sum(axis=1) + self.out[target, -1] - norm[which]
+            logits -= top
+            np.exp(logits, out=logits)
+            norm[i : i + step] = top[:, 0] + np.log(logits.sum(axis=1))
+        return norm
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,6 +215,24 @@ def contexts(classes: np.ndarray, edges: np.ndarray, begin: int) -> tuple[np.nda
     return one, two
 
 
+class _Kept:
+    """The model that this worker scored with last, and its sums so far."""
+
+    rows: np.ndarray | None = None
+    own: Model | None = None
+
+    @classmethod
+    def model(cls, rows: np.ndarray) -> Model:
+        if cls.rows is None or not np.array_equal(cls.rows, rows):
+            cls.rows, cls.own = rows, Model.of_rows(rows)
+        return cls.own
+
+
+def release() -> None:
+    """Let go the model and its sums."""
+    _Kept.rows = _Kept.own = None
+
+
 # -- tasks ------------------------------------------------------------------------
 
 
@@ -198,7 +245,7 @@ def count_tokens(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_rows(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Learning rows ``text`` to parameters ``row, weight, v`` after one pass from the start."""
     table, shares, start = model.value
-    own, seen, state = Model.of_rows(start), 0, None
+    own, seen, state = Model.of_rows(start, np.float32), 0, None  # single precision takes half the time
     for batch in batches(source, "text"):
         ids, edges = token_ids(batch.column("text"))
         classes = table.find(ids)[1]
@@ -207,7 +254,7 @@ def train_rows(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
         state = own.train(classes[order], one[order], two[order], shares, len(ids), state)
         seen += len(ids)
     if seen:
-        rows = own.rows()
+        rows = own.rows().astype(np.float64)
         values = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(seen))), values], ["row", "weight", "v"])
 
@@ -215,7 +262,7 @@ def train_rows(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
 def score_rows(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Rows ``_text`` and others to sums over their frequent tokens, and the ids of the rest."""
     table, rows, shares_of_class = model.value
-    own = Model.of_rows(rows)
+    own = _Kept.model(rows)
     known_log = np.log10(table.counts + 0.5)
     outside = table.classes > table.vocab
     within = np.where(outside, known_log - np.log10(shares_of_class[np.where(outside, table.classes - table.vocab - 1, 0)]), 0.0)
@@ -295,7 +342,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
     params = Model.start(shares).rows()
     n_rows = rows.count()
     draw = F.col("draw") < int((1 << 30) * min(1.0, start_rows / max(1, n_rows)))
-    for part in (texts.where(draw).coalesce(1), texts):
+    for part in (texts.where(draw).repartition(1), texts):  # the sample is drawn by all tasks and trained in one
         got = _averaged(part, spark.sparkContext.broadcast((table, shares, params)))
         params = params if got is None else got
     return Fitted(counts, threshold, int(total), int(distinct), spark.sparkContext.broadcast((table, params, class_sums)), class_sums)
