@@ -14,7 +14,13 @@ copies leave of the target.  ``u`` is a hash of the document's id, so reruns agr
 The order is never sorted as a whole.  Its place is a 48-bit key; a source's cut is
 found in two histograms of ``2**12`` bins (sums per source and bin) and then among
 the documents of one bin of ``2**24``, so no task holds more than that share of a
-hot source.  What is joined back has one row per source and is joined with a salt.
+hot source; documents without a fraction stand in no bin.  What is joined back has one row
+per source and is joined with a salt.  Sources are put in order by windows over one row a
+source: meant for sources in their thousands, not for a source per document.
+
+A text of any length counts whole.  Rows with one id and one source share their fate; ties in
+place go by id.  An empty table gives an empty one.  Columns of ``sizes`` may not be named
+``source_size``, ``target``, ``copies``, ``whole``, ``extra``, ``place`` or ``cut``; ``repeated`` takes any.
 """
 
 from __future__ import annotations
@@ -115,22 +121,21 @@ def plan_mix(
     rows = rows.withColumn("whole", whole.cast("long")).withColumn("extra", due - whole).withColumn("place", _place(id_col, seed))
     cuts = _cuts(rows, id_col)
     taken = (F.col("extra") > 0) & (F.struct("place", F.col(id_col).alias("id")) <= F.col("cut"))
-    out = _with_source(rows, cuts, id_col)
-    return out.select(*sizes.columns, "source_size", "target", (F.col("whole") + taken.cast("long")).alias("copies"))
+    out = _with_source(rows, cuts, id_col, "left")
+    return out.select(*sizes.columns, "source_size", "target", (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).alias("copies"))
 
 
 def _cuts(rows: DataFrame, id_col: str) -> DataFrame:
-    """Per source the last place (and id) of the sample.
+    """Per source with documents that have a fraction, the last place (and id) of the sample.
 
     A document is in when the words before it and half its own do not exceed what is
     left of the target: the sum then misses it by half a document at most.
     """
     shift1, shift2 = _KEY_BITS - _LEVEL_BITS, _KEY_BITS - 2 * _LEVEL_BITS
-    bins = rows.groupBy("source", F.shiftright("place", shift1).alias("b")).agg(
-        F.sum("size").alias("size"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target")
-    )
-    of_source = Window.partitionBy("source")
-    bins = bins.withColumn("open", F.col("target") - F.sum("sure").over(of_source))
+    left = rows.groupBy(F.col("source").alias("_source")).agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("open"))
+    rows = rows.where("extra > 0")  # documents with whole copies only are in no order
+    bins = rows.groupBy("source", F.shiftright("place", shift1).alias("b")).agg(F.sum("size").alias("size"))
+    bins = bins.join(left, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     cut = _cut_bin(bins, F.lit(0))
     inner = _with_source(rows, cut, id_col).where(F.shiftright("place", shift1) == F.col("b"))
     inner = inner.withColumnRenamed("b", "b1")

@@ -33,6 +33,31 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(7)
 
 
+@pytest.mark.parametrize("kind", ["one source", "capped"])
+def test_no_window_holds_a_source(spark, kind, monkeypatch):
+    """Documents due whole copies only are in no order; the others meet in the cut's bin alone."""
+    source = F.lit("all") if kind == "one source" else F.when(F.col("id") < 3_000, F.lit("a")).otherwise(F.lit("b"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), source.alias("source"))
+    seen = []
+    bins = mixing._cut_bin
+
+    def watched(rows, *a):
+        seen.append(rows.count())
+        return bins(rows, *a)
+
+    monkeypatch.setattr(mixing, "_cut_bin", watched)
+    sizes = mixing.document_sizes(docs)
+    rows = mixing._with_source(sizes, mixing.source_targets(sizes, (1, 9), 3), "doc_id")
+    due = F.col("target") / F.col("source_size")
+    rows = rows.withColumn("whole", F.floor(due).cast("long")).withColumn("extra", due - F.floor(due)).withColumn("place", mixing._place("doc_id", 1))
+    open_rows = rows.where("extra > 0").count()
+    assert open_rows == 0 if kind == "one source" else open_rows < 20_000
+    mixing._cuts(rows, "doc_id").collect()
+    assert len(seen) == 2 and max(seen) <= 2 * (1 << mixing._LEVEL_BITS)
+    got = mixing.mix_documents(docs, weights=(1, 9)).collect()
+    assert len(got) == 20_000 and all(0 <= r.copies <= 3 for r in got)
+
+
 def test_targets_and_sums(spark):
     rows, docs = corpus(spark)
     got = mixing.mix_documents(docs).collect()
