@@ -47,14 +47,14 @@ def test_no_window_holds_a_source(spark, kind, monkeypatch):
 
     monkeypatch.setattr(mixing, "_cut_bin", watched)
     sizes = mixing.document_sizes(docs)
-    rows = mixing._with_source(sizes, mixing.source_targets(sizes, (1, 9), 3), "doc_id")
+    rows = mixing._with_source(sizes, mixing.source_targets(sizes, (9, 1), 3), "doc_id")
     due = F.col("target") / F.col("source_size")
     rows = rows.withColumn("whole", F.floor(due).cast("long")).withColumn("extra", due - F.floor(due)).withColumn("place", mixing._place("doc_id", 1))
     open_rows = rows.where("extra > 0").count()
     assert open_rows == 0 if kind == "one source" else open_rows < 20_000
     mixing._cuts(rows, "doc_id").collect()
     assert len(seen) == 2 and max(seen) <= 2 * (1 << mixing._LEVEL_BITS)
-    got = mixing.mix_documents(docs, weights=(1, 9)).collect()
+    got = mixing.mix_documents(docs, weights=(9, 1)).collect()
     assert len(got) == 20_000 and all(0 <= r.copies <= 3 for r in got)
 
 
