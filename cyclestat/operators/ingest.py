@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,23 +52,48 @@ def repair_trips(raw: DataFrame) -> DataFrame:
     return raw.withColumns(fixes)
 
 
-def repair_with_flags(raw: DataFrame, malformed: str) -> DataFrame:
-    """Like :func:`repair_trips`, all rows kept, and ``rejected``: the names of the
-    columns whose text was unusable, and ``malformed`` for a line that did not fit the
-    schema (column ``malformed``, which goes).  One pass repairs and marks."""
-    parsed = {c: parse_trip_time(c) for c in S.TIME_COLUMNS}
-    parsed.update({c: F.col(c).try_cast("double") for c in S.COORDINATE_COLUMNS})
-    bad = [F.when(F.col(c).isNotNull() & p.isNull(), F.lit(c)) for c, p in parsed.items()]
-    flags = F.array_compact(F.array(F.when(F.col(malformed).isNotNull(), F.lit("malformed")), *bad))
-    columns = [parsed[c].alias(c) if c in parsed else F.col(c) for c in raw.columns if c != malformed]
-    return raw.select(*columns, flags.alias("rejected"))
+#: Column that says to which output a row of :func:`split_rows` belongs, and its values.
+OUTPUT, TRIPS, REJECTS = "ingest_output", "trips", "rejects"
+#: Columns of the reject store besides where a row comes from: why, and the text in question.
+REASON, TEXT = "reject_reason", "reject_text"
+MALFORMED_REASON = "malformed"
+
 
+def split_rows(raw: DataFrame, malformed: str, always: Sequence[str] = ()) -> DataFrame:
+    """Raw rows as the rows of both ingest outputs, made in one pass.
 
-def count_flags(repaired: DataFrame, group_by: str) -> DataFrame:
-    """:func:`rejects` from the flags of a repaired table."""
-    names = ["malformed", *[f"bad_{c}" for c in (*S.TIME_COLUMNS, *S.COORDINATE_COLUMNS)]]
-    counts = [F.sum(F.array_contains("rejected", n.removeprefix("bad_")).cast("bigint")).alias(n) for n in names]
-    return repaired.groupBy(group_by).agg(F.count(F.lit(1)).alias("rows"), *counts)
+    ``trips``: repaired rows as :func:`repair_trips` makes them, without lines that did not fit the
+    schema (column ``malformed``, which goes).  ``rejects``: a row per thing that could not be
+    used, with ``reject_reason`` (``malformed``, or the column) and ``reject_text`` (the line, or the cell); columns
+    other than ``always`` (e.g. the source file) are NULL there.  A row with an unusable cell is in both: the trip
+    counts, its cell is NULL.
+    """
+    parsed = {c: parse_trip_time(c) for c in S.TIME_COLUMNS}
+    parsed.update({c: F.col(c).try_cast("double") for c in S.COORDINATE_COLUMNS})
+    bad = F.col(malformed).isNotNull()
+
+    def row(output: str, reason, text) -> Column:
+        return F.struct(F.lit(output).alias(OUTPUT), reason.cast("string").alias(REASON), text.cast("string").alias(TEXT))
+
+    kept = F.when(~bad, row(TRIPS, F.lit(None), F.lit(None)))
+    line = F.when(bad, row(REJECTS, F.lit(MALFORMED_REASON), F.col(malformed)))
+    cells = [F.when(F.col(c).isNotNull() & p.isNull(), row(REJECTS, F.lit(c), F.col(c))) for c, p in parsed.items()]
+    outputs = F.array_compact(F.array(kept, line, *cells))
+    own = [c for c in raw.columns if c != malformed]
+    rows = raw.select(*own, F.inline(outputs))
+    trip = F.col(OUTPUT) == TRIPS
+    values = {c: parsed[c] if c in parsed else F.col(c) for c in own}
+    return rows.select(*[(v if c in always else F.when(trip, v)).alias(c) for c, v in values.items()], OUTPUT, REASON, TEXT)
+
+
+def reject_counts(trips: DataFrame, rejects: DataFrame, group_by: str) -> DataFrame:
+    """:func:`rejects` from the two ingest outputs, both of which have ``group_by``."""
+    names = [MALFORMED_REASON, *S.TIME_COLUMNS, *S.COORDINATE_COLUMNS]
+    lines = F.when(F.col(REASON) == MALFORMED_REASON, 1)
+    per = rejects.groupBy(group_by, REASON).agg(F.count(F.lit(1)).alias("n"), F.count(lines).alias("rows"))
+    per = trips.groupBy(group_by).agg(F.count(F.lit(1)).alias("rows")).select(group_by, F.lit(None).cast("string").alias(REASON), F.lit(0).cast("bigint").alias("n"), "rows").unionByName(per)
+    counts = [F.sum(F.when(F.col(REASON) == c, F.col("n")).otherwise(0)).alias(c if c == MALFORMED_REASON else f"bad_{c}") for c in names]
+    return per.groupBy(group_by).agg(F.sum("rows").alias("rows"), *counts)
 
 
 def _bad(c: str, parsed: Column) -> Column:

@@ -279,7 +279,8 @@ def ingest_csv(spark, d):
 
 
 def ingest_rejects(spark, d):
-    """What ingest could not use of two damaged months, per month."""
+    """What ingest could not use of two damaged months, per month, from the trips table and
+    the reject store that one ingest pass makes."""
     base = warehouse_path(spark, _own_name("damaged", d))
     dirs = []
     for month in ("2013-07", "2013-08"):
@@ -288,8 +289,13 @@ def ingest_rejects(spark, d):
         lines.write.mode("overwrite").option("header", True).option("sep", "\u0001").csv(path)
         dirs.append(path)
     raw = csv_trips.read_raw_trip_csvs(spark, dirs)
-    raw = raw.withColumn("month", F.element_at(F.split("source_file", "/"), -2))
-    return ingest.rejects(raw, group_by="month", malformed=csv_trips.MALFORMED)
+    rows = ingest.split_rows(raw, csv_trips.MALFORMED, always=("source_file",))
+    rows = rows.withColumn("month", csv_trips.feed_month("source_file"))
+    kept, rejected = _own_name("damaged_trips", d), _own_name("damaged_rejects", d)
+    trip_columns = [c for c in raw.columns if c != csv_trips.MALFORMED]
+    outputs = {ingest.TRIPS: (kept, [*trip_columns, "month"]), ingest.REJECTS: (rejected, ["source_file", ingest.REASON, ingest.TEXT, "month"])}
+    tables.save_outputs(rows, outputs, ["month"])
+    return ingest.reject_counts(tables.read_table(spark, kept), tables.read_table(spark, rejected), "month")
 
 
 def trips_table_roundtrip(spark, d):

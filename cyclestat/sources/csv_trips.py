@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,18 @@ def feed_paths(base: str, first_month: str = "2013-07", last_month: str = "2017-
     return [join_path(base, n) for n in feed_file_names(first_month, last_month)]
 
 
+#: Column that says which month's feed file a trip came in.
+FEED_MONTH = "feed_month"
+
+
+def feed_month(path: str | Column) -> Column:
+    """``yyyy-MM`` of a feed file from its path, in either naming style: from the file's own name, or
+    from its folder's where the name has none.  ``unknown`` where neither has one."""
+    found = F.regexp_extract(path, r"/(\d{4})-?(\d{2})(?!\d)[^/]*(?:/[^/0-9]*part-[^/]*)?$", 0)
+    digits = F.regexp_extract(found, r"^/(\d{4})", 1), F.regexp_extract(found, r"^/\d{4}-?(\d{2})", 1)
+    return F.when(found == "", "unknown").otherwise(F.concat_ws("-", *digits))
+
+
 #: Column of a raw frame that holds a line whose cells do not fit the schema.
 MALFORMED = "_malformed"
 

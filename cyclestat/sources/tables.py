@@ -28,6 +28,8 @@ from cyclestat.sources.scratch import warehouse_path
 #: Versions that stay, the current one included.
 KEEP = 2
 _VERSION = "__v"
+#: How the catalog shows a partition of NULLs (fixed value).
+_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None,
@@ -69,6 +71,27 @@ def replace_parts(df: DataFrame, name: str, path: str | None = None, rebalance:
     return publish(spark, name, schema, folder, parts, fmt, shared=True, keep=keep, older_than=older_than)
 
 
+#: Column that deals rows to the tables of :func:`save_outputs`.
+OUTPUTS = "ingest_output"
+
+
+def save_outputs(df: DataFrame, tables: Mapping[str, tuple[str, Sequence[str]]], partition_by: Sequence[str],
+                 path: str | None = None, fmt: str = "parquet", replace: bool = False, keep: int = KEEP, older_than: float = 0.0) -> list[tuple]:
+    """Several tables from one pass over ``df``: the rows whose ``ingest_output`` is a key of ``tables`` make the
+    table of that name with those columns, partitioned by ``partition_by``.  With ``replace`` each
+    table's partitions that ``df`` holds no rows of stay (:func:`replace_parts`); a partition of which one
+    output has rows is emptied in the others.  Returns the partitions that hold rows."""
+    spark, parts = df.sparkSession, list(partition_by)
+    folder = new_folder(spark, next(iter(tables.values()))[0], path)
+    _write(df, folder, [OUTPUTS, *parts], fmt, False)
+    held = spark.read.format(fmt).schema(df.schema).load(folder).select(*parts).distinct()
+    made = [tuple(r) for r in held.collect()]  # a row per partition written
+    for value, (name, columns) in tables.items():
+        schema = T.StructType([df.schema[c] for c in columns])
+        publish(spark, name, schema, f"{folder}/{OUTPUTS}={value}", parts, fmt, shared=replace, emptied=made, keep=keep, older_than=older_than)
+    return made
+
+
 def new_folder(spark: SparkSession, name: str, path: str | None = None) -> str:
     """A new folder for a version's files, below ``path`` or the warehouse."""
     base = path.rstrip("/") if path else warehouse_path(spark, name.split(".")[-1])
@@ -86,9 +109,10 @@ def _write(df: DataFrame, folder: str, parts: Sequence[str], fmt: str, rebalance
 
 
 def publish(spark: SparkSession, name: str, schema: T.StructType, folder: str, parts: Sequence[str] = (),
-            fmt: str = "parquet", shared: bool = False, keep: int = KEEP, older_than: float = 0.0) -> str:
+            fmt: str = "parquet", shared: bool = False, emptied: Sequence[Sequence] = (),
+            keep: int = KEEP, older_than: float = 0.0) -> str:
     """Make the files in ``folder`` the content of ``name``; with ``shared`` the partitions they
-    do not hold stay as they are.  Returns ``folder``."""
+    do not hold stay as they are, but for those ``emptied``.  Returns ``folder``."""
     old = current_version(spark, name)
     version = f"{name}{_VERSION}{time.time_ns():020d}_{uuid.uuid4().hex[:6]}"
     fields = [f for f in schema.fields if f.name not in parts] + [schema[p] for p in parts]
@@ -96,11 +120,14 @@ def publish(spark: SparkSession, name: str, schema: T.StructType, folder: str, p
     by = f"PARTITIONED BY ({', '.join(map(_quoted, parts))})" if parts else ""
     at = quote_identifier(version)
     try:
+        _make(spark, folder)
         spark.sql(f"CREATE TABLE {at} ({columns}) USING {fmt} {by} LOCATION {_literal(folder)}")
         if parts:
             spark.catalog.recoverPartitions(version)
             if shared and old:
-                own = partition_folders(spark, version)
+                types = [schema[p].dataType for p in parts]
+                texts = [[None if v is None else str(v) for v in values] for values in emptied]
+                own = {*partition_folders(spark, version), *(_spec(parts, values, types) for values in texts)}
                 rest = {spec: where for spec, where in partition_folders(spark, old).items() if spec not in own}
                 if rest:
                     spark.sql(f"ALTER TABLE {at} ADD " + " ".join(f"PARTITION ({spec}) LOCATION {_literal(where)}" for spec, where in rest.items()))
@@ -169,8 +196,8 @@ def partition_folders(spark: SparkSession, table: str) -> dict[str, str]:
     out = {}
     types = {f.name: f.dataType for f in spark.table(table).schema.fields}
     for row in spark.sql(f"SHOW PARTITIONS {quote_identifier(table)}").collect():
-        pairs = [p.partition("=")[::2] for p in row["partition"].split("/")]
-        spec = ", ".join(f"{_quoted(_unescaped(k))} = {_value(_unescaped(v), types[_unescaped(k)])}" for k, v in pairs)
+        pairs = [tuple(map(_unescaped, p.partition("=")[::2])) for p in row["partition"].split("/")]
+        spec = _spec([k for k, _ in pairs], [None if v == _NULL else v for _, v in pairs], [types[k] for k, _ in pairs])
         told = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_identifier(table)} PARTITION ({spec})").collect()
         out[spec] = next(r["data_type"] for r in told if r["col_name"] == "Location")
     return out
@@ -196,8 +223,12 @@ def _unescaped(part: str) -> str:
     return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), part)
 
 
-def _value(text: str, kind: T.DataType) -> str:
-    if text == "__HIVE_DEFAULT_PARTITION__":
+def _spec(parts: Sequence[str], values: Sequence[str | None], types: Sequence[T.DataType]) -> str:
+    return ", ".join(f"{_quoted(p)} = {_value(v, t)}" for p, v, t in zip(parts, values, types))
+
+
+def _value(text: str | None, kind: T.DataType) -> str:
+    if text is None:
         return "null"
     return _literal(text) if isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)) else text
 
@@ -214,20 +245,29 @@ def _shape(spark: SparkSession, version: str | None) -> tuple[T.StructType, list
 def _folders(spark: SparkSession, version: str) -> set[str]:
     """The folders that a version's files are in: its own, or those of its partitions."""
     told = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_identifier(version)}").collect()
-    own = {r["data_type"] for r in told if r["col_name"] == "Location"}
-    partitioned = any(r["col_name"] == "# Partition Information" for r in told)
-    return {_plain(f) for f in (partition_folders(spark, version).values() if partitioned else own)} | ({_plain(f) for f in own} if not partitioned else set())
+    if any(r["col_name"] == "# Partition Information" for r in told):
+        return {_plain(f) for f in partition_folders(spark, version).values()}
+    return {_plain(r["data_type"]) for r in told if r["col_name"] == "Location"}
 
 
 def _plain(uri: str) -> str:
     return re.sub("^file:/+", "/", uri).rstrip("/")
 
 
+def _make(spark: SparkSession, folder: str) -> None:
+    """The folder, if nothing was written to it (an output without rows)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of files written here, on whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(at, True)
-    above = at.getParent()
-    if fs.exists(above) and re.fullmatch("[0-9a-f]{32}", above.getName()) and not any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(above)):
-        fs.delete(above, True)  # a version's folder whose last partition went
+    for _ in range(2):  # a version's folder, or an output's within it, whose last partition went
+        at = at.getParent()
+        made_here = re.fullmatch(f"[0-9a-f]{{32}}|{OUTPUTS}=.*", at.getName())
+        if not made_here or not fs.exists(at) or any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(at)):
+            break
+        fs.delete(at, True)

@@ -39,6 +39,42 @@ def test_job_writes_every_report_equal_to_the_library(spark):
     assert sum(r.rows for r in rej) == 3 * t.count() and all(r.bad_starttime == 0 for r in rej)
 
 
+def test_job_update_rewrites_the_corrected_month_only(spark):
+    """A damaged month corrected, and a new one: equal to a run over all files; other months' files stay."""
+    t = fixtures.trips(spark, SF)
+    base, root = fresh_path(spark, "job-update-feed"), fresh_path(spark, "job-update-table")
+    months = {m: csv_trips.join_path(base, m) for m in ("2013-07", "2013-08", "2013-09", "2013-10")}
+    lines = fixtures.render_damaged_lines(t, "2013-08")
+    for n, m in enumerate(months):
+        if m != "2013-08":
+            part = t.where(f"trip_id % 4 >= {n}")
+            fixtures.render_raw_feed(part, "classic", "iso", m).write.option("header", True).csv(months[m])
+    lines.write.option("header", True).option("sep", "\u0001").csv(months["2013-08"])
+    job, table = _job(), "cyclestat_job_update"
+    job.run(spark, [months[m] for m in ("2013-07", "2013-08", "2013-09")], table, root, fresh_path(spark, "job-update-1"), ["station_uses"])
+    assert spark.table(f"{table}_rejects").count() > 0 and spark.table(f"{table}_rejects").select("feed_month").distinct().count() == 1
+
+    def files(month):
+        return {f: os.stat(f).st_mtime_ns for n in (table, f"{table}_path_facts", f"{table}_time_facts")
+                for f in (p.removeprefix("file:").replace("///", "/") for p in spark.table(n).where(f"feed_month = '{month}'").inputFiles())}
+
+    before = {m: files(m) for m in ("2013-07", "2013-08", "2013-09")}
+    fixed = csv_trips.join_path(base, "fixed/2013-08")
+    fixtures.render_raw_feed(t.where("trip_id % 3 > 0"), "classic", "iso", "2013-08").write.option("header", True).csv(fixed)
+    out = fresh_path(spark, "job-update-2")
+    names = job.run(spark, [fixed, months["2013-10"]], table, root, out, rejects=True, update=True)
+    assert all(files(m) == before[m] for m in ("2013-07", "2013-09")) and not set(files("2013-08")) & set(before["2013-08"])
+    assert spark.table(f"{table}_rejects").count() == 0  # the corrected month's rejects went with it
+    whole = csv_trips.read_trip_csvs(spark, [months["2013-07"], fixed, months["2013-09"], months["2013-10"]])
+    got = spark.table(table).drop("source_file", "feed_month")
+    assert got.count() == whole.count() and got.exceptAll(whole.select(*got.columns)).count() == 0
+    for name in names:  # every report from merged parts equals the direct one
+        merged, want = spark.read.parquet(csv_trips.join_path(out, name)), reports.ON_TRIPS[name](whole)
+        assert merged.count() == want.count() and merged.exceptAll(want.select(*merged.columns)).count() == 0, name
+    one = spark.table(table).where("feed_month = '2013-10'")
+    assert all("feed_month=2013-10" in f for f in one.inputFiles())
+
+
 def test_job_command_line(spark):
     t = fixtures.trips(spark, SF)
     d = csv_trips.join_path(fresh_path(spark, "job-cli-feed"), "2013-07")

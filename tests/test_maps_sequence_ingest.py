@@ -167,8 +167,21 @@ def test_csv_lines_that_do_not_fit_are_kept_apart_and_counted(spark):
     want = {"rows": 5, "malformed": 2, "bad_starttime": 1, "bad_stoptime": 0, "bad_start_station_latitude": 1,
             "bad_start_station_longitude": 0, "bad_end_station_latitude": 0, "bad_end_station_longitude": 0}
     assert ingest.rejects(raw, malformed=csv_trips.MALFORMED).first().asDict() == want
-    flagged = ingest.count_flags(ingest.repair_with_flags(raw, csv_trips.MALFORMED), "source_file").first().asDict()
-    assert {k: v for k, v in flagged.items() if k != "source_file"} == want
+    rows = ingest.split_rows(raw, csv_trips.MALFORMED, always=("source_file",))
+    kept, rejected = rows.where("ingest_output = 'trips'"), rows.where("ingest_output = 'rejects'")
+    counted = ingest.reject_counts(kept, rejected, "source_file").first().asDict()
+    assert {k: v for k, v in counted.items() if k != "source_file"} == want
+    assert kept.count() == 3 and kept.where("starttime IS NULL").count() == 1
+    assert sorted((r.reject_reason, r.reject_text) for r in rejected.collect()) == sorted(
+        [("malformed", short), ("malformed", long_), ("start_station_latitude", "n/a"), ("starttime", "1/2/3/2015 10:00")])
+
+
+def test_feed_month_from_both_naming_styles(spark):
+    paths = {"s3a://b/2013-07%20-%20Citi%20Bike%20trip%20data.csv": "2013-07", "s3a://b/201701-citibike-tripdata.csv": "2017-01",
+             "file:/x/2014-01/part-00000-abc.csv": "2014-01", "file:/x/201502-a.csv/part-00001-2.snappy.csv": "2015-02",
+             "file:/1999-01/trips.csv": "unknown", "file:/x/20150203.csv": "unknown"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", csv_trips.feed_month("p").alias("m"))
+    assert {r.p: r.m for r in df.collect()} == paths
 
 
 @pytest.mark.parametrize("header", ["extra," + HEADER, HEADER + ",extra", HEADER.rsplit(",", 1)[0],
