@@ -11,17 +11,21 @@ or ``main`` element: a kind of tag (its name with its first class) costs
 of marked content.  A kind that was seen outside ``least`` times or more and never inside
 content, nor around it, is furniture if it has a class: its elements leave the sequence with all they hold.  So do
 elements that HTML defines or names for such uses (menus, headers and footers of the page,
-forms, scripts, adverts, notices, reader comments).  A name counts if a class, id or role as a
-whole gives it (``sidebar``, ``site-footer``), not if it says something of the element's content
-(``has-sidebar``, ``share-page``); such elements only cost more.  A named element stays where it
+forms, scripts, adverts, notices, reader comments).  A name counts if a class, id or role
+consists of such words and of words of place (``sidebar``, ``site-footer``), not if it says something else as well
+(``has-sidebar``, ``market-share``); such elements only cost more.  A named element or a form stays where it
 holds a ``main``, or an ``article`` while no article would stay otherwise, or was learned to lie
-around content; and where nothing would be left of a page, names are not used on it.  Apart from
-that, and from a ``header`` within an ``article``, which belongs to it, the marks of the labelled
-pages are not used when text is extracted.
+around content; a form also where it holds most of the page's words; and where nothing would be left of a page,
+names and forms are not used on it.
+
+Where the best stretch lies for the most part in an ``article`` or ``main``, the content is the smallest such element as
+a whole, so that a list at its end or a run of links in its middle does not cut it.
 
 Broken markup: comments, tags and raw text that never end take the rest of the page; end tags
 without a start are ignored; an end tag closes what is open inside its element.  A null or
-empty page, or one without words, has the text "".  Pages are independent of each other.
+empty page, or one without words, has the text "".  Of equal stretches the first and shortest is
+taken.  Pages are independent of each other, repeated ones get equal texts; an empty table gives
+none.  Pages are read whole, whatever their length.  ``text`` may not be the name of a column that is kept.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - frozenset("body head html td th tr tbody thead tfoot caption li dd dt".split())
 _SELF_ENDING = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FURNITURE = frozenset(
-    "head script style noscript template iframe object embed svg canvas audio video map nav aside footer form button select option"
+    "head script style noscript template iframe object embed svg canvas audio video map nav aside footer button select option"
     " textarea input label dialog menu title".split()
 )
 _CONTENT = ("article", "main")
@@ -61,13 +65,13 @@ _NAMED = frozenset(
     " respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
-#: Words that make a name a statement on what the element has or shows.
-_STATES = frozenset("has have no non not with without is are hide show".split())
+#: Words of place and form, which may stand beside a word above in a name of furniture.
+_PLACES = frozenset("site global top bottom left right inner outer box block area wrapper container list item items body primary secondary".split())
 _NAMED_COST = 5.0
 
 _COMMENT_END = re.compile(r"--!?>")
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-zA-Z]+")
 
 
@@ -111,15 +115,16 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
                 at = end.start() if end else n
 
 
+_FORM = re.compile("<form", re.I)
 _TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 
 
 def names_furniture(token: str) -> int:
-    """2: the token names furniture as a whole; 1: a word of it does; 0: none."""
+    """2: the token names furniture as a whole; 1: a word of it does, beside others; 0: none."""
     words = _NAME.findall(token)
     if _NAMED.isdisjoint(words):
         return 0
-    return 2 if _NAMED.issuperset(words) or (words[-1] in _NAMED and _STATES.isdisjoint(words)) else 1
+    return 2 if all(w in _NAMED or w in _PLACES for w in words) else 1
 
 
 def kind_of(name: str, attributes: str) -> tuple[str, int]:
@@ -175,29 +180,40 @@ class Walk:
         return any(e[0] in names for e in self.stack)
 
 
-def is_furniture(walk: Walk, name: str, named: int) -> bool:
-    """Whether HTML defines an element for such use, or its class, id or role names it so."""
+def is_furniture(walk: Walk, name: str, named: int, kept: bool = False) -> bool:
+    """Whether HTML defines an element for such use, or its class, id or role names it so.  A form
+    is, unless it is ``kept`` (a page's content may lie in one)."""
     if name == "header" and not walk.inside(*_CONTENT):
         return True
+    if name == "form":
+        return not kept
     return name in _FURNITURE or (named == 2 and name not in ("html", "body", *_CONTENT))
 
 
 def surrounding(page: str) -> set[int]:
-    """Places, among the page's start tags, of named elements that hold its content's mark."""
+    """Places, among the page's start tags, of named elements and forms that hold its content's mark,
+    and of forms that hold most of its words."""
     walk, at, held = Walk(), -1, {c: [] for c in _CONTENT}
+    words, in_form = 0, Counter()
+    counts = _FORM.search(page) is not None
     for what, name, text in scan(page):
         if what == "close":
             walk.end(name)
+        elif what == "text":
+            if counts and not walk.dropped:
+                n = len(text.split())
+                words += n
+                in_form.update({e[3]: n for e in walk.stack if e[0] == "form"})
         elif what == "open":
             at += 1
             walk.implied(name)
             kind, named = kind_of(name, text)
-            defined = is_furniture(walk, name, 0)
+            defined = is_furniture(walk, name, 0, kept=True)
             if not walk.dropped and (name == "main" or (name == "article" and not named)):
                 held[name].append({e[3] for e in walk.stack if e[3] is not None})
             walk.open(name, kind, defined, at if not defined and is_furniture(walk, name, named) else None)
     articles = [] if set() in held["article"] else held["article"]
-    return set().union(*held["main"], *articles)
+    return set().union(*held["main"], *articles, (f for f, n in in_form.items() if 2 * n > words))
 
 
 def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
@@ -213,7 +229,7 @@ def tag_counts(page: str) -> dict[str, tuple[int, int, int]] | None:
             at += 1
             walk.implied(name)
             kind, named = kind_of(name, text)
-            drop, inside = is_furniture(walk, name, 0 if at in kept else named), walk.inside(*_CONTENT)
+            drop, inside = is_furniture(walk, name, 0 if at in kept else named, at in kept), walk.inside(*_CONTENT)
             if name in _CONTENT and not inside and not walk.dropped:
                 marks += 1
                 for e in walk.stack:
@@ -242,14 +258,18 @@ class Extractor:
         cost = self.cost.get(kind, self.cost.get(name, 1.0))
         return max(cost, _NAMED_COST) if named and kind not in self.cost and name not in ("html", "body", *_CONTENT) else cost
 
-    def sequence(self, page: str, names: bool = True) -> list[tuple[str, object]]:
-        """Text runs ``("text", str)`` and tags ``("tag", (cost, ends a block))`` outside furniture.
+    def sequence(self, page: str, names: bool = True) -> tuple[list[tuple[str, object]], list[tuple[int, int]]]:
+        """Text runs ``("text", str)`` and tags ``("tag", (cost, ends a block))`` outside furniture,
+        and where in them each ``article`` or ``main`` begins and ends.
 
-        Without ``names``, what a class, id or role names costs more but is not furniture.
+        Without ``names``, what a class, id or role names costs more but is not furniture, nor are forms.
         """
-        walk, out, at = Walk(), [], -1
+        walk, out, at, spans = Walk(), [], -1, []
         kept = surrounding(page) if names else set()
 
+        def ended(gone: list[list]) -> None:
+            spans.extend((e[4], len(out)) for e in gone if len(e) > 4)
+
         def tag(name: str, kind: str, named: int) -> None:
             if not walk.dropped:
                 out.append(("tag", (self.price(name, kind, named), name in _BLOCK, name == "br")))
@@ -260,25 +280,29 @@ class Extractor:
                     out.append(("text", html.unescape(text)))
             elif what == "open":
                 at += 1
-                walk.implied(name)
+                ended(walk.implied(name))
                 kind, named = kind_of(name, text)
                 trusted = names and at not in kept and kind not in self.around
-                drop = is_furniture(walk, name, named if trusted else 0) or (kind in self.furniture and (names or not named))
+                drop = is_furniture(walk, name, named if trusted else 0, not names or at in kept) or (kind in self.furniture and (names or not named))
                 if drop and not walk.dropped:
                     out.append(("tag", (0.0, name in _BLOCK, False)))
                 elif not drop:
                     tag(name, kind, named)
                 walk.open(name, kind, drop, 0 if drop else named)
+                if name in _CONTENT and not walk.dropped:
+                    walk.stack[-1].append(len(out))
             else:
                 gone = walk.end(name)
+                ended(gone)
                 if gone:
                     tag(name, gone[0][1], gone[0][3])
-        return out
+        ended(walk.close_to(0))
+        return out, spans
 
     def text(self, page: str | None) -> str:
-        return self.best(self.sequence(page or "")) or self.best(self.sequence(page or "", names=False))
+        return self.best(*self.sequence(page or "")) or self.best(*self.sequence(page or "", names=False))
 
-    def best(self, items: list[tuple[str, object]]) -> str:
+    def best(self, items: list[tuple[str, object]], spans: list[tuple[int, int]]) -> str:
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
         for i, (what, value) in enumerate(items):
             if total <= 0.0:
@@ -286,6 +310,7 @@ class Extractor:
             total += len(value.split()) if what == "text" else -value[0]
             if total > best:
                 best, best_at = total, (start, i + 1)
+        best_at = _whole(items, best_at, spans)
         blocks, block = [], []
         for what, value in [*items[slice(*best_at)], ("tag", (0.0, True, False))]:
             if what == "text":
@@ -299,6 +324,19 @@ class Extractor:
         return "\n\n".join(blocks)
 
 
+def _whole(items: list[tuple[str, object]], region: tuple[int, int], spans: list[tuple[int, int]]) -> tuple[int, int]:
+    """The smallest ``article`` or ``main`` that holds most of the region's words, else the region."""
+    if not spans:
+        return region
+    words = [0]
+    for what, value in items:
+        words.append(words[-1] + (len(value.split()) if what == "text" else 0))
+    here = words[region[1]] - words[region[0]]
+    shared = lambda a, b: words[max(a, min(b, region[1]))] - words[max(a, min(b, max(a, region[0])))]
+    holders = [s for s in spans if 2 * shared(*s) > here]
+    return min(holders, key=lambda s: words[s[1]] - words[s[0]]) if holders else region
+
+
 # -- tasks ------------------------------------------------------------------------
 
 
@@ -317,6 +355,11 @@ def count_tags(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _fitted: dict[str, Extractor] = {}
 
 
+def release() -> None:
+    """Let go the fitted model."""
+    _fitted.clear()
+
+
 def extract_pages(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     name, kinds, least = model.value
     if name not in _fitted:
@@ -331,16 +374,13 @@ def extract_pages(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.Record
 # -- the operator -----------------------------------------------------------------
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 20_000, kinds: int = 20_000, least: int = 20):
-    """A broadcast model from the labelled pages among ``sample_rows`` pages (on average, by a hash).
+def fit(pages: DataFrame, html_col: str = "html", kinds: int = 20_000, least: int = 20):
+    """A broadcast model from all labelled pages.
 
-    The ``kinds`` most frequent kinds of tags are learned; others cost as their name does.
+    The ``kinds`` most frequent kinds of tags are learned, which bounds what is broadcast; others
+    cost as their name does.
     """
-    total = pages.count()
-    rows = pages.select(F.col(html_col).alias("html"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("draw"))
-    if total > sample_rows:
-        rows = rows.where(F.col("draw") < int((1 << 30) * sample_rows / total))
-    counted = rows.select("html").mapInArrow(in_task("htmltext", "count_tags"), "kind string, inside long, around long, outside long")
+    counted = pages.select(F.col(html_col).alias("html")).mapInArrow(in_task("htmltext", "count_tags"), "kind string, inside long, around long, outside long")
     sums = counted.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("inside", "around", "outside")))
     top = sums.orderBy(F.desc(F.col("inside") + F.col("around") + F.col("outside")), "kind").limit(kinds).collect()
     table = {r["kind"]: (r["inside"], r["around"], r["outside"]) for r in top}

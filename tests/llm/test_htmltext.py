@@ -97,6 +97,51 @@ def test_named_elements_beside_the_content():
     assert learned.text('<div class="widget"><p>one two three</p></div><p>x</p>').startswith("one two three")
 
 
+KINDS = {"p": (9, 0, 0), "article": (0, 9, 0), "li": (1, 0, 50), "a": (1, 0, 50), "ul": (1, 0, 50), "div": (9, 9, 3), "h1": (9, 0, 0)}
+
+
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_a_page_within_a_form(mark):
+    kinds = htmltext.Extractor(KINDS, 5)
+    body = f'<nav>menu</nav><{mark}><p>one two three four</p><p>five six seven eight</p></{mark}>'
+    controls = '<input name="__VIEWSTATE"><label>Search</label><button>Go</button>'
+    want = "one two three four\n\nfive six seven eight"
+    assert kinds.text(f'<body><form id="aspnetForm">{controls}{body}</form></body>') == want
+    assert kinds.text(f'<body><form id="f">{controls}{body}</form><footer>all rights</footer><div><p>x</p></div></body>').startswith(want)
+    # A form beside the content, or within it, is furniture.
+    assert kinds.text(f"<body><form><p>Sign up here</p>{controls}</form>{body}</body>") == want
+    assert kinds.text(f"<body>{body.replace('</p><p>', '</p><form><p>Sign up</p></form><p>')}</body>") == want
+
+
+@pytest.mark.parametrize("tag", ['p class="market-share"', 'div class="story-notice"', 'section data-id="comments"', 'p data-role="menu"', 'p class="no-ads"'])
+def test_names_that_say_something_else_drop_nothing(tag):
+    kinds = htmltext.Extractor(KINDS, 5)
+    html = f"<article><p>one two three</p><{tag}>four five six</{tag.split()[0]}><p>seven eight</p></article>"
+    assert kinds.text(html) == "one two three\n\nfour five six\n\nseven eight"
+
+
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_an_article_is_taken_whole(mark):
+    kinds = htmltext.Extractor({**KINDS, "span": (0, 0, 90)}, 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    links = "<ul>" + "".join(f"<li><a>l{i}</a></li>" for i in range(30)) + "</ul>"
+    blocks = "\n\n".join(f"l{i}" for i in range(30))
+    menu = "<ul>" + "<li><a>menu</a></li>" * 9 + "</ul>"
+    assert kinds.text(f"{menu}<{mark}><p>{text}</p>{links}</{mark}>{menu}") == f"{text}\n\n{blocks}"
+    assert kinds.text(f"{menu}<{mark}><h1>title</h1><p>{text}</p>{links}<p>the tail</p></{mark}>{menu}") == f"title\n\n{text}\n\n{blocks}\n\nthe tail"
+    # Of several, the one that holds the best stretch.
+    assert kinds.text(f"<article><p>teaser one</p></article>{menu * 3}<article><p>{text}</p>{links}</article>") == f"{text}\n\n{blocks}"
+
+
+def test_every_labelled_page_is_counted(spark):
+    """A sidebar seen a hundred times is furniture however many pages there are."""
+    plain = "<article><p>one two three</p></article>"
+    rows = [(i, plain + ('<div class="box x9">here is more to read on this page today</div>' if i % 60 == 0 else "")) for i in range(6_000)]
+    table = spark.createDataFrame(rows, "page_id long, html string").repartition(8)
+    kinds = htmltext.Extractor(*htmltext.fit(table).value[1:])
+    assert "div.box" in kinds.furniture
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "u", "")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
