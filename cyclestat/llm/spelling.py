@@ -74,7 +74,8 @@ def rotations(vocabulary: DataFrame) -> DataFrame:
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
     """``word, n_near, near_n, near``: how many near words, and the best, of words that have one."""
-    rows = rotations(vocabulary).withColumn("best", F.struct((-F.col("n")).alias("m"), "word"))
+    n = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few files of words are many rotations
+    rows = rotations(vocabulary.repartition(n, "word")).withColumn("best", F.struct((-F.col("n")).alias("m"), "word"))
     key = Window.partitionBy("key")
     ranked = key.orderBy("best")
     all_ranked = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
