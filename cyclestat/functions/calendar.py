@@ -37,9 +37,24 @@ def epoch_seconds(ts: str | Column) -> Column:
     return F.unix_timestamp(as_col(ts))
 
 
-def trip_length_seconds(start: str | Column, stop: str | Column) -> Column:
-    """Difference of whole epoch seconds; negative and zero lengths pass."""
-    return epoch_seconds(stop) - epoch_seconds(start)
+def epoch_seconds_in(ts: str | Column, zone: str) -> Column:
+    """Whole epoch seconds (floor) at which clocks in ``zone`` show ``ts``.
+
+    A time shown twice, when clocks go back, is its first showing; one that is skipped, when
+    they go forward, is taken by the clock from before the change.
+    """
+    return epoch_seconds(F.convert_timezone(F.lit(zone), F.lit("UTC"), as_col(ts)))
+
+
+def trip_length_seconds(start: str | Column, stop: str | Column, zone: str | None = None) -> Column:
+    """Difference of whole epoch seconds; negative and zero lengths pass.
+
+    Without ``zone`` times are read off the wall clock, so a trip over a clock change is an hour off; with
+    it, times are clock times of that zone and the length is the time that passed.
+    """
+    if zone is None:
+        return epoch_seconds(stop) - epoch_seconds(start)
+    return epoch_seconds_in(stop, zone) - epoch_seconds_in(start, zone)
 
 
 def _is_weekend_day(ts: Column) -> Column:
@@ -47,22 +62,22 @@ def _is_weekend_day(ts: Column) -> Column:
 
 
 def is_weekday_trip(start: str | Column = S.STARTTIME, stop: str | Column = S.STOPTIME,
-                    max_seconds: int = S.MAX_TRIP_SECONDS) -> Column:
-    """At most ``max_seconds`` long (inclusive) and both ends on Mon-Fri.
+                    max_seconds: int = S.MAX_TRIP_SECONDS, zone: str | None = None) -> Column:
+    """At most ``max_seconds`` long (inclusive; in ``zone``, if given) and both ends on Mon-Fri.
 
     A NULL time gives NULL, which a filter drops.  Fri->Sat and Sun->Mon
     trips are in neither the weekday nor the weekend set.
     """
     a, b = as_col(start), as_col(stop)
-    return ((trip_length_seconds(a, b) <= max_seconds)
+    return ((trip_length_seconds(a, b, zone) <= max_seconds)
             & ~_is_weekend_day(a) & ~_is_weekend_day(b))
 
 
 def is_weekend_trip(start: str | Column = S.STARTTIME, stop: str | Column = S.STOPTIME,
-                    max_seconds: int = S.MAX_TRIP_SECONDS) -> Column:
-    """At most ``max_seconds`` long (inclusive) and both ends on Sat/Sun."""
+                    max_seconds: int = S.MAX_TRIP_SECONDS, zone: str | None = None) -> Column:
+    """At most ``max_seconds`` long (inclusive; in ``zone``, if given) and both ends on Sat/Sun."""
     a, b = as_col(start), as_col(stop)
-    return ((trip_length_seconds(a, b) <= max_seconds)
+    return ((trip_length_seconds(a, b, zone) <= max_seconds)
             & _is_weekend_day(a) & _is_weekend_day(b))
 
 

@@ -76,6 +76,30 @@ class LambertConformalConic:
         theta = c["n"] * (math.radians(lon) - c["lon0_rad"])
         return (rho * math.sin(theta) + c["fe"], c["rho0"] - rho * math.cos(theta) + c["fn"])
 
+    def unproject_point(self, x: float, y: float) -> tuple[float, float]:
+        """Longitude and latitude of a projected point (Snyder's eqs. 15-11, 7-9 by iteration)."""
+        c = self.constants
+        east, north = x - c["fe"], c["rho0"] - (y - c["fn"])
+        t = (math.hypot(east, north) / c["aF"]) ** (1 / c["n"])
+        phi = math.pi / 2 - 2 * math.atan(t)
+        for _ in range(12):
+            es = c["e"] * math.sin(phi)
+            phi = math.pi / 2 - 2 * math.atan(t * ((1 - es) / (1 + es)) ** (c["e"] / 2))
+        return math.degrees(math.atan2(east, north) / c["n"] + c["lon0_rad"]), math.degrees(phi)
+
+    def degree_box(self, x_range: tuple[float, float], y_range: tuple[float, float],
+                   margin: float = 1e-6) -> tuple[tuple[float, float], tuple[float, float]]:
+        """The least ranges of longitude and latitude that hold a projected rectangle, and ``margin`` degrees more.
+
+        Longitude follows the angle at the cone's point, which is extreme in corners; latitude
+        falls with the distance from that point, which is extreme in corners or, where the
+        central meridian crosses the rectangle, on it.
+        """
+        xs = [*x_range, min(max(self.false_easting, x_range[0]), x_range[1])]
+        points = [self.unproject_point(x, y) for x in xs for y in y_range]
+        lons, lats = zip(*points)
+        return (min(lons) - margin, max(lons) + margin), (min(lats) - margin, max(lats) + margin)
+
     def _rho_theta(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         c = self.constants
         phi = F.radians(lat)

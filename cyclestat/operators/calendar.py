@@ -9,20 +9,23 @@ from cyclestat import schema as S
 from cyclestat.functions.calendar import (
     day_label,
     epoch_seconds,
+    epoch_seconds_in,
     is_weekday_trip,
     is_weekend_trip,
 )
 
 
-def with_trip_calendar(trips: DataFrame) -> DataFrame:
+def with_trip_calendar(trips: DataFrame, zone: str | None = None) -> DataFrame:
     """Add ``start_dayofweek``/``stop_dayofweek`` (``Sun``..``Sat``),
     ``starttime_unix``/``stoptime_unix`` (whole seconds) and
-    ``trip_length_sec`` (their difference)."""
+    ``trip_length_sec`` (their difference): of the wall clock, or of clocks in ``zone``
+    (:func:`cyclestat.functions.calendar.trip_length_seconds`)."""
+    seconds = (lambda c: epoch_seconds_in(c, zone)) if zone else epoch_seconds
     return trips.withColumns({
         "start_dayofweek": day_label(S.STARTTIME),
         "stop_dayofweek": day_label(S.STOPTIME),
-        "starttime_unix": epoch_seconds(S.STARTTIME),
-        "stoptime_unix": epoch_seconds(S.STOPTIME),
+        "starttime_unix": seconds(S.STARTTIME),
+        "stoptime_unix": seconds(S.STOPTIME),
     }).withColumn("trip_length_sec", F.col("stoptime_unix") - F.col("starttime_unix"))
 
 
@@ -35,13 +38,13 @@ def with_start_month(trips: DataFrame, name: str = "start_month") -> DataFrame:
     return trips.withColumn(name, month)
 
 
-def weekday_trips(trips: DataFrame, max_seconds: int = S.MAX_TRIP_SECONDS) -> DataFrame:
+def weekday_trips(trips: DataFrame, max_seconds: int = S.MAX_TRIP_SECONDS, zone: str | None = None) -> DataFrame:
     """Trips of at most ``max_seconds`` (inclusive) starting and ending Mon-Fri,
     with the calendar columns."""
-    return with_trip_calendar(trips).where(is_weekday_trip(max_seconds=max_seconds))
+    return with_trip_calendar(trips, zone).where(is_weekday_trip(max_seconds=max_seconds, zone=zone))
 
 
-def weekend_trips(trips: DataFrame, max_seconds: int = S.MAX_TRIP_SECONDS) -> DataFrame:
+def weekend_trips(trips: DataFrame, max_seconds: int = S.MAX_TRIP_SECONDS, zone: str | None = None) -> DataFrame:
     """Trips of at most ``max_seconds`` (inclusive) starting and ending Sat/Sun,
     with the calendar columns."""
-    return with_trip_calendar(trips).where(is_weekend_trip(max_seconds=max_seconds))
+    return with_trip_calendar(trips, zone).where(is_weekend_trip(max_seconds=max_seconds, zone=zone))

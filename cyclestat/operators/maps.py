@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
-from cyclestat.functions.geo import LONG_ISLAND_FEET, LambertConformalConic, in_viewport, interpolate
+from cyclestat.functions.geo import LONG_ISLAND_FEET, VIEWPORT_X, VIEWPORT_Y, LambertConformalConic, in_viewport, interpolate
 from cyclestat.plans.topk import ranked_top_k
 
 
@@ -45,6 +45,18 @@ def project_paths(paths: DataFrame, decimals: int | None = None) -> DataFrame:
     return with_projection(out, S.END_LON, S.END_LAT, "end_x_ft", "end_y_ft", decimals=decimals)
 
 
+def trips_in_viewport(trips: DataFrame, lon: str = S.START_LON, lat: str = S.START_LAT,
+                      x_range=VIEWPORT_X, y_range=VIEWPORT_Y, proj: LambertConformalConic = LONG_ISLAND_FEET) -> DataFrame:
+    """Rows whose point (``lon``, ``lat``) lies in the map window, by default trips by their start.
+
+    The window is a rectangle of projected feet.  A box of degrees that holds it goes before the exact
+    test: plain comparisons of the two columns, which a scan can use to skip files and row groups.
+    """
+    (lon_least, lon_most), (lat_least, lat_most) = proj.degree_box(x_range, y_range)
+    near = F.col(lon).between(lon_least, lon_most) & F.col(lat).between(lat_least, lat_most)
+    return trips.where(near).where(in_viewport(proj.x(lon, lat), proj.y(lon, lat), x_range, y_range))
+
+
 def stations_in_viewport(stations: DataFrame, x: str = "x_ft", y: str = "y_ft") -> DataFrame:
     """Rows whose projected point lies in the map window (closed box)."""
     return stations.where(in_viewport(x, y))

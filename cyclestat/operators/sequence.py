@@ -4,16 +4,17 @@
 task.  ``with_next`` gives the same answer with one plan for all data:
 
 1. rows are cut into chunks of the key by a column that rises with the order
-   (here: the calendar day of a time stamp), a fixed unit whatever the data;
-2. the first row of each chunk is an aggregate, combined before its shuffle;
-   ``lead`` over the chunks of a key hands each chunk the next one's first row
-   (a row per key and chunk, not per row);
-3. that row is appended to its chunk as an end mark, and one ``lead`` within
-   (key, chunk) finds every next row; the marks are dropped.
-
-So a key's rows spread over as many tasks as it has chunks, nothing is
-measured or written when the plan is made, and no join is needed.  NULL keys
-form one key, as in SQL window partitions; a NULL chunk comes first.
+   (here: the calendar day of a time stamp), a fixed unit whatever the data, and
+   dealt by (key, chunk): one exchange of the rows;
+2. one window within (key, chunk) finds every next row but that of a chunk's last;
+3. the first and last row of each chunk, two rows however many it holds, meet
+   by key, where a last row's next is the first of the key's next chunk.
+
+Steps 2 and 3 read the same exchange, so the input is scanned once and its rows
+shuffled once; the ends of the chunks are the second, small shuffle.  A key's rows
+spread over as many tasks as it has chunks, nothing is measured or written when
+the plan is made, and there is no join.  NULL keys form one key, as in SQL
+window partitions; a NULL chunk comes first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK, _HEAD, _MARK = "_seq_chunk", "_seq_head", "_seq_mark"
+_CHUNK, _FIRST, _MORE = "_seq_chunk", "_seq_first", "_seq_more"
 
 
 def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str],
@@ -36,21 +37,14 @@ def with_next(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str
     Output keeps all input columns; row order and partitioning of the output
     are unspecified.
     """
-    cols = df.columns
-    needed = list(dict.fromkeys([*order, *carry]))
-    rows = df.withColumn(_CHUNK, chunk)
-    heads = rows.groupBy(key, _CHUNK).agg(F.min(F.struct(*needed)).alias(_HEAD))
-    of_key = Window.partitionBy(key).orderBy(F.col(_CHUNK).asc_nulls_first())
-    following = heads.select(key, _CHUNK, F.lead(_HEAD).over(of_key).alias(_HEAD)).where(F.col(_HEAD).isNotNull())
-
-    def of_mark(c: str) -> Column:
-        if c == key:
-            return F.col(key)
-        value = F.col(_HEAD)[c] if c in needed else F.lit(None)
-        return value.cast(df.schema[c].dataType).alias(c)
-
-    marks = following.select(*[of_mark(c) for c in cols], _CHUNK, F.lit(1).alias(_MARK))
-    both = rows.withColumn(_MARK, F.lit(0)).unionByName(marks)
-    of_chunk = Window.partitionBy(key, _CHUNK).orderBy(_MARK, *[F.col(o).asc_nulls_first() for o in order])
-    nexts = [F.lead(c).over(of_chunk).alias(prefix + c) for c in carry]
-    return both.select(*cols, _MARK, *nexts).where(F.col(_MARK) == 0).drop(_MARK)
+    cols, names = df.columns, [prefix + c for c in carry]
+    by_order = [F.col(o).asc_nulls_first() for o in order]
+    of_chunk = Window.partitionBy(key, _CHUNK).orderBy(*by_order)
+    within = df.withColumn(_CHUNK, chunk).select(
+        *cols, _CHUNK, F.row_number().over(of_chunk).alias(_FIRST), F.lead(F.lit(1)).over(of_chunk).alias(_MORE),
+        *[F.lead(c).over(of_chunk).alias(n) for c, n in zip(carry, names)])
+    inner = within.where(F.col(_MORE) == 1).select(*cols, *names)
+    ends = within.where(F.col(_MORE).isNull() | (F.col(_FIRST) == 1))
+    of_key = Window.partitionBy(key).orderBy(F.col(_CHUNK).asc_nulls_first(), *by_order)
+    last = ends.select(*cols, _MORE, *[F.lead(c).over(of_key).alias(n) for c, n in zip(carry, names)])
+    return inner.union(last.where(F.col(_MORE).isNull()).select(*cols, *names))

@@ -258,6 +258,23 @@ SQL: dict[str, str] = {
              round(x_ft, 3) AS x_ft, round(y_ft, 3) AS y_ft FROM proj
       WHERE x_ft BETWEEN {_lit(VIEWPORT_X[0])} AND {_lit(VIEWPORT_X[1])}
         AND y_ft BETWEEN {_lit(VIEWPORT_Y[0])} AND {_lit(VIEWPORT_Y[1])}""",
+    "viewport_start_counts": _with(f"""inside AS (
+        SELECT * FROM trips WHERE {_SX} BETWEEN {_lit(VIEWPORT_X[0])} AND {_lit(VIEWPORT_X[1])}
+          AND {_SY} BETWEEN {_lit(VIEWPORT_Y[0])} AND {_lit(VIEWPORT_Y[1])})""") + """
+      SELECT start_station_name, start_station_longitude, start_station_latitude, COUNT(*) AS count
+      FROM inside GROUP BY ALL""",
+    # Clocks in New York are four hours behind UTC from the spring to the autumn change, else five; a
+    # time shown twice counts as the first showing, a skipped one by the clock from before.
+    "elapsed_lengths": _with(f"""lengths AS (
+        SELECT trip_id, {_secs('starttime')} % 172800 AS sec, {LENGTH} AS wall_sec FROM trips), moved AS (
+        SELECT trip_id, wall_sec, CASE WHEN trip_id % 2 = 0 THEN TIMESTAMP '2024-03-09 00:00:00'
+               ELSE TIMESTAMP '2024-11-02 00:00:00' END + to_seconds(sec) AS starttime
+        FROM lengths WHERE wall_sec BETWEEN 0 AND 172800), ends AS (
+        SELECT *, starttime + to_seconds(wall_sec) AS stoptime FROM moved), behind AS (
+        SELECT *, CASE WHEN starttime >= TIMESTAMP '2024-03-10 03:00:00' AND starttime < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END AS h1,
+               CASE WHEN stoptime >= TIMESTAMP '2024-03-10 03:00:00' AND stoptime < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END AS h2
+        FROM ends)""") + """
+      SELECT trip_id, starttime, stoptime, wall_sec, wall_sec + 3600 * (h2 - h1) AS elapsed_sec FROM behind""",
     "path_kind": _directed_top(None).replace(
         f"SELECT {DKEYS}, COUNT(*) AS count FROM trips",
         f"SELECT {DKEYS}, COUNT(*) AS count, CASE WHEN start_station_name = end_station_name THEN 'loop' "

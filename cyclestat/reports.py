@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclestat import schema as S
+from cyclestat.functions.calendar import epoch_seconds, trip_length_seconds
 from cyclestat.functions.timeparse import LAYOUTS, parse_trip_time, render_trip_time
 from cyclestat.operators import calendar, ingest, maps, paths, stations, usage
 from cyclestat.operators.facts import path_facts
@@ -186,6 +187,11 @@ def stations_in_viewport(t: DataFrame) -> DataFrame:
     return inside.withColumns({c: F.round(c, FEET_DECIMALS) for c in ("x_ft", "y_ft")})
 
 
+def viewport_start_counts(t: DataFrame) -> DataFrame:
+    """Trips per start station within the map window."""
+    return stations.start_station_counts(maps.trips_in_viewport(t))
+
+
 def path_kind(t: DataFrame) -> DataFrame:
     top = paths.directed_paths_top(t, S.TOP_PATHS)
     return top.withColumn("path_kind", maps.path_kind())
@@ -262,6 +268,24 @@ def ingest_time_rejects(spark, d):
     return ingest.time_rejects(ingest.union_positional(raws), group_by="source_month")
 
 
+#: A zone whose clocks change, and the days before its two changes of a year.
+CLOCK_ZONE, CLOCK_CHANGES = "America/New_York", ("2024-03-09 00:00:00", "2024-11-02 00:00:00")
+
+
+def elapsed_lengths(spark, d):
+    """Trips of up to two days moved to the two clock changes of a year, with their length by the wall
+    clock and the time that passed."""
+    t = _trips(spark, d)
+    spring, autumn = (F.lit(x).cast("timestamp_ntz") for x in CLOCK_CHANGES)
+    wall = trip_length_seconds(S.STARTTIME, S.STOPTIME)
+    day = F.when(F.col("trip_id") % 2 == 0, spring).otherwise(autumn)
+    start = day + F.make_dt_interval(days=F.lit(0), secs=(epoch_seconds(S.STARTTIME) % (2 * S.MAX_TRIP_SECONDS)).cast("decimal(18,6)"))
+    moved = t.where(wall.between(0, 2 * S.MAX_TRIP_SECONDS)).select("trip_id", start.alias(S.STARTTIME), wall.alias("wall_sec"))
+    stop = F.col(S.STARTTIME) + F.make_dt_interval(days=F.lit(0), secs=F.col("wall_sec").cast("decimal(18,6)"))
+    moved = moved.withColumn(S.STOPTIME, stop)
+    return moved.select("trip_id", S.STARTTIME, S.STOPTIME, "wall_sec", trip_length_seconds(S.STARTTIME, S.STOPTIME, CLOCK_ZONE).alias("elapsed_sec"))
+
+
 def _own_name(kind: str, d: str) -> str:
     """One stable name per data folder, replaced by each call."""
     return f"cyclestat_{kind}_{hashlib.sha1(d.encode()).hexdigest()[:12]}"
@@ -333,7 +357,7 @@ ON_PATH_FACTS: dict[str, TripReport] = {
         undirected_path_counts, undirected_paths_top100, undirected_path_split, path_coords_top1000,
         path_coords_text_top1000, directed_paths_top1000, directed_paths_wkdy_am, directed_paths_wkdy_pm,
         directed_paths_wknd, directed_paths_by_period, project_stations, project_start_stations,
-        project_end_stations, project_paths, stations_in_viewport, path_kind, path_segments,
+        project_end_stations, project_paths, stations_in_viewport, viewport_start_counts, path_kind, path_segments,
         project_path_coords, period_path_segments, period_scale_limit,
     )
 }
@@ -357,6 +381,7 @@ def _on_derived_trips(fn: TripReport) -> Report:
 
 REPORTS: dict[str, Report] = {
     **{name: _on_derived_trips(fn) for name, fn in ON_TRIPS.items()},
+    "elapsed_lengths": elapsed_lengths,
     "ingest_mixed_timestamps": ingest_mixed_timestamps,
     "ingest_header_normalise": ingest_header_normalise,
     "ingest_header_variants": ingest_header_variants,

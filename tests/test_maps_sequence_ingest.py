@@ -21,6 +21,34 @@ def test_projection_origin_and_column_form_agree(spark):
         assert (r.x, r.y) == pytest.approx(LONG_ISLAND_FEET.project_point(lon, lat), abs=1e-6)
 
 
+@pytest.mark.parametrize("x_range, y_range", [(VIEWPORT_X, VIEWPORT_Y), ((900_000, 980_000), (10, 20)), ((990_000, 2_000_000), (-5e5, 9e5)), ((0, 1), (0, 1))])
+def test_the_box_of_degrees_loses_no_point_of_the_window(x_range, y_range):
+    (w, e), (s, n) = LONG_ISLAND_FEET.degree_box(x_range, y_range, margin=0.0)
+    rnd, steps = random.Random(1), [i / 50 for i in range(51)]
+    points = [(x_range[0] + a * (x_range[1] - x_range[0]), y_range[0] + b * (y_range[1] - y_range[0])) for a in steps for b in steps]
+    points += [(rnd.uniform(*x_range), rnd.uniform(*y_range)) for _ in range(500)]
+    lons, lats = [], []
+    for x, y in points:
+        lon, lat = LONG_ISLAND_FEET.unproject_point(x, y)
+        assert LONG_ISLAND_FEET.project_point(lon, lat) == pytest.approx((x, y), abs=1e-5)
+        assert w - 1e-9 <= lon <= e + 1e-9 and s - 1e-9 <= lat <= n + 1e-9
+        lons.append(lon)
+        lats.append(lat)
+    assert min(lons) == pytest.approx(w) and max(lons) == pytest.approx(e)  # and none larger than need be
+    assert min(lats) == pytest.approx(s) and max(lats) == pytest.approx(n, abs=1e-3)
+
+
+def test_trips_in_viewport_equals_the_exact_test(spark):
+    rnd = random.Random(2)
+    (w, e), (s, n) = LONG_ISLAND_FEET.degree_box(VIEWPORT_X, VIEWPORT_Y)
+    points = [(i, rnd.uniform(w - 0.02, e + 0.02), rnd.uniform(s - 0.02, n + 0.02)) for i in range(4000)] + [(-1, None, 40.7), (-2, -74.0, None)]
+    df = spark.createDataFrame(points, "id long, start_station_longitude double, start_station_latitude double")
+    got = {r.id for r in maps.trips_in_viewport(df).collect()}
+    inside = lambda x, y: VIEWPORT_X[0] <= x <= VIEWPORT_X[1] and VIEWPORT_Y[0] <= y <= VIEWPORT_Y[1]
+    assert got == {i for i, lon, lat in points if None not in (lon, lat) and inside(*LONG_ISLAND_FEET.project_point(lon, lat))}
+    assert 0 < len(got) < 4000
+
+
 def test_viewport_closed_box(spark):
     (x0, x1), (y0, y1) = VIEWPORT_X, VIEWPORT_Y
     pts = [(x0, y0), (x1, y1), (x0 - 0.001, y0), (x1, y1 + 0.001)]

@@ -96,3 +96,25 @@ def test_reports_from_facts_equal_direct_reports(trips, name):
     direct, grouped = fn(trips), fn(facts)
     assert direct.schema == grouped.schema or direct.dtypes == grouped.dtypes
     assert sorted(map(str, direct.collect())) == sorted(map(str, grouped.collect()))
+
+
+def ran(df):
+    """The final plan of a query that has run."""
+    df.collect()
+    return plan(df).split("Initial Plan")[0]
+
+
+def test_trips_are_derived_from_one_scan_and_two_shuffles_of_events(spark):
+    p = ran(fixtures.trips(spark, SF))
+    assert len(re.findall(r"FileScan parquet \[event_id", p)) == 1
+    made = [line for line in p.splitlines() if "ReusedExchange" not in line]
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", "\n".join(made))
+    assert len(shuffles) == 2 and not re.search("SortMergeJoin|ShuffledHashJoin", p)
+    assert sorted("_seq_chunk" in x for x in shuffles) == [False, True]
+
+
+def test_the_map_window_reaches_the_scan(trips):
+    p = plan(reports.ON_TRIPS["viewport_start_counts"](trips))
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", p)[1]
+    for column in ("start_station_longitude", "start_station_latitude"):
+        assert f"GreaterThanOrEqual({column}" in pushed and f"LessThanOrEqual({column}" in pushed

@@ -108,3 +108,28 @@ def test_day_label_null(spark):
     df = spark.createDataFrame([(None,)], "t timestamp_ntz")
     assert df.select(C.day_label("t")).first()[0] is None
     assert df.select(F.dayofweek("t")).first()[0] is None
+
+
+@pytest.mark.parametrize("start, stop, wall, passed", [
+    (T(2024, 3, 10, 1, 30), T(2024, 3, 10, 3, 30), 7200, 3600),    # clocks went forward
+    (T(2024, 3, 10, 1, 30), T(2024, 3, 10, 2, 30), 3600, 3600),    # a time that no clock showed
+    (T(2024, 11, 3, 0, 30), T(2024, 11, 3, 2, 30), 7200, 10800),   # clocks went back
+    (T(2024, 11, 3, 0, 30), T(2024, 11, 3, 1, 30), 3600, 3600),    # shown twice: the first
+    (T(2024, 7, 1), T(2024, 7, 2, 0, 0, 1), 86401, 86401),
+    (T(2024, 11, 2, 23, 30), T(2024, 11, 3, 23, 30), 86400, 90000),
+    (T(2024, 7, 1), None, None, None),
+])
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_length_in_a_zone_is_the_time_that_passed(spark, start, stop, wall, passed, session_zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        df = spark.createDataFrame([(start, stop)], "starttime timestamp_ntz, stoptime timestamp_ntz")
+        r = df.select(C.trip_length_seconds("starttime", "stoptime"), C.trip_length_seconds("starttime", "stoptime", "America/New_York")).first()
+        assert tuple(r) == (wall, passed)
+        row = with_trip_calendar(df, "America/New_York").first()
+        assert row.trip_length_sec == passed
+        if passed == 90000:
+            assert weekend_trips(df).count() == 1 and weekend_trips(df, zone="America/New_York").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
