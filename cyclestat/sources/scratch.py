@@ -8,16 +8,24 @@ On a cluster that is an error, since other machines could not read it.
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One machine runs everything (master ``local``, ``local[n]``, ``local[n,f]``)."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="cyclestat-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
@@ -31,7 +39,12 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def warehouse_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the session's warehouse folder (shared on a cluster)."""
+    """A path under the session's warehouse folder.  On a cluster it must have been set: its default
+    is a folder of the machine the driver runs on."""
+    at = spark.conf.get("spark.sql.warehouse.dir")
+    default = os.path.join(os.getcwd(), "spark-warehouse")
+    if not is_local(spark) and unquote(urlsplit(at).path).rstrip("/") == default and urlsplit(at).scheme in ("", "file"):
+        raise ValueError("set spark.sql.warehouse.dir to a folder that all machines share")
     return "/".join([spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), *parts])
 
 

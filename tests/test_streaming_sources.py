@@ -3,7 +3,7 @@ import threading
 
 import pytest
 
-from cyclestat.sources import csv_trips, fixtures
+from cyclestat.sources import csv_trips, fixtures, scratch
 from cyclestat.sources.scratch import fresh_path
 from cyclestat.sources.tables import drop_table, expire, read_table, replace_parts, save_table, versions
 from cyclestat.operators import stations, usage
@@ -190,3 +190,25 @@ def test_running_reports_equal_batch(spark):
         want = op(batch)
         assert got.count() == want.count()
         assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+class _Session:
+    """What the storage rules look at."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda self: None, "setCheckpointDir": lambda self, d: None})()
+        self.conf = type("Conf", (), {"get": lambda self, k, default=None: conf.get(k, default)})()
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[4]", True), ("local[*,3]", True), ("spark://h:7077", False), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_only_a_local_master_may_use_local_folders(master, local):
+    default = "file:" + os.path.join(os.getcwd(), "spark-warehouse")
+    spark = _Session(master, **{"spark.sql.warehouse.dir": default})
+    assert scratch.is_local(spark) == local
+    if local:
+        assert scratch.warehouse_path(spark, "x") == default + "/x" and scratch.checkpoint_root(spark)
+    else:
+        for use in (scratch.checkpoint_root, scratch.warehouse_path):
+            with pytest.raises(ValueError, match="all machines share"):
+                use(spark)
+        assert scratch.warehouse_path(_Session(master, **{"spark.sql.warehouse.dir": "s3a://b/w/"}), "x") == "s3a://b/w/x"
