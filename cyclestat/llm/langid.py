@@ -26,14 +26,13 @@ their length.  An empty table gives no rows; a model of no rows calls all ``und`
 
 from __future__ import annotations
 
-import re
-import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +40,7 @@ from cyclestat.llm.common import in_task, stored
 from cyclestat.llm.textbytes import batches
 
 UNDETERMINED = "und"
-#: Characters of words that are no letters (numbers that are no digits: fractions, Roman and circled ones).
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 18
