@@ -35,12 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the smallest doc_id (operator 4).
 
     Five words a shingle, similarity 0.8 or more.  Rows that repeat a doc_id are one
-    document, of which one row stays; rows without a doc_id stay.
+    document, of which the row with the least text stays (null last); rows without a doc_id stay.
     """
     found = minhash.NearDuplicates(shingle=5, percent=80).find(docs)
     first = found.where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id")
-    kept = whole.join(first, F.col("doc_id") == F.col("_first")).dropDuplicates(["doc_id"])
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.struct(F.col("text").isNull(), "text").alias("place"))
+    kept = whole.join(first, F.col("doc_id") == F.col("_first")).groupBy("doc_id").agg(F.min_by("doc", "place").alias("doc"))
     return kept.select("doc.*").union(docs.where("doc_id IS NULL"))
 
 
