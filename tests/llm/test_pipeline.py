@@ -132,3 +132,12 @@ def test_empty_table(spark):
         assert out.count() == 0
         if name != "encode":
             docs = stored(out, f"test-empty-{name}")
+
+
+def test_one_row_stays_of_a_repeated_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, b), (5, a), (5, None), (3, "something else that nobody else has written"), (9, b), (7, None), (7, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, None) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, b), (3, rows[3][1]), (7, None), (None, a), (None, a)], key=str)
