@@ -21,7 +21,8 @@ row in a run, and the join of lines with the keys to drop is salted.
 
 A null or empty text is one empty line.  Every row counts as a document of its own;
 among rows that repeat one id, all rows of the largest id keep their lines.  A row with
-a null id counts as the smallest.  Columns of the input with any other name pass through.
+a null id counts as the smallest.  Texts are split whole, whatever their length.  An empty table
+gives an empty one.  Columns of the input pass through under any name but ``_n_lines`` and ``_n_dropped``.
 """
 
 from __future__ import annotations
@@ -156,10 +157,12 @@ def lines_to_drop(keys: DataFrame, min_docs: int = 3, n_batches: int = 4, fanout
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = LineRuns(spark, n, fanout)
     batch = _batches(keys, n_batches)
-    for i in range(n_batches):
-        runs.add(keys.where(batch == i).select("id", "keys"))
-    shared = stored(runs.entries().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "lines-shared")
-    runs.close()
+    try:
+        for i in range(n_batches):
+            runs.add(keys.where(batch == i).select("id", "keys"))
+        shared = stored(runs.entries().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "lines-shared")
+    finally:
+        runs.close()
     shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     lines = keys.select("id", "text_hash", F.posexplode("keys").alias("pos", "key")).where(F.col("key").isNotNull())
     lines = lines.withColumn("salt", F.pmod(F.hash("id", "text_hash"), F.lit(_SALTS)))

@@ -14,7 +14,10 @@ labels (under 144 in the second part, for 4 strata at the given risk and level)
 passes, and nothing is rejected by rules in that stratum.
 
 Null or empty texts have no words: all measures 0.  Rows that repeat an id are measured
-each.  A null stratum is a stratum; one without labels has no cutoffs.
+each.  A null stratum is a stratum; one without labels has no cutoffs.  A ratio equal to a cutoff
+is not above it, so the document stays.  Texts are measured whole, whatever their length: one text's
+words are what a task holds beside its batch.  An empty table has no cutoffs and no rows.  Columns that are
+kept may not bear the names of the measures; others are not looked at.
 """
 
 from __future__ import annotations

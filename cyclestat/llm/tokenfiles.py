@@ -20,7 +20,9 @@ same whole files.  The folder must be one that all machines share and mount, as
 ``spark.checkpoint.dir`` is here (a ``file:`` path).
 
 A null or empty text has the end id alone.  Rows that repeat an id are kept, ordered by
-text; a null id comes first.
+text; a null id comes first.  Texts are encoded whole; one text's ids are what a task holds beside
+its batch.  An empty table makes shards without documents and is read back as no rows.  Only
+the id and the text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

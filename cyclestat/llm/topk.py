@@ -13,6 +13,8 @@ Components are ``floor(scale * x)``.  Vectors that are null or hold null or non-
 components take no part; vectors meet only those of their own length.  A query does not
 meet rows with its own id; rows that repeat another id count each.  Queries that repeat an
 id are one (any of its vectors).  Ties go to the smaller id.  Scores must fit 64 bits.
+An empty table, or one without queries, gives no rows.  Of the table only the id, the vector and
+what the condition names are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
