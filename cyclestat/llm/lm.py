@@ -266,7 +266,7 @@ def score_rows(source: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
     known_log = np.log10(table.counts + 0.5)
     outside = table.classes > table.vocab
     within = np.where(outside, known_log - np.log10(shares_of_class[np.where(outside, table.classes - table.vocab - 1, 0)]), 0.0)
-    for batch in batches(source, "_text"):
+    for batch in batches(source, "_text", 1 << 20):  # a token takes four vectors while it is scored
         ids, edges = token_ids(batch.column("_text"))
         at, classes = table.find(ids)
         one, two = contexts(classes, edges, table.n_classes)
