@@ -39,13 +39,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def warehouse_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the session's warehouse folder.  On a cluster it must have been set: its default
-    is a folder of the machine the driver runs on."""
+    """A path under the session's warehouse folder.  The default of that is a folder of the machine the
+    driver runs on: where a cluster's session left it so, a path under the checkpoint folder, which its
+    machines share, the same for each application."""
     at = spark.conf.get("spark.sql.warehouse.dir")
     default = os.path.join(os.getcwd(), "spark-warehouse")
     if not is_local(spark) and unquote(urlsplit(at).path).rstrip("/") == default and urlsplit(at).scheme in ("", "file"):
-        raise ValueError("set spark.sql.warehouse.dir to a folder that all machines share")
-    return "/".join([spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), *parts])
+        at = f"{checkpoint_root(spark)}/cyclestat/warehouse"
+    return "/".join([at.rstrip("/"), *parts])
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
