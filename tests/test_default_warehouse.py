@@ -27,7 +27,7 @@ def _plain(path):
     return "/" + unquote(urlsplit(path).path).lstrip("/")
 
 
-@pytest.mark.parametrize("name", ["ingest_csv", "ingest_rejects", "trips_table_by_month", "trips_table_ddl"])
+@pytest.mark.parametrize("name", ["ingest_csv", "ingest_rejects", "trips_table_by_month", "trips_table_ddl", "trips_table_roundtrip"])
 def test_files_go_to_the_checkpoint_folder(spark, folder, monkeypatch, name):
     want = _rows(REPORTS[name](spark, folder))
     root = scratch.checkpoint_root(spark)
