@@ -4,6 +4,10 @@ Leaves.  A text falls into chunks (white space, or one optional blank and what i
 white space) that the vocabulary's split never crosses.  A chunk is encoded by the
 tokenizers library once per Python worker and kept, as bytes, in a cache of bounded size.
 
+Columns.  :meth:`Codec.encode_column` takes a whole Arrow column: texts are cut at blanks and equal
+cuts found by Arrow, so that Python sees each distinct one of a batch once; ids are gathered from one
+array.  A text in which blanks stand beside other white space, or with a special token, goes the other way.
+
 Tree.  Texts of more than ``piece`` characters are halved again and again.  The halves
 are rows that Spark deals out and tasks encode in parallel; then the rows of a text are
 joined pairwise.  A cut is put at a change of character class near the middle where the
@@ -26,10 +30,11 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +48,7 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The split of the byte-level vocabularies (fixed pattern).
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SPACE = re.compile(f"[{_WS}]")
+_SPACES = "".join(_SPACE.findall("".join(map(chr, range(0x3001)))))
 
 PIECE = 32768
 _RUN = 2048
@@ -70,6 +76,29 @@ def release() -> None:
     Codec._open.clear()
 
 
+class _Growing:
+    """An array to which is added at the end."""
+
+    def __init__(self, dtype: type) -> None:
+        self._held, self._n = np.zeros(1024, dtype), 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    def add(self, values: np.ndarray) -> None:
+        n = self._n + len(values)
+        if n > len(self._held):
+            self._held = np.concatenate([self._held[: self._n], np.zeros(max(n, n // 2 * 3) - self._n, self._held.dtype)])
+        self._held[self._n : n] = values
+        self._n = n
+
+    def keep(self, n: int) -> None:
+        self._n = n
+
+    def all(self) -> np.ndarray:
+        return self._held[: self._n]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -103,6 +132,8 @@ class Codec:
         self._start = np.concatenate([[0], np.cumsum(self._length)])
         self._bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self._cache: dict[str, bytes] = {}
+        self._words: dict[str, int] = {}
+        self._flat, self._ends = _Growing(np.uint32), _Growing(np.int64)
         self.cached = _CACHED
 
     @staticmethod
@@ -165,6 +196,83 @@ class Codec:
             del self._cache[chunk]
         return out
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; null is an empty text.
+
+        What follows a blank, up to the next one, is a word here.  The split never crosses from a word's
+        blank to what is before it, unless white space stands there or the word is empty or begins with some.
+        """
+        if len(column) == 0:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self._words) + len(self._cache) > self.cached:
+            self._words.clear()
+            self._cache.clear()
+            self._flat.keep(0)
+            self._ends.keep(0)
+        column = pc.fill_null(column, "")
+        apart = np.zeros(len(column), bool)
+        for special in self.special:
+            apart |= pc.match_substring(column, special).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.if_else(pa.array(apart), "", column), " ")
+        heads = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        row = np.repeat(np.arange(len(column)), np.diff(cut.offsets.to_numpy()))
+        coded = cut.values.dictionary_encode()
+        place, word = coded.indices.to_numpy(), coded.dictionary
+        unit = np.fromiter(map(self._words.get, word.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(word))
+        new = np.flatnonzero(unit < 0)
+        missing = word.take(pa.array(new))
+        size = pc.binary_length(missing).to_numpy(zero_copy_only=False)
+        edged = pc.binary_length(pc.utf8_trim(missing, characters=_SPACES)).to_numpy(zero_copy_only=False) < size
+        # Words by which a row cannot be cut: with white space at an end, or empty (but before the first blank).
+        barred, empty = np.zeros((2, len(word)), bool)
+        barred[new], empty[new] = edged, size == 0
+        stops = barred[place] | empty[place]
+        stops[heads] = barred[place[heads]]
+        apart[row[stops]] = True
+        good = np.flatnonzero(~edged & (size > 0))
+        long = pc.utf8_length(missing).to_numpy(zero_copy_only=False)[good] > _CACHED_CHARS
+        kept, rest = good[~long], good[long]
+        unit[new[kept]] = self._add_words(missing.take(pa.array(kept)))
+        self._words.update(zip(missing.take(pa.array(kept)).to_numpy(zero_copy_only=False).tolist(), unit[new[kept]].tolist()))
+        stay = len(self._flat), len(self._ends)
+        unit[new[rest]] = self._add(self.encode([" " + t for t in missing.take(pa.array(rest)).to_pylist()]))
+        texts = word.take(pa.array(place[heads])).to_pylist()
+        for i in np.flatnonzero(apart).tolist():
+            texts[i] = column[i].as_py()
+        units = unit[place]
+        units[heads] = self._add(self.encode(texts))
+        one = np.ones(len(units), bool)
+        one[heads] = False
+        whole = ~(one & apart[row])  # of a text that is encoded whole, its first unit alone
+        units, row = units[whole], row[whole]
+        ends, flat = self._ends.all(), self._flat.all()
+        starts = np.where(units > 0, ends[units - 1], 0)
+        length = ends[units] - starts
+        upto = np.cumsum(length)
+        ids = flat[np.repeat(starts - upto + length, length) + np.arange(upto[-1])]
+        self._flat.keep(stay[0])
+        self._ends.keep(stay[1])
+        return ids, np.bincount(row, length, len(column)).astype(np.int64)
+
+    def _add_words(self, words: pa.Array) -> np.ndarray:
+        """Encode words, each after a blank and many as one text; returns their units."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        texts = words.to_numpy(zero_copy_only=False).tolist()
+        first = len(self._ends)
+        for i in range(0, len(texts), _TOGETHER):
+            text = " " + " ".join(texts[i : i + _TOGETHER])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self._length[ids]), np.cumsum(sizes[i : i + _TOGETHER])) + 1
+            self._ends.add(ends + len(self._flat))
+            self._flat.add(ids)
+        return np.arange(first, len(self._ends))
+
+    def _add(self, ids: list[bytes]) -> np.ndarray:
+        first = len(self._ends)
+        self._ends.add(np.cumsum([len(x) // 4 for x in ids], dtype=np.int64) + len(self._flat))
+        self._flat.add(np.frombuffer(b"".join(ids), "<u4"))
+        return np.arange(first, len(self._ends))
+
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 

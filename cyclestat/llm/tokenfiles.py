@@ -64,7 +64,6 @@ def write_shard(source: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
 
     shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
     codec = Codec.of(vocabulary)
-    end = np.uint32(end_id).tobytes()
     names = [f"{kind}-{shard:06d}.bin" for kind in ("ids", "offsets", "docs", "nulls")]
     os.makedirs(folder, exist_ok=True)
     n_docs = n_tokens = 0
@@ -72,12 +71,12 @@ def write_shard(source: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
     try:
         files[1].write(np.zeros(1, "<u8").tobytes())
         for rows in batches(source, "text", 2 << 20):
-            packed = [x + end for x in codec.encode([t or "" for t in rows.column("text").to_pylist()])]
-            ids = np.frombuffer(b"".join(packed), "<u4")
+            ids, counts = codec.encode_column(rows.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
             if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
                 raise ValueError(f"id {ids.max()} does not fit {dtype}")
             files[0].write(ids.astype(dtype).tobytes())
-            files[1].write((n_tokens + np.cumsum([len(x) // 4 for x in packed])).astype("<u8").tobytes())
+            files[1].write((n_tokens + np.cumsum(counts + 1)).astype("<u8").tobytes())
             column = rows.column("id")
             files[2].write(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             files[3].write(column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())

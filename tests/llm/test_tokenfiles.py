@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cyclestat.llm import bpe, tokenfiles
@@ -48,3 +49,50 @@ def test_empty_table(spark):
 def test_unmounted_folder():
     with pytest.raises(ValueError):
         tokenfiles.local_path("hdfs://store/tokens")
+
+
+class _Counted:
+    """The library, counting the characters that it is given."""
+
+    def __init__(self, library):
+        self.library, self.characters = library, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.characters += sum(map(len, texts))
+        return self.library.encode_batch_fast(texts, **kw)
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+
+def test_a_shard_gives_each_word_to_the_library_once_and_cuts_plain_texts_by_arrow(tmp_path, monkeypatch):
+    codec = bpe.Codec(bpe.default_vocabulary())
+    codec.library = _Counted(codec.library)
+    monkeypatch.setitem(bpe.Codec._open, bpe.default_vocabulary(), codec)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    whole = []
+    encode = codec.encode
+    codec.encode = lambda texts: (whole.extend(texts), encode(texts))[1]
+    texts = [f"Start of{i} some words, é, with\nlines of{i} 1,234 words" for i in range(50)]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": texts})
+    (sizes,) = tokenfiles.write_shard(iter([rows, rows]), str(tmp_path), bpe.default_vocabulary(), 0, "<u2")
+    assert np.fromfile(tmp_path / "ids-000000.bin", "<u2").tolist() == 2 * [i for t in texts for i in own_ids(t)]
+    assert sizes.column("n_docs").to_pylist() == [100]
+    words = {w for t in texts for w in t.split(" ")}
+    assert codec.library.characters <= sum(len(w) + 1 for w in words) + len("Start")
+    assert set(whole) <= {"Start"}
+
+
+def test_columns_are_encoded_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(bpe, "_RUN", 64)
+    rng = np.random.default_rng(5)
+    marks = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "a", "Foo", "bar", "'s", "'", "12", "é", "日本", "😀", "<|endoftext|>", "x" * 70, ".", ",", "\r\n"]
+    texts = ["", None, " ", "  ", " a", "a ", "\n a", "a\n b", "z" * 500, "b " + "q" * 500 + " c", "a <|endoftext|> b", *("".join(rng.choice(marks, n)) for n in rng.integers(0, 14, 3000))]
+    codec = bpe.Codec(bpe.default_vocabulary())
+    for cached in (1_500_000, 3):
+        codec.cached = cached
+        for part in (texts[:1], texts[:7], texts, texts[::-1], texts[3:2]):
+            ids, counts = codec.encode_column(pa.array(part, pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [own_ids(t)[:-1] for t in part]
+            sliced, _ = codec.encode_column(pa.array(["skipped", *part], pa.large_string())[1:])
+            assert sliced.tolist() == ids.tolist()
