@@ -7,6 +7,8 @@ tokenizers library once per Python worker and kept, as bytes, in a cache of boun
 Columns.  :meth:`Codec.encode_column` takes a whole Arrow column: texts are cut at blanks and equal
 cuts found by Arrow, so that Python sees each distinct one of a batch once; ids are gathered from one
 array.  A text in which blanks stand beside other white space, or with a special token, goes the other way.
+Words of ASCII and Latin letters, digits and signs are new ones mostly: where the vocabulary has the usual
+split, they are cut by it here, by arrays of bytes, and the library's model alone encodes the cuts.
 
 Tree.  Texts of more than ``piece`` characters are halved again and again.  The halves
 are rows that Spark deals out and tasks encode in parallel; then the rows of a text are
@@ -47,6 +49,13 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The split of the byte-level vocabularies (fixed pattern).
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Words that :meth:`Codec._plain_ids` cuts as the split does: no apostrophe, single line ends between words.
+_PLAIN = "[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PLAIN = rf"\A{_PLAIN}(\n{_PLAIN})*\z"
+#: Of each byte of such words: blank, letter (or a part of one), digit, sign, line end.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xCA)]] = 1
+_KINDS[48:58], _KINDS[10], _KINDS[32] = 2, 4, 0
 _SPACE = re.compile(f"[{_WS}]")
 _SPACES = "".join(_SPACE.findall("".join(map(chr, range(0x3001)))))
 
@@ -76,6 +85,22 @@ def release() -> None:
     Codec._open.clear()
 
 
+def _bare(file: dict):
+    """A vocabulary file's model alone, without its cache, for text in the byte alphabet that is cut at
+    blanks; None if the file's split is not the byte-level one.  The cache serves words that come again;
+    :class:`Codec` gives it each once."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    model, split = dict(file["model"]), file.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not file.get("normalizer")
+    if not usual or model.pop("type", None) != "BPE" or model.get("dropout"):
+        return None
+    model["merges"] = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    bare = Tokenizer(models.BPE(cache_capacity=0, **{k: v for k, v in model.items() if v is not None}))
+    bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return bare
+
+
 class _Growing:
     """An array to which is added at the end."""
 
@@ -120,10 +145,13 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            file = json.load(f)
+        added = file["added_tokens"]
         self.special = {t["content"]: np.uint32(t["id"]).tobytes() for t in added}
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         alphabet = _byte_alphabet()
+        self._codes = np.array([ord(c) for c in sorted(alphabet, key=alphabet.get)], "<u4")
+        self._bare = _bare(file)
         vocab = self.library.get_vocab()
         self.token = [b""] * (max(vocab.values()) + 1)
         for text, i in vocab.items():
@@ -256,16 +284,32 @@ class Codec:
 
     def _add_words(self, words: pa.Array) -> np.ndarray:
         """Encode words, each after a blank and many as one text; returns their units."""
-        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        texts = words.to_numpy(zero_copy_only=False).tolist()
-        first = len(self._ends)
-        for i in range(0, len(texts), _TOGETHER):
-            text = " " + " ".join(texts[i : i + _TOGETHER])
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self._length[ids]), np.cumsum(sizes[i : i + _TOGETHER])) + 1
-            self._ends.add(ends + len(self._flat))
-            self._flat.add(ids)
-        return np.arange(first, len(self._ends))
+        plain = np.zeros(len(words), bool)
+        if self._bare:
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        units = np.zeros(len(words), np.int64)
+        for some, encode in ((np.flatnonzero(plain), self._plain_ids), (np.flatnonzero(~plain), self._ids)):
+            of = words.take(pa.array(some))
+            sizes = pc.binary_length(of).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            texts = of.to_numpy(zero_copy_only=False).tolist()
+            units[some] = len(self._ends) + np.arange(len(some))
+            for i in range(0, len(texts), _TOGETHER):
+                ids = encode(" " + " ".join(texts[i : i + _TOGETHER]))
+                ends = np.searchsorted(np.cumsum(self._length[ids]), np.cumsum(sizes[i : i + _TOGETHER])) + 1
+                self._ends.add(ends + len(self._flat))
+                self._flat.add(ids)
+        return units
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _plain_ids(self, text: str) -> np.ndarray:
+        """Ids of plain words, each after a blank: cut before a blank and where the kind changes, but not after a blank."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        kinds = _KINDS[data]
+        cuts = np.flatnonzero((kinds[1:] != kinds[:-1]) & (kinds[:-1] > 0)) + 1
+        cut = np.insert(self._codes[data], cuts, 32).tobytes().decode("utf-32-le")
+        return np.array(self._bare.encode_batch_fast([cut], add_special_tokens=False)[0].ids, np.uint32)
 
     def _add(self, ids: list[bytes]) -> np.ndarray:
         first = len(self._ends)

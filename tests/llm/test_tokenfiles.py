@@ -96,3 +96,24 @@ def test_columns_are_encoded_as_the_library_does(monkeypatch):
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [own_ids(t)[:-1] for t in part]
             sliced, _ = codec.encode_column(pa.array(["skipped", *part], pa.large_string())[1:])
             assert sliced.tolist() == ids.tolist()
+
+
+def test_plain_words_are_cut_here_and_encoded_by_the_model_alone():
+    codec = bpe.Codec(bpe.default_vocabulary())
+    codec.library = _Counted(codec.library)
+    plain = ["x Novelword, größe 12ab,3! (Ærø)", "x one.\nTwo\n3 Ȁɏ-{~}"]
+    ids, _ = codec.encode_column(pa.array(plain))
+    assert codec.library.characters <= len("x")
+    other = ["x don't 'll", "x a×b ÷ Ω", "x a\n\nb ²3 \xad", "x \x01c \x7f ɐ 日本9"]
+    more, _ = codec.encode_column(pa.array([*plain, *other]))
+    assert [*ids, *more] == [i for t in [*plain, *plain, *other] for i in own_ids(t)[:-1]]
+
+
+def test_plain_words_as_the_library_does():
+    rng = np.random.default_rng(6)
+    signs = [chr(c) for c in [*range(0x21, 0x250), 0x20, 0x0A, 0x0D, 0x3A9, 0x4E00]]
+    common = [*"aeinrstAB019.,-é\n ", "'s", "'"]
+    words = ["".join(rng.choice(signs if i % 3 else common, rng.integers(1, 9))) for i in range(20_000)]
+    texts = ["x " + " ".join(words[i : i + 40]) for i in range(0, len(words), 40)] + ["x " + w for w in words]
+    ids, counts = bpe.Codec(bpe.default_vocabulary()).encode_column(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [own_ids(t)[:-1] for t in texts]
